@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from arbora.llm.html_extract import extract_pages
+from arbora.llm.jaccard_join import Spec, jaccard_classes
 from arbora.llm.license_scan import license_scan
 from arbora.llm.quality_classifier import quality_classifier
 from arbora.llm.quality_rules import quality_rules
 from arbora.llm.sentencepiece_codec import encode_documents
+from arbora.llm.suffix_dedup import suffix_dedup
 from arbora.llm.warc_store import warc_round_trip
 
 
@@ -32,10 +34,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), Spec(words=3, num=90, den=100))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -50,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_html_extraction,
         op2_quality_rules,
         op4_quality_classifier,
+        op5_suffix_dedup,
         op6_sentencepiece,
+        op8_jaccard_join,
         op9_license_scans,
         op10_warc,
     )
