@@ -71,9 +71,10 @@ def repeated_words(grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(let(spots, covered))
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The counts that the rules compare, one row per document."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
+    """The counts that the rules compare, one row per document; with ``row`` also the document's row as a struct."""
+    carried = [F.struct("*").alias("row")] if row else []
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried)
     trimmed = F.btrim(F.col("text"), F.lit(BLANKS))
     base = base.withColumn(
         "words", F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
@@ -98,7 +99,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             F.filter("lines", lambda x: F.endswith(F.rtrim(x), F.lit("...")) | F.endswith(F.rtrim(x), F.lit("…")))
         ),
     }
-    return base.select("doc_id", *(c.cast("bigint").alias(k) for k, c in counts.items()))
+    return base.select("doc_id", *(c.cast("bigint").alias(k) for k, c in counts.items()), *(["row"] if row else []))
 
 
 def passes(rule: Rule) -> Column:
@@ -115,17 +116,24 @@ def passes(rule: Rule) -> Column:
     return (F.col("n_words") < rule.min_words) | held if rule.min_words else held
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, row: bool = False
+) -> DataFrame:
     """Counts, ``base_failed``, one ``ok_<rule>`` per rule, and ``kept`` for every document.
 
     A document is kept if the base rule (10 words or more, at most a fifth of the words in repeated five-word windows)
     and every rule of the table hold.
     """
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = measures(docs, id_col, text_col).select(
+    judged = measures(docs, id_col, text_col, row).select(
         "*", failed.alias("base_failed"), *(passes(r).alias(f"ok_{r.name}") for r in rules)
     )
     verdict = ~F.col("base_failed")
     for r in rules:
         verdict = verdict & F.col(f"ok_{r.name}")
     return judged.withColumn("kept", verdict)
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """The documents that all rules keep, with all their columns."""
+    return quality_rules(docs, id_col, text_col, rules, row=True).filter("kept").select("row.*")

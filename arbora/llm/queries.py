@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arbora.llm.decontaminate import leaks
 from arbora.llm.html_extract import extract_pages
 from arbora.llm.jaccard_join import Spec, jaccard_classes
 from arbora.llm.license_scan import license_scan
+from arbora.llm.line_dedup import line_dedup
 from arbora.llm.quality_classifier import quality_classifier
 from arbora.llm.quality_rules import quality_rules
 from arbora.llm.sentencepiece_codec import encode_documents
@@ -30,6 +32,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +48,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), Spec(words=3, num=90, den=100))
 
@@ -59,9 +69,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_html_extraction,
         op2_quality_rules,
+        op3_decontamination,
         op4_quality_classifier,
         op5_suffix_dedup,
         op6_sentencepiece,
+        op7_line_dedup,
         op8_jaccard_join,
         op9_license_scans,
         op10_warc,
