@@ -55,13 +55,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case for matching against ASCII words.
+def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and new columns, held apart from what follows.
 
-    ``lower`` also maps the Kelvin sign to ``k``; it is swapped for another non-ASCII letter first, so that no
-    non-ASCII letter becomes an ASCII one. Other non-ASCII letters stay non-ASCII, and word bounds do not move.
+    The optimizer substitutes a projection's expressions into later filters and lambdas, where they would be evaluated
+    again for each use or even each element; it does not do so through a generator.
     """
-    return F.lower(F.replace(text, F.lit("K"), F.lit("Å")))
+    made = F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
+    return df.select(*keep, made)
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import let
+from arbora.llm.common import computed, let
 
 BLANKS = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -76,15 +76,20 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     carried = [F.struct("*").alias("row")] if row else []
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried)
     trimmed = F.btrim(F.col("text"), F.lit(BLANKS))
-    base = base.withColumn(
-        "words", F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
-    ).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    base = computed(
+        base,
+        base.columns,
+        words=F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT)),
+        lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+    )
     words = F.col("words")
     gram = F.transform(
         F.sequence(F.lit(0), F.size(words) - WINDOW),
         lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))),
     )
-    base = base.withColumn("grams", F.when(F.size(words) >= WINDOW, gram).otherwise(F.array().cast("array<bigint>")))
+    base = computed(
+        base, base.columns, grams=F.when(F.size(words) >= WINDOW, gram).otherwise(F.array().cast("array<bigint>"))
+    )
     counts = {
         "n_words": F.size(words),
         "word_chars": F.length(F.array_join(words, "")),
@@ -99,7 +104,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
             F.filter("lines", lambda x: F.endswith(F.rtrim(x), F.lit("...")) | F.endswith(F.rtrim(x), F.lit("…")))
         ),
     }
-    return base.select("doc_id", *(c.cast("bigint").alias(k) for k, c in counts.items()), *(["row"] if row else []))
+    return computed(base, ["doc_id", *(["row"] if row else [])], **{k: c.cast("bigint") for k, c in counts.items()})
 
 
 def passes(rule: Rule) -> Column:
