@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,10 +45,13 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of :func:`materialize` that no later plan reads."""
+    """Delete tables of :func:`materialize` that no later plan reads, and let shuffle files of finished steps go."""
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    # Shuffle files of finished steps go once the driver has collected the plans that name them.
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def let(value: Column, body) -> Column:

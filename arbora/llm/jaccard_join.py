@@ -134,14 +134,16 @@ def order_table(docs: DataFrame, spec: Spec, frequent: np.ndarray) -> DataFrame:
                     rare, common = t, t[:0]
                 sizes.append(len(t))
                 first.append(np.concatenate([rare[:p], common[: max(0, p - len(rare))]]))
-                second.append(np.concatenate([rare[::-1][:p], common[::-1][: max(0, p - len(rare))]]))
+                # Half of each hash is enough for a filter, and halves what pairs carry.
+                last = np.concatenate([rare[::-1][:p], common[::-1][: max(0, p - len(rare))]])
+                second.append(last.astype(np.int32))
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, lists), pa.array(second, lists)],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, lists), pa.array(second, pa.list_(pa.int32()))],
                 names=["node", "n", "first", "second"],
             )
 
-    return docs.mapInArrow(run, "node bigint, n bigint, first array<bigint>, second array<bigint>")
+    return docs.mapInArrow(run, "node bigint, n bigint, first array<bigint>, second array<int>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, orders: DataFrame, spec: Spec) -> DataFrame:
@@ -195,14 +197,15 @@ def jaccard_classes(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
     )
     frequent = frequent_tokens(sets)
     # A class's smallest id stands for it; the sets of one id's other rows are classes of their own.
-    heads = docs.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    orders, _ = materialize(order_table(heads, spec, frequent), "orders")
+    nodes, nodes_at = materialize(classes.select("node").distinct(), "nodes")
+    orders, _ = materialize(order_table(only(docs, nodes), spec, frequent), "orders")
+    remove(docs.sparkSession, nodes_at)
 
     spots = orders.filter("n > 0").select("node", "n", F.posexplode("first").alias("at", "token"))
     shared, _ = materialize(
         spots.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader")).filter("c > 1"), "shared"
     )
-    groups, _ = materialize(spots.join(shared, "token"), "groups")
+    groups, groups_at = materialize(spots.join(shared, "token"), "groups")
 
     def bound(nu, nv, iu=None, iv=None):
         """Sizes, and with the places of the first common token also what can follow it, allow the similarity."""
@@ -212,7 +215,6 @@ def jaccard_classes(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
             ok = ok & ((spec.num + spec.den) * F.least(nu - iu, nv - iv) >= spec.num * (nu + nv))
         return ok
 
-    a, b = groups.alias("a"), groups.alias("b")
     sizes = orders.groupBy(F.col("node").alias("leader")).agg(F.max("n").alias("leader_n"))
     star = (
         groups.filter("node <> leader")
@@ -224,12 +226,13 @@ def jaccard_classes(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
         .distinct()
     )
     star, _ = materialize(star, "star")
-    links = verified(star, heads, orders, spec)
+    links = verified(star, docs, orders, spec)
     first = components(links)
 
     # A token's group is open while its members are in several components; its main component is the most frequent.
     labelled = groups.join(first, "node", "left").select("token", "node", "n", "at", F.coalesce("comp", "node").alias("comp"))
-    labelled, _ = materialize(labelled, "labelled")
+    labelled, labelled_at = materialize(labelled, "labelled")
+    remove(docs.sparkSession, groups_at)
     main = (
         labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
         .groupBy("token")
@@ -246,8 +249,9 @@ def jaccard_classes(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
         & (F.col("a.comp") != F.col("b.comp"))
         & bound(F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")),
     ).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
-    cross = cross.distinct().join(star, ["u", "v"], "left_anti")
-    links = links.union(verified(cross, heads, orders, spec))
+    cross, cross_at = materialize(cross.distinct().join(star, ["u", "v"], "left_anti"), "cross")
+    remove(docs.sparkSession, labelled_at)
+    links = links.union(verified(cross, docs, orders, spec))
     links, _ = materialize(links, "all-links")
     final = components(links)
 
