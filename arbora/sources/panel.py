@@ -31,7 +31,7 @@ def blanks_to_null(df: DataFrame) -> DataFrame:
 
 def split_lists(df: DataFrame, *columns: str, sep: str = ";") -> DataFrame:
     """Beside each semicolon list a column ``<name>_list`` with trimmed, non-empty items; the raw column stays."""
-    items = lambda c: F.filter(F.transform(F.split(c, sep), F.trim), lambda x: x != "")
+    items = lambda c: F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
     return df.withColumns({f"{c}_list": items(F.col(c)) for c in columns})
 
 
