@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_RUN = uuid.uuid4().hex
+_roots: set[str] = set()
+
+
+def _forget(root: str) -> None:
+    """Delete this process's tables when it ends."""
+    if SparkContext._gateway is not None:
+        jvm = SparkContext._gateway.jvm
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/arbora-{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; what a process wrote there goes when it ends."""
+    root = f"{shared_dir(spark)}/arbora-{_RUN}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_forget, root)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:

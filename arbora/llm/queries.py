@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arbora.llm import oracle
 from arbora.llm.decontaminate import leaks
 from arbora.llm.html_extract import extract_pages
 from arbora.llm.jaccard_join import Spec, jaccard_classes
@@ -53,7 +54,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"), Spec(words=3, num=90, den=100))
+    found = jaccard_classes(table(spark, sf_dir, "documents"), Spec(words=3, num=90, den=100))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
