@@ -17,7 +17,9 @@ from __future__ import annotations
 import re
 import struct
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +60,21 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+class _Chunks(dict):
+    """Ids by chunk, made when they are missing; emptied when it is full."""
+
+    def __init__(self, codec):
+        self.codec = codec
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        got = self.codec.chunk(text)
+        if len(text) <= LONG_CHUNK:
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = got
+        return got
+
+
 class Codec:
     """Encoder and decoder of one byte-pair model with byte fallback and identity normalisation."""
 
@@ -86,6 +103,7 @@ class Codec:
                 kind_of_model = dict(_fields(value)).get(3, 1)
             elif number == 3:
                 normalizer = value
+        self.number = {p: (i,) for p, i in self.ids.items()}
         norm = dict(_fields(normalizer))
         self.prefix = bool(norm.get(3, 1))
         if kind_of_model != 2 or norm.get(2) or norm.get(4, 1):
@@ -93,17 +111,22 @@ class Codec:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space mark behind another character")
         self.longest = max(map(len, self.ids))
-        self.value_of_byte = {i: b for b, i in self.bytes.items()}
+        byte = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.raw = [byte.get(i) or p.encode() for i, p in enumerate(self.pieces)]
         self.fit: dict[tuple[str, str], bool] = {}
         #: Pieces that the model leaves in one; only these are edges.
         good = {p for p in self.ids if len(self.merge(p)) == 1}
         #: Every ending of such a piece: whether it is one itself.
         self.endings = {p[i:]: p[i:] in good for p in good for i in range(len(p))}
+        self.edges = ahocorasick.Automaton()
+        for p in good:
+            self.edges.add_word(p, p)
+        self.edges.make_automaton()
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         breaks = "" if "\n" in joined else "\\n"
         # Space marks with what follows them; a line end that no piece joins stands alone.
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + (f"|{breaks}" if breaks else "")).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = _Chunks(self)
 
     def merge(self, text: str) -> list[str]:
         """The model's pieces of a short text: the best-scored neighbouring pair merges first, the leftmost of equals."""
@@ -126,6 +149,29 @@ class Codec:
         got = self.fit[left, right] = self.merge(left + right) == [left, right]
         return got
 
+    def short(self, text: str) -> list[str]:
+        """As :meth:`stream` for a text that the window holds whole; one automaton finds all edges."""
+        last: list[str | None] = [None] * (len(text) + 1)
+        last[0], settled = "", 0
+        known, fits = self.fit.get, self.fits
+        for end, piece in self.edges.iter(text):
+            end += 1
+            while settled < end - 1:
+                settled += 1
+                if last[settled] is None:
+                    last[settled] = text[settled - 1]  # a character outside the vocabulary
+            if last[end] is None:
+                before = last[end - len(piece)]
+                if before:
+                    ok = known((before, piece))
+                    if not (fits(before, piece) if ok is None else ok):
+                        continue
+                last[end] = piece
+        for n in range(settled + 1, len(text) + 1):
+            if last[n] is None:
+                last[n] = text[n - 1]
+        return self.path(last, 0, len(text))
+
     def stream(self, text: str):
         """The pieces of ``text``, given out as soon as all surviving paths agree on them."""
         ending, longest, fits, known = self.endings.get, self.longest, self.fits, self.fit.get
@@ -166,7 +212,7 @@ class Codec:
                 done = meet
 
     @staticmethod
-    def path(last: dict[int, str], start: int, end: int) -> list[str]:
+    def path(last, start: int, end: int) -> list[str]:
         """The pieces from node ``start`` to node ``end``."""
         out = []
         while end > start:
@@ -176,45 +222,25 @@ class Codec:
 
     def numbers(self, piece: str) -> tuple[int, ...]:
         """The piece's id, or the ids of its bytes."""
-        i = self.ids.get(piece)
-        if i is not None:
-            return (i,)
+        got = self.number.get(piece)
+        if got is not None:
+            return got
         found = tuple(self.bytes.get(b, self.unknown) for b in piece.encode("utf-8", "replace"))
         return found if self.bytes else (self.unknown,)
 
     def chunk(self, text: str) -> tuple[int, ...]:
-        got = self.cache.get(text)
-        if got is None:
-            got = tuple(i for piece in self.stream(text) for i in self.numbers(piece))
-            if len(text) <= LONG_CHUNK:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[text] = got
-        return got
+        pieces = self.short(text) if len(text) <= 4 * self.longest else self.stream(text)
+        return tuple(i for p in pieces for i in self.numbers(p))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        out: list[int] = []
-        cache, chunk, extend = self.cache, self.chunk, out.extend
-        for c in self.chunks(marked):
-            extend(cache.get(c) or chunk(c))
-        return out
+        return list(chain.from_iterable(map(self.cache.__getitem__, self.chunks(marked))))
 
     def decode(self, ids) -> str:
         """The text of ``ids``; bytes that are no valid UTF-8 become U+FFFD."""
-        pieces, value_of_byte = self.pieces, self.value_of_byte
-        if value_of_byte.keys().isdisjoint(ids):
-            text = "".join(map(pieces.__getitem__, ids))
-        else:
-            raw = bytearray()
-            for i in ids:
-                if (b := value_of_byte.get(i)) is None:
-                    raw += pieces[i].encode()
-                else:
-                    raw.append(b)
-            text = raw.decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         text = text.replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
