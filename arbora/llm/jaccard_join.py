@@ -30,7 +30,7 @@ from arbora.llm.common import components, materialize, remove
 FREQUENT, LIST_MAX = 48, 500_000
 #: Ids up to this number are broadcast to filter a scan; beyond it the scan is joined by shuffle.
 BROADCAST_IDS = 4_000_000
-WORD_CACHE = 500_000
+WORD_CACHE = 100_000
 
 
 @dataclass(frozen=True)
@@ -191,21 +191,29 @@ def jaccard_classes(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
     that tie the component together, its exact copies excluded.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets, _ = materialize(set_table(docs, spec), "sets")
+    spark = docs.sparkSession
+    full, full_at = materialize(set_table(docs, spec), "prefixes")
+    sets, _ = materialize(full.select("doc_id", "n", "set_hash"), "sets")
     classes, _ = materialize(
         sets.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "classes"
     )
-    frequent = frequent_tokens(sets)
+    frequent = frequent_tokens(full)
+    remove(spark, full_at)
     # A class's smallest id stands for it; the sets of one id's other rows are classes of their own.
     nodes, nodes_at = materialize(classes.select("node").distinct(), "nodes")
     orders, _ = materialize(order_table(only(docs, nodes), spec, frequent), "orders")
-    remove(docs.sparkSession, nodes_at)
+    remove(spark, nodes_at)
 
-    spots = orders.filter("n > 0").select("node", "n", F.posexplode("first").alias("at", "token"))
-    shared, _ = materialize(
-        spots.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("leader")).filter("c > 1"), "shared"
+    spots = orders.filter("n > 0").select("node", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "token"))
+    shared, shared_at = materialize(
+        spots.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "shared"
     )
-    groups, groups_at = materialize(spots.join(shared, "token"), "groups")
+    remove(spark)
+    met, met_at = materialize(spots.join(shared, "token"), "met")
+    remove(spark, shared_at)
+    leaders, leaders_at = materialize(met.groupBy("token").agg(F.min("node").alias("leader")), "leaders")
+    groups, groups_at = materialize(met.join(leaders, "token"), "groups")
+    remove(spark, met_at, leaders_at)
 
     def bound(nu, nv, iu=None, iv=None):
         """Sizes, and with the places of the first common token also what can follow it, allow the similarity."""
@@ -232,7 +240,7 @@ def jaccard_classes(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
     # A token's group is open while its members are in several components; its main component is the most frequent.
     labelled = groups.join(first, "node", "left").select("token", "node", "n", "at", F.coalesce("comp", "node").alias("comp"))
     labelled, labelled_at = materialize(labelled, "labelled")
-    remove(docs.sparkSession, groups_at)
+    remove(spark, groups_at)
     main = (
         labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
         .groupBy("token")
@@ -250,7 +258,7 @@ def jaccard_classes(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
         & bound(F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")),
     ).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
     cross, cross_at = materialize(cross.distinct().join(star, ["u", "v"], "left_anti"), "cross")
-    remove(docs.sparkSession, labelled_at)
+    remove(spark, labelled_at)
     links = links.union(verified(cross, docs, orders, spec))
     links, _ = materialize(links, "all-links")
     final = components(links)
