@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from arbora.llm.common import components, materialize, remove
 
 #: A token in more prefixes than this counts as frequent; the bound is doubled until the frequent tokens fit LIST_MAX.
-FREQUENT, LIST_MAX = 48, 500_000
+FREQUENT, LIST_MAX = 8, 4_000_000
 #: Ids up to this number are broadcast to filter a scan; beyond it the scan is joined by shuffle.
 BROADCAST_IDS = 4_000_000
 WORD_CACHE = 100_000
@@ -99,7 +99,10 @@ def set_table(docs: DataFrame, spec: Spec) -> DataFrame:
 
 
 def frequent_tokens(prefixes: DataFrame) -> np.ndarray:
-    """Tokens in many prefixes, most 500,000 of them: they only set the orders, so a shorter list loses nothing."""
+    """Tokens in many prefixes, LIST_MAX of them at most: they only set the orders, so a shorter list loses nothing.
+
+    A small bound keeps the groups of chance meetings small, so that their pairs grow with the input and not its square.
+    """
     counts = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").count()
     table, path = materialize(counts.filter(F.col("count") > FREQUENT), "frequent")
     bound = FREQUENT
