@@ -1,13 +1,10 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: shared runs of words name item-sized windows, exact edit verification of every window.
 
-A window and an item are sequences of words. The CGK walk reads a sequence with a pointer that stays or moves by a
-random bit of step and word, so sequences a few edits apart soon read the same words at the same steps: edit distance
-becomes Hamming distance. Sampled steps of the embedding are bucket keys; the embedding is repeated, and the number of
-keys follows from the target recall. What shares a bucket is verified by exact edit distance on words.
-
-Windows are taken where they can match: an item of n words with at most d edits keeps ``(n - d) / (d + 1)`` words in a
-row, so a matching window holds such a run of the item at its place. Positions without any run of a benchmark item
-start no window; this drops no match.
+A window and an item are sequences of words. Windows are taken where they can match: an item of n words with at most d
+edits keeps ``(n - d) / (d + 1)`` words in a row, so a matching window holds such a run of the item at its place. As an
+edit breaks ``q`` runs of ``q`` words at most, a match also keeps ``n - q + 1 - q d`` of the item's runs; a text that
+holds fewer is not looked at for that item. Every other window is verified by edit distance on words, which whole
+numbers of n bits compute a text word at a time. No step drops a match, whatever the item's length.
 
 Defined cases: a null or empty text or item matches nothing, nor does an item of fewer than ``min_words`` words; of
 equally good places the first is reported; rows that share an id are scanned apart; an empty documents or benchmark
@@ -16,7 +13,6 @@ table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -36,12 +32,6 @@ WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 class Spec:
     similarity: float = 0.8
     min_words: int = 5
-    recall: float = 0.99
-    #: Independent embeddings, steps in a key, and the share of steps that a match is counted on to agree in.
-    repeats: int = 4
-    sampled: int = 2
-    agreeing: float = 0.4
-    seed: int = 20240607
 
     def edits(self, n: int) -> int:
         return int(n * (1 - self.similarity) + 1e-9)
@@ -51,54 +41,63 @@ class Spec:
         d = self.edits(n)
         return max(1, min(3, -(-(n - d) // (d + 1))))
 
-    @property
-    def keys(self) -> int:
-        """Keys of each embedding, for the target recall."""
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - self.agreeing**self.sampled)))
+    def least(self, n: int) -> int:
+        """Places of the item whose run every match keeps."""
+        q = self.run(n)
+        return max(1, n - q + 1 - q * self.edits(n))
 
 
 def words_of(text: str | None) -> list[bytes]:
     return WORDS((text or "").lower().encode("utf-8", "surrogatepass"))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def embed(windows: np.ndarray, repeat: int, steps: int, seed: int) -> np.ndarray:
-    """The CGK embeddings of the rows of ``windows`` (word numbers), ``steps`` long; behind a row's end stands 0."""
-    m, n = windows.shape
-    padded = np.concatenate([windows, np.zeros((m, 1), windows.dtype)], axis=1)
-    at, rows = np.zeros(m, np.int64), np.arange(m)
-    out = np.zeros((m, steps), windows.dtype)
-    for j in range(steps):
-        word = padded[rows, at]
-        out[:, j] = word
-        salt = np.uint64((seed * 1_000_003 + repeat * 65_537 + j) & 0xFFFFFFFFFFFF) << np.uint64(16)
-        at = np.minimum(at + (_mix(word.astype(np.uint64) + salt) & np.uint64(1)).astype(np.int64), n)
+def _places(item: list[int]) -> dict[int, int]:
+    """The places of each word of ``item`` as bits."""
+    out: dict[int, int] = {}
+    for i, x in enumerate(item):
+        out[x] = out.get(x, 0) | 1 << i
     return out
 
 
-def best_place(item: list[int], text: list[int]) -> tuple[int, int, int]:
-    """``(edits, start, end)`` of the part of ``text`` nearest to ``item``; the shortest, then the first of equals."""
-    row = [(0, -j) for j in range(len(text) + 1)]  # edits, and minus the start, so that the latest start is smallest
-    for i, x in enumerate(item, 1):
-        new = [(i, 0)]
-        for j, y in enumerate(text, 1):
-            cost, start = row[j - 1]
-            take = (cost + (x != y), start)
-            skip = (row[j][0] + 1, row[j][1])
-            add = (new[j - 1][0] + 1, new[j - 1][1])
-            new.append(min(take, skip, add))
-        row = new
-    edits, start, end = min((cost, start, j) for j, (cost, start) in enumerate(row))
-    return edits, -start, end
+def _distances(item: list[int], text: list[int], anchored: bool):
+    """The edits between ``item`` and the nearest part that ends behind each word of ``text``; anchored, all before it.
+
+    Myers' bit vectors: ``up`` and ``down`` hold where a column of the edit table rises and falls.
+    """
+    n, places = len(item), _places(item)
+    full, top, first = (1 << n) - 1, 1 << (n - 1), int(anchored)
+    up, down, cost = full, 0, n
+    for word in text:
+        eq = places.get(word, 0)
+        across = ((((eq & up) + up) ^ up) | eq | down) & full
+        rise, fall = down | (full & ~(across | up)), up & across
+        cost += (rise & top > 0) - (fall & top > 0)
+        yield cost
+        rise, fall = (rise << 1 | first) & full, (fall << 1) & full
+        eq |= down
+        up, down = fall | (full & ~(eq | rise)), rise & eq
+
+
+def best_place(item: list[int], text: list[int], most: int) -> tuple[int, int, int] | None:
+    """``(edits, start, end)`` of the part of ``text`` nearest to ``item`` within ``most`` edits.
+
+    Of equals the one that starts last, then the first.
+    """
+    costs = list(_distances(item, text, False))
+    edits = min(costs, default=len(item))
+    if edits > most or edits == len(item):
+        return None
+    back, best = item[::-1], None
+    for end in (j for j, cost in enumerate(costs, 1) if cost == edits):
+        part = text[max(0, end - len(item) - edits) : end][::-1]
+        start = end - next(size for size, cost in enumerate(_distances(back, part, True), 1) if cost == edits)
+        if best is None or start > best[1]:
+            best = (edits, start, end)
+    return best
 
 
 class Index:
-    """The items' runs, and their buckets by window size."""
+    """The items, and where each of their runs stands in them."""
 
     def __init__(self, items: list[tuple[int, str]], spec: Spec):
         self.spec = spec
@@ -109,26 +108,13 @@ class Index:
             if len(words) >= spec.min_words:
                 self.items.append((item_id, [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]))
         self.base = len(self.numbers) + 1
-        spots: dict[tuple[int, int], set] = defaultdict(set)
-        by_size = defaultdict(list)
+        spots: dict[tuple[int, int], list] = defaultdict(list)
         for k, (_, ids) in enumerate(self.items):
             q = spec.run(len(ids))
             for o in range(len(ids) - q + 1):
-                spots[q, self.code(ids[o : o + q])].add((len(ids), o))
-            by_size[len(ids)].append(k)
-        self.spots = {key: sorted(v) for key, v in spots.items()}
+                spots[q, self.code(ids[o : o + q])].append((k, o))
+        self.spots = dict(spots)
         self.runs = {q: np.array(sorted(c for r, c in spots if r == q), dtype=np.int64) for q in {r for r, _ in spots}}
-        self.samples, self.buckets = {}, {}
-        for n, members in by_size.items():
-            rng = np.random.default_rng(spec.seed + n)
-            steps = 2 * n
-            self.samples[n] = [rng.integers(0, steps, (spec.keys, spec.sampled)) for _ in range(spec.repeats)]
-            table = defaultdict(list)
-            rows = np.array([self.items[k][1] for k in members], dtype=np.int64)
-            for key, hits in self.keys(rows, n):
-                for row, value in enumerate(hits.tolist()):
-                    table[key, value].append(members[row])
-            self.buckets[n] = dict(table)
 
     def code(self, ids):
         out = 0
@@ -136,64 +122,45 @@ class Index:
             out = out * self.base + x
         return out
 
-    def keys(self, rows: np.ndarray, n: int):
-        """``((embedding, key number), values)``: a bucket value of every row."""
-        for r in range(self.spec.repeats):
-            made = embed(rows, r, 2 * n, self.spec.seed)
-            for t, steps in enumerate(self.samples[n][r]):
-                value = np.zeros(len(rows), np.int64)
-                for s in steps:
-                    value = value * self.base + made[:, s]
-                yield (r, t), value
-
-    def windows(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """``(size, start)`` of the windows that hold a run of an item of that size at its place."""
-        out = set()
+    def windows(self, ids: np.ndarray) -> dict[int, list[int]]:
+        """By item, the starts of the windows that hold a run of it at its place, if the text holds enough of its runs."""
+        starts, places = defaultdict(set), defaultdict(set)
         for q, known in self.runs.items():
             if len(ids) < q:
                 continue
             rolled = self.code([ids[j : len(ids) - q + 1 + j] for j in range(q)])
             near = np.minimum(np.searchsorted(known, rolled), len(known) - 1)
             for p in np.nonzero(known[near] == rolled)[0].tolist():
-                out.update((n, p - o) for n, o in self.spots[q, int(rolled[p])])
-        return out
+                for k, o in self.spots[q, int(rolled[p])]:
+                    starts[k].add(p - o)
+                    places[k].add(o)
+        return {k: sorted(v) for k, v in starts.items() if len(places[k]) >= self.spec.least(len(self.items[k][1]))}
+
+    def best(self, item: list[int], text: list[int], starts: list[int]) -> tuple[int, int, int] | None:
+        """``(edits, start, end)`` of the best place of ``item`` in the windows that begin at ``starts``."""
+        n, most, found = len(item), self.spec.edits(len(item)), None
+        for start in starts:
+            if start >= 0 and text[start : start + n] == item:
+                return 0, start, start + n
+        for start in starts:
+            low = max(0, start - most)
+            region = text[low : start + n + most]
+            held = set(region)
+            if sum(w not in held for w in item) > most:
+                continue  # each word that is missing costs an edit
+            if got := best_place(item, region, most if found is None else found[0]):
+                got = (got[0], low + got[1], low + got[2])
+                found = got if found is None else min(found, got)
+        return found
 
     def search(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """``(text, item number, edits, start, end)``: the best place of every item in every text."""
-        by_size = defaultdict(list)
+        out = []
         for t, ids in enumerate(texts):
-            for n, start in self.windows(ids):
-                by_size[n].append((t, start))
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for n, spots in by_size.items():
-            for at in range(0, len(spots), 20_000):
-                part = spots[at : at + 20_000]
-                rows = np.zeros((len(part), n), np.int64)
-                for i, (t, start) in enumerate(part):
-                    low, high = max(start, 0), min(start + n, len(texts[t]))
-                    rows[i, low - start : high - start] = texts[t][low:high]
-                pairs = set()
-                for key, values in self.keys(rows, n):
-                    get = self.buckets[n].get
-                    for i, value in enumerate(values.tolist()):
-                        if value and (hits := get((key, value))):
-                            pairs.update((i, k) for k in hits)
-                for i, k in pairs:
-                    t, start = part[i]
-                    most, item = self.spec.edits(n), self.items[k][1]
-                    low = max(0, start - most)
-                    if rows[i].tolist() == item:
-                        got = (0, start, start + n)
-                    else:
-                        region = texts[t][low : start + n + most].tolist()
-                        held = set(region)
-                        if sum(w not in held for w in item) > most:
-                            continue  # each word that is missing costs an edit
-                        edits, a, b = best_place(item, region)
-                        got = (edits, low + a, low + b)
-                    if got[0] <= most and ((t, k) not in found or got < found[t, k]):
-                        found[t, k] = got
-        return [(t, k, *got) for (t, k), got in found.items()]
+            if wanted := self.windows(ids):
+                text = ids.tolist()
+                out += [(t, k, *got) for k, starts in wanted.items() if (got := self.best(self.items[k][1], text, starts))]
+        return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -169,6 +169,22 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert whole == sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(docs, bench).collect())
 
 
+@pytest.mark.parametrize("n", [60, 400, 800])
+def test_long_items_at_the_exact_bound(n):
+    for seed in range(8):
+        r = random.Random(seed)
+        item = [f"w{r.randrange(3000)}" for _ in range(n)]
+        gone = set(r.sample(range(n), n // 5))
+        part = [w for i, w in enumerate(item) if i not in gone]
+        host = [f"h{r.randrange(3000)}" for _ in range(60)]
+        index = decontaminate.Index([(7, " ".join(item))], decontaminate.Spec())
+        ids = np.array([index.numbers.get(w.encode(), 0) for w in host[:30] + part + host[30:]], dtype=np.int64)
+        found = index.search([ids])
+        assert len(found) == 1
+        (found,) = found
+        assert found[:3] == (0, 0, brute.best_edits(item, host[:30] + part + host[30:])) and found[2] <= n // 5
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
