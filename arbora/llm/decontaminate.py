@@ -6,8 +6,10 @@ edit breaks ``q`` runs of ``q`` words at most, a match also keeps ``n - q + 1 -
 holds fewer is not looked at for that item. Every other window is verified by edit distance on words, which whole
 numbers of n bits compute a text word at a time. No step drops a match, whatever the item's length.
 
-Defined cases: a null or empty text or item matches nothing, nor does an item of fewer than ``min_words`` words; of
-equally good places the first is reported; rows that share an id are scanned apart; an empty documents or benchmark
+Words are split at ASCII and wide punctuation; scripts without spaces between words are split by character.
+
+Defined cases: a null or empty text or item matches nothing; an item of fewer than ``min_words`` words matches only
+where all of it stands in a row; of equally good places the first is reported; rows that share an id are scanned apart; an empty documents or benchmark
 table gives an empty result; extra columns are not read.
 """
 
@@ -26,15 +28,23 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 16 << 20
 HITS = "doc_id bigint, text_hash bigint, item_id bigint, first_word bigint, n_words bigint, edits int, similarity double"
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
+#: Characters of scripts without spaces between words (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han), and their punctuation.
+UNSPACED = re.compile(
+    "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3031-\u303c"
+    "\u3041-\u30fa\u30fc-\u30ff\u3105-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f"
+    "\uf900-\ufaff\uff66-\uff9f\U0001aff0-\U0001b16f\U00020000-\U0003ffff]"
+)
+WIDE = re.compile("[\u3000-\u3003\u3008-\u3020\u3030\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
 @dataclass(frozen=True)
 class Spec:
     similarity: float = 0.8
+    #: Items of fewer words match without any edit.
     min_words: int = 5
 
     def edits(self, n: int) -> int:
-        return int(n * (1 - self.similarity) + 1e-9)
+        return int(n * (1 - self.similarity) + 1e-9) if n >= self.min_words else 0
 
     def run(self, n: int) -> int:
         """Words in a row that every match keeps, three at most."""
@@ -48,7 +58,10 @@ class Spec:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return WORDS((text or "").lower().encode("utf-8", "surrogatepass"))
+    text = (text or "").lower()
+    if not text.isascii():
+        text = UNSPACED.sub(r" \g<0> ", WIDE.sub(" ", text))
+    return WORDS(text.encode("utf-8", "surrogatepass"))
 
 
 def _places(item: list[int]) -> dict[int, int]:
@@ -105,7 +118,7 @@ class Index:
         self.items: list[tuple[int, list[int]]] = []
         for item_id, text in items:
             words = words_of(text)
-            if len(words) >= spec.min_words:
+            if words:
                 self.items.append((item_id, [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]))
         self.base = len(self.numbers) + 1
         spots: dict[tuple[int, int], list] = defaultdict(list)
@@ -142,6 +155,8 @@ class Index:
         for start in starts:
             if start >= 0 and text[start : start + n] == item:
                 return 0, start, start + n
+        if not most:
+            return None
         for start in starts:
             low = max(0, start - most)
             region = text[low : start + n + most]

@@ -185,6 +185,17 @@ def test_long_items_at_the_exact_bound(n):
         assert found[:3] == (0, 0, brute.best_edits(item, host[:30] + part + host[30:])) and found[2] <= n // 5
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Blue Whale"), (2, "vier"), (3, "one, two three four"), (4, "日本の首都はどこですか。"), (5, "ไทย"), (6, " ,. ")]
+    rows = [
+        (1, "a blue whale, and vier"), (2, "a blue small whale; four three two one"), (3, "x one two three four y"),
+        (4, "問:日本の首都はどこですか?東京"), (5, "問:日本の古都はどこですか?京都"), (6, "日本の空"), (7, "คำว่า ไทย นะ"), (8, "one two four"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.edits, x.first_word, x.n_words) for x in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1, 0, 1, 2), (1, 2, 0, 4, 1), (3, 3, 0, 1, 4), (4, 4, 0, 1, 11), (5, 4, 1, 1, 11), (7, 5, 0, 5, 3)}
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
