@@ -31,12 +31,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the smallest id stays; rows without id stay."""
-    heads = jaccard_classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    rank = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    first = (
-        docs.join(heads, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
-    )
+    """Of each group of near copies (five words, 0.8) the row with the smallest id stays; rows without id stay.
+
+    Rows are compared by id and text, so rows that share an id but are no near copies all stay.
+    """
+    keyed = docs.filter("doc_id IS NOT NULL").withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = jaccard_classes(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    heads = (
+        found.join(keyed.select("_key", "doc_id").distinct(), "_key")
+        .groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("_head")).select("_head._key")
+    )
+    rank = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
+    first = keyed.join(heads, "_key", "left_semi").withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1")
     return first.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 

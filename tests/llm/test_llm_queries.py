@@ -36,3 +36,13 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     got = {r.doc_id: (r.n_tokens, list(r.ids), r.decoded) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == brute.pipeline(docs.collect(), bench.collect())
     assert 0 < len(got) < docs.count()
+
+
+def test_rows_that_share_an_id_stay_unless_copied(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("a")), (2, text("c")), (3, text("c") + " more"), (4, ""), (4, text("d")), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.jaccard_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, "a0"), (1, "b0"), (2, "c0"), (4, ""), (4, "d0"), (None, "a0")]
+    assert sorted(((r.doc_id, r.text[:2]) for r in got.collect()), key=repr) == sorted(want, key=repr)
