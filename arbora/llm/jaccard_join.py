@@ -187,11 +187,13 @@ def verified(pairs: DataFrame, docs: DataFrame, orders: DataFrame, spec: Spec) -
     return links
 
 
-def jaccard_classes(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` for every document.
+def jaccard_classes(
+    docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", text_col: str = "text", every_link: bool = False
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every document, and ``n_links`` with ``every_link``.
 
-    ``component_id`` is the smallest id that links reach; ``n_links`` counts the verified links of the document's class
-    that tie the component together, its exact copies excluded.
+    ``component_id`` is the smallest id that links reach; ``n_links`` counts all classes that the document's class is
+    linked with, its exact copies excluded. For that, pairs inside components are formed and verified too.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
@@ -253,11 +255,14 @@ def jaccard_classes(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
     )
     main, _ = materialize(main, "main")
     opened, _ = materialize(labelled.join(main, "token"), "open")
-    a, b = opened.filter("comp <> main").alias("a"), opened.alias("b")
+    if every_link:
+        a, b, apart = labelled.alias("a"), labelled.alias("b"), F.col("a.node") < F.col("b.node")
+    else:
+        a, b, apart = opened.filter("comp <> main").alias("a"), opened.alias("b"), F.col("a.comp") != F.col("b.comp")
     cross = a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.comp") != F.col("b.comp"))
+        & apart
         & bound(F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")),
     ).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
     cross, cross_at = materialize(cross.distinct().join(star, ["u", "v"], "left_anti"), "cross")
@@ -266,12 +271,11 @@ def jaccard_classes(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
     links, _ = materialize(links, "all-links")
     final = components(links)
 
-    degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named, _ = materialize(
-        classes.join(final, "node", "left").join(degree, "node", "left")
-        .select("set_hash", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
-        "named",
-    )
+    classes = classes.join(final, "node", "left").select("node", "set_hash", F.coalesce("comp", "node").alias("comp"))
+    if every_link:
+        degree = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        classes = classes.join(degree, "node", "left")
+    named, _ = materialize(classes.drop("node"), "named")
     return (
         sets.select("doc_id", "n", "set_hash")
         .join(named, "set_hash", "left")
@@ -279,6 +283,6 @@ def jaccard_classes(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id"
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if every_link else []),
         )
     )

@@ -347,6 +347,23 @@ def test_jaccard_classes(spark, spec):
     assert got == brute.components(rows, spec.words, spec.num, spec.den)
 
 
+def test_every_link_is_counted(spark):
+    r = random.Random(2)
+    base, rows = [f"w{i}" for i in range(90)], []
+    for i in range(24):
+        w = list(base)
+        w[r.randrange(len(w))] = f"x{i}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w).upper() if i % 4 == 0 else f"alone {i} " * 9)]
+    rows.append((99, None))
+    sets = {i: frozenset(brute.shingles(t, 5)) for i, t in rows}
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {i: sum(near(s, o) for o in set(sets.values()) - {s} if s and o) for i, s in sets.items()}
+    classes = jaccard_classes(frame(spark, rows), Spec(), every_link=True)
+    got = {x.doc_id: (x.component_id, x.n_links) for x in classes.collect()}
+    assert {i: n for i, (_, n) in got.items()} == want and max(want.values()) > 5
+    assert {i: c for i, (c, _) in got.items()} == {i: c for i, (_, c) in brute.components(rows, 5, 80, 100).items()}
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
