@@ -34,8 +34,6 @@ class Params:
     grams: tuple[int, ...] = (2, 3, 4)
     #: The bound of the training sample: so many labelled rows of each class, those of smallest hash.
     per_class: int = 1500
-    #: So many of a text's distinct features at most enter training (the most frequent); scoring uses all.
-    train_features: int = 1500
     epochs: int = 8
     rate: float = 0.4
     seed: int = 7
@@ -68,9 +66,8 @@ def text_features(text: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
             total[bucket(g, len(g), p)] += n
     if twice := repeats(words):
         total[bucket(PAIR, 1, p)] += twice
-    top = total.most_common(p.train_features)
-    counts = np.array([c for _, c in top], dtype=np.float64)
-    return np.array([f for f, _ in top], dtype=np.int64), counts / max(sum(total.values()), 1)
+    counts = np.fromiter(total.values(), np.float64, len(total))
+    return np.fromiter(total, np.int64, len(total)), counts / max(counts.sum(), 1)
 
 
 @dataclass
@@ -149,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), label_col: str
     buckets, shares = rows.column("buckets").combine_chunks(), rows.column("shares").combine_chunks()
     order_ = np.lexsort((labels_, ids))
     made = [
-        (int(labels_[i]), buckets[int(i)].values.to_numpy().astype(np.int64), shares[int(i)].values.to_numpy().astype(np.float64))
+        (int(labels_[i]), buckets[int(i)].values.to_numpy(), shares[int(i)].values.to_numpy())  # views: texts may be long
         for i in order_
         if len(buckets[int(i)].values)
     ]

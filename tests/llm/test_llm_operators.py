@@ -218,6 +218,12 @@ def test_classifier_edges(spark):
     assert quality_classifier.quality_classifier(frame(spark, []), labels).count() == 0
 
 
+def test_training_uses_whole_texts():
+    p = quality_classifier.Params()
+    buckets, shares = quality_classifier.text_features(" ".join(f"word{i}" for i in range(3000)) + " farend", p)
+    assert quality_classifier.bucket("farend", 0, p) in buckets and abs(shares.sum() - 1) < 1e-9
+
+
 def test_scorer_equals_the_averaged_vectors():
     p = quality_classifier.Params(buckets=1 << 10)
     w = np.random.default_rng(0).normal(size=p.buckets)
