@@ -116,7 +116,7 @@ def blocks_of(page: str) -> list[Block]:
         else:
             words = []
         names.append(tag)
-        stack.append(" ".join([tag, *words[:12]]))
+        stack.append(" ".join([tag, *dict.fromkeys(words)]))
     if seen < len(page):
         tail = page[seen:]
         if not tail.startswith("<") or len(tail) < 2 or not tail[1].isalpha():

@@ -93,6 +93,12 @@ def test_viterbi_is_the_best_labelling():
         assert value(chain.viterbi(scores)) == pytest.approx(best)
 
 
+def test_names_behind_many_utility_classes_are_seen():
+    utility = " ".join(f"mt{c} px{c}" for c in "abcdefgh")
+    (block,) = html_extract.blocks_of(f'<div class="{utility} {utility} sidebar"><p>Some text here.</p></div>')
+    assert {"w:sidebar", "w:px", "w:mta"} & set(html_extract.path_features(block.path)) >= {"w:sidebar", "w:mta"}
+
+
 def test_extraction(spark):
     article = "<h1>Title &amp; more</h1><p>First   para\n with <b>bo</b>ld &lt;x&gt;.</p><p>Second one, rather long, it is.<br>End.</p>"
     clutter = "<nav><ul><li><a href=/a>Home</a></li></ul></nav><div class='cookie-notice'>We use cookies.</div>"
