@@ -39,7 +39,8 @@ def paths(edge: DataFrame, roots: DataFrame, max_depth: int = 30, label: str | N
     """All paths from the roots: ``root, node, depth, path`` (and ``labels``), with ``cycle`` where a path closes.
 
     ``edge`` has ``parent, child`` (and ``label`` of the child); ``roots`` has ``root`` (and the label). One recursive
-    query; a path that meets one of its own nodes is given out once with ``cycle`` set, and not followed further.
+    query; a path that meets one of its own nodes is given out once with ``cycle`` set, and not followed further. A path
+    that would go deeper than ``max_depth`` is an error.
     """
     if label is not None and not _NAME.match(label):
         raise ValueError(label)
@@ -56,9 +57,10 @@ def paths(edge: DataFrame, roots: DataFrame, max_depth: int = 30, label: str | N
           UNION ALL
           SELECT p.root, e.child, p.depth + 1, array_append(p.path, e.child){step}, array_contains(p.path, e.child)
           FROM p JOIN edge_{tag} e ON e.parent = p.node
-          WHERE NOT p.cycle AND p.depth < {int(max_depth)}
+          WHERE NOT p.cycle AND p.depth <= {int(max_depth)}
         )
-        SELECT * FROM p
+        SELECT * FROM p WHERE CASE WHEN depth > {int(max_depth)}
+          THEN CAST(raise_error('a path goes deeper than max_depth {int(max_depth)}') AS BOOLEAN) ELSE true END
         """
     )
 
@@ -71,7 +73,7 @@ def paths_by_joins(edge: DataFrame, roots: DataFrame, max_depth: int = 30) -> Da
         "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(False).alias("cycle")
     )
     done = [level]
-    for _ in range(max_depth):
+    for depth in range(max_depth + 1):
         level = (
             level.filter("NOT cycle").join(edge.select("parent", "child"), F.col("node") == F.col("parent"))
             .select(
@@ -82,6 +84,8 @@ def paths_by_joins(edge: DataFrame, roots: DataFrame, max_depth: int = 30) -> Da
         )
         if level.isEmpty():
             break
+        if depth == max_depth:
+            raise ValueError(f"a path goes deeper than max_depth {max_depth}")
         done.append(level)
     return reduce(DataFrame.unionByName, done)
 

@@ -82,6 +82,15 @@ def test_paths_against_a_walk(spark):
     assert sorted(tuple(x.path) for x in got) == sorted(want)
 
 
+def test_paths_deeper_than_the_bound_are_an_error(spark):
+    edge = spark.createDataFrame([(i, i + 1) for i in range(4)], "parent long, child long")
+    roots = spark.createDataFrame([(0,)], "root long")
+    for f in (graph.paths, graph.paths_by_joins):
+        assert f(edge, roots, max_depth=4).count() == 5
+        with pytest.raises(Exception, match="deeper than max_depth 3"):
+            f(edge, roots, max_depth=3).select("root").count()
+
+
 def test_parents_are_resolved_or_reported(spark):
     df = spark.createDataFrame(
         [("P", "a", None, 1), ("P", "b", "a", 2), ("P", "c", "z", 3), ("P", "d", "P", 4), ("P", "e", "f", 5), ("P", "f", "P", 6), ("P", "f", "P", 7)],
