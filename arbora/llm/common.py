@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: While a table is written: shuffle files go with the step's end, as what it made is in the table by then; and rows
+#: reach Python in small batches, so that long texts do not add up.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,9 +47,10 @@ _roots: set[str] = set()
 def _forget(root: str) -> None:
     """Delete this process's tables when it ends."""
     if SparkContext._gateway is not None:
-        jvm = SparkContext._gateway.jvm
+        jvm, active = SparkContext._gateway.jvm, SparkContext._active_spark_context
+        held = active._jsc.hadoopConfiguration() if active is not None else jvm.org.apache.hadoop.conf.Configuration()
         path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        path.getFileSystem(held).delete(path, True)
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -58,18 +66,61 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder and read it back: this cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    held = {key: spark.conf.get(key, None) for key in WHILE_WRITING}
+    for key, value in WHILE_WRITING.items():
+        spark.conf.set(key, value)
+    try:
+        df.write.parquet(path)
+    finally:
+        for key, value in held.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of :func:`materialize` that no later plan reads, and let shuffle files of finished steps go."""
+    """Delete tables of :func:`materialize` that no later plan reads."""
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    # Shuffle files of finished steps go once the driver has collected the plans that name them.
-    gc.collect()
-    spark._jvm.System.gc()
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores in front until no column of ``frames`` has it, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (bytes); emptied when it is full."""
+
+    LIMIT = 100_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) < 64:
+            self[word] = value
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, words)), dtype=np.uint64)
+
+
+word_hashes = WordHashes()
+
+
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of every ``k`` words in a row, from the hashes of the words."""
+    out = np.full(max(0, len(words) - k + 1), k, dtype=np.uint64)
+    for j in range(k):
+        out = (out ^ words[j : j + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(31))
 
 
 def let(value: Column, body) -> Column:
