@@ -5,8 +5,14 @@ and words of class, id and role) and of its text. A two-label chain is trained b
 log-likelihood of labelled pages, and the best labelling of a page is found by Viterbi. The labelled pages are
 generated from a fixed seed: many layouts of menus, notices, adverts, articles, comments and footers.
 
-Defined cases: a null or empty page, and one without text, gives an empty text; unclosed tags, comments and scripts end
-with the page; repeated rows give the same text; an empty table gives an empty result; extra columns are not read.
+A page is read in one pass, in time in proportion to its length, whatever its nesting and quotes. Names of elements are
+taken whole, so that ``<object-view>`` is no ``<object>``.
+
+Defined cases: a null or empty page, and one without text, gives an empty text; a page of plain text without markup is
+its own main text; unclosed tags, comments, scripts and styles end with the page, other unclosed elements that hold no
+text of the page are ignored; a quote that is never closed is a character like others; what ``hidden``, ``aria-hidden``
+or ``display: none`` hides is no main text; repeated rows give the same text; an empty table gives an empty result;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,109 +41,196 @@ CLOSES_P = frozenset(
 )
 SELF_CLOSING = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|object|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?",
-    re.S | re.I,
-)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b", re.I)
+#: What these elements hold is no text of the page; of the first group, to the page's end where they are not closed.
+RAW = frozenset("script style textarea title".split())
+APART = RAW | frozenset("noscript template svg iframe object select button".split())
+CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in APART}
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>]+)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PARTS = re.compile(r"[a-z]+")
 
 
-@dataclass
+@dataclass(slots=True)
+class Node:
+    """An open element: its features that no element around it has, and where it stands."""
+
+    tag: str
+    parent: Node | None
+    features: tuple[str, ...]
+    score: float | None = None
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[str, ...]
+    node: Node | None
     linked: float  # share of the characters inside links
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, white space folded and references decoded."""
-    out: list[Block] = []
-    stack: list[str] = []  # "tag class-words"
-    names: list[str] = []
-    text: list[str] = []
-    linked, in_link, seen = 0, False, 0
-
-    def flush():
-        nonlocal linked
-        if text:
-            raw = "".join(text)
-            folded = " ".join(html_lib.unescape(raw).split())
+def tag_end(page: str, at: int, never: dict[str, bool]) -> int:
+    """Where the tag's ``>`` stands, -1 if nowhere; ``never`` keeps which quotes do not occur any more."""
+    while True:
+        stop = page.find(">", at)
+        if stop < 0:
+            return -1
+        equals = page.find("=", at, stop)
+        if equals < 0:
+            return stop
+        at = equals + 1
+        while at < stop and page[at].isspace():
+            at += 1
+        quote = page[at]
+        if quote in "\"'" and not never.get(quote):
+            close = page.find(quote, at + 1)
+            if close < 0:
+                never[quote] = True
+            else:
+                at = close + 1
+
+
+def attribute_words(attributes: str) -> list[str]:
+    """The distinct words of class, id and role, and a mark for a part that is hidden."""
+    words, unseen = [], False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            words += PARTS.findall(value.lower())
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and UNSEEN.search(value)):
+            unseen = True
+    return [*dict.fromkeys(words), *["hiddenpart"] * unseen]
+
+
+class Reader:
+    """Cuts a page into its leaf blocks in order, white space folded and references decoded."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[Node, list[str]]] = []  # open elements with all their features
+        self.places: dict[str, list[int]] = {}  # where the elements of a name stand in the stack
+        self.held: dict[str, int] = {}  # features of open elements
+        self.text: list[str] = []
+        self.size = self.linked = 0
+        self.in_link = False
+
+    def add(self, piece: str) -> None:
+        self.text.append(piece)
+        self.size += len(piece)
+        if self.in_link:
+            self.linked += len(piece)
+
+    def flush(self) -> None:
+        if self.text:
+            folded = " ".join(html_lib.unescape("".join(self.text)).split())
             if folded:
-                out.append(Block(folded, tuple(stack), min(1.0, linked / max(1, len(raw)))))
-            text.clear()
-        linked = 0
-
-    def close(name):
-        for i in range(len(names) - 1, -1, -1):
-            if names[i] == name:
-                del names[i:], stack[i:]
-                return
-
-    for m in TOKEN.finditer(page):
-        start = m.start()
-        if start > seen:
-            piece = page[seen:start]
-            text.append(piece)
-            if in_link:
-                linked += len(piece)
-        seen = m.end()
-        tag = m.group(3)
-        if tag is None:
-            if m.group(1):
-                flush() if m.group(1).lower() != "button" else None
-            continue
-        tag = tag.lower()
+                node = self.stack[-1][0] if self.stack else None
+                self.blocks.append(Block(folded, node, min(1.0, self.linked / max(1, self.size))))
+            self.text = []
+        self.size = self.linked = 0
+
+    def open(self, tag: str, attributes: str) -> None:
+        mine = ["t:" + tag]
+        if attributes:
+            for w in attribute_words(attributes):
+                mine.append("w:" + w)
+                if len(w) > 6:
+                    mine.append("w:" + w[:6] + "*")
+            mine = list(dict.fromkeys(mine))
+        new = tuple(f for f in mine if not self.held.get(f))
+        for f in mine:
+            self.held[f] = self.held.get(f, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((Node(tag, self.stack[-1][0] if self.stack else None, new), mine))
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of the name, and all inside it."""
+        if spots := self.places.get(tag):
+            for node, mine in reversed(self.stack[spots[-1] :]):
+                self.places[node.tag].pop()
+                for f in mine:
+                    self.held[f] -= 1
+                self.stack.pop()
+
+    def innermost(self, *tags: str) -> int:
+        return max((spots[-1] for t in tags if (spots := self.places.get(t))), default=-1)
+
+    def read(self) -> list[Block]:
+        page, at, size = self.page, 0, len(self.page)
+        never: dict[str, bool] = {}
+        while at < size:
+            start = page.find("<", at)
+            if start < 0:
+                self.add(page[at:])
+                break
+            if start > at:
+                self.add(page[at:start])
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if page.startswith(("<!", "<?"), start):
+                end = page.find(">", start)
+                at = size if end < 0 else end + 1
+                continue
+            m = TAG.match(page, start + 1)
+            if m is None:
+                self.add("<")
+                at = start + 1
+                continue
+            end = tag_end(page, m.end(), never)
+            if end < 0:
+                break
+            at = end + 1
+            tag = m[2].lower()
+            if tag in APART and not m[1] and not never.get(tag):
+                closing = CLOSING[tag].search(page, at)
+                if tag != "button":
+                    self.flush()
+                if closing or tag in RAW:
+                    at = closing.end() if closing else size
+                    continue
+                never[tag] = True
+            self.element(tag, bool(m[1]), page[m.end() : end])
+        self.flush()
+        return self.blocks
+
+    def element(self, tag: str, closes: bool, attributes: str) -> None:
         if tag in INLINE:
             if tag == "a":
-                in_link = not m.group(2)
+                self.in_link = not closes
             elif tag == "br":
-                text.append(" ")
-            continue
-        flush()
-        if m.group(2):
-            close(tag)
-            continue
-        if tag in CLOSES_P and "p" in names:
-            close("p")
-        elif tag in SELF_CLOSING and tag in names:
-            within = max((i for i, n in enumerate(names) if n in SELF_CLOSING[tag]), default=-1)
-            if tag in names[within + 1 :]:
-                close(tag)
-        if tag in VOID:
-            continue
-        attributes = m.group(4)
-        if attributes:
-            words = PARTS.findall(" ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower())
-            if HIDDEN.search(attributes):
-                words.append("hiddenpart")
-        else:
-            words = []
-        names.append(tag)
-        stack.append(" ".join([tag, *dict.fromkeys(words)]))
-    if seen < len(page):
-        tail = page[seen:]
-        if not tail.startswith("<") or len(tail) < 2 or not tail[1].isalpha():
-            text.append(tail)
-    flush()
-    return out
+                self.text.append(" ")
+            return
+        self.flush()
+        if closes:
+            self.close(tag)
+            return
+        if tag in CLOSES_P:
+            self.close("p")
+        elif tag in SELF_CLOSING and self.innermost(tag) > self.innermost(*SELF_CLOSING[tag]):
+            self.close(tag)
+        if tag not in VOID:
+            self.open(tag, attributes)
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The leaf blocks of a page in order."""
+    return Reader(page).read()
+
 
+def own_features(node: Node | None) -> list[str]:
+    """What the innermost element adds by its place: its name, alone and behind its parent's."""
+    tag = node.tag if node else ""
+    return ["leaf:" + tag, "two:" + (f"{node.parent.tag}>{tag}" if node and node.parent else tag)]
 
-def path_features(path: tuple[str, ...]) -> list[str]:
+
+def path_features(node: Node | None) -> list[str]:
     """Ancestor tags and name words; the innermost tag and its parent also by place."""
-    out = set()
-    for entry in path:
-        tag, *words = entry.split()
-        out.add("t:" + tag)
-        for w in words:
-            out.add("w:" + w)
-            if len(w) > 6:
-                out.add("w:" + w[:6] + "*")
-    tags = [e.split(" ", 1)[0] for e in path]
-    out.add("leaf:" + (tags[-1] if tags else ""))
-    out.add("two:" + ">".join(tags[-2:]))
+    out = own_features(node)
+    while node is not None:
+        out += node.features
+        node = node.parent
     return sorted(out)
 
 
@@ -178,8 +271,42 @@ class Chain:
         return labels[::-1]
 
 
+def likelihood(feats: list[np.ndarray], labels: list[int], w: np.ndarray, moves: np.ndarray) -> tuple[float, list[float], np.ndarray]:
+    """A page's conditional log-likelihood with its slopes: by block score, and by move. Forward-backward over two labels."""
+    lse = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y)))
+    n = len(feats)
+    emit = [float(w[f].sum()) for f in feats]
+    fwd = [(moves[2, 0], moves[2, 1] + emit[0])]
+    for i in range(1, n):
+        a, b = fwd[-1]
+        fwd.append((lse(a + moves[0, 0], b + moves[1, 0]), lse(a + moves[0, 1], b + moves[1, 1]) + emit[i]))
+    bwd = [(0.0, 0.0)] * n
+    for i in range(n - 2, -1, -1):
+        c, d = bwd[i + 1]
+        d += emit[i + 1]
+        bwd[i] = (lse(moves[0, 0] + c, moves[0, 1] + d), lse(moves[1, 0] + c, moves[1, 1] + d))
+    total = lse(*fwd[-1])
+    value = moves[2, labels[0]] + sum(e for e, y in zip(emit, labels) if y) - total
+    by_block, slope = [], np.zeros((3, 2))
+    for i in range(n):
+        p = math.exp(min(0.0, fwd[i][1] + bwd[i][1] - total))
+        by_block.append(labels[i] - p)
+        if i:
+            value += moves[labels[i - 1], labels[i]]
+            for x in (0, 1):
+                for y in (0, 1):
+                    q = fwd[i - 1][x] + moves[x, y] + (emit[i] if y else 0.0) + bwd[i][y] - total
+                    slope[x, y] -= math.exp(min(0.0, q))
+            slope[labels[i - 1], labels[i]] += 1
+        else:
+            slope[2, 0] -= 1 - p
+            slope[2, 1] -= p
+            slope[2, labels[0]] += 1
+    return float(value), by_block, slope
+
+
 def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 12, rate: float = 0.15, decay: float = 1e-4, seed: int = 3) -> Chain:
-    """Stochastic gradient ascent on the conditional log-likelihood, by forward-backward over two labels."""
+    """Stochastic gradient ascent on the conditional log-likelihood."""
     index: dict[str, int] = {}
     data = []
     for feats, labels in pages:
@@ -187,38 +314,14 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 12, rate
             data.append(([np.array([index.setdefault(f, len(index)) for f in fs]) for fs in feats], labels))
     w, moves = np.zeros(len(index)), np.zeros((3, 2))
     rng = np.random.default_rng(seed)
-    lse = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y)))
     for epoch in range(epochs):
         step = rate / (1 + 0.3 * epoch)
         for k in rng.permutation(len(data)):
             feats, labels = data[k]
-            n = len(feats)
-            emit = [float(w[f].sum()) for f in feats]
-            fwd = [(moves[2, 0], moves[2, 1] + emit[0])]
-            for i in range(1, n):
-                a, b = fwd[-1]
-                fwd.append((lse(a + moves[0, 0], b + moves[1, 0]), lse(a + moves[0, 1], b + moves[1, 1]) + emit[i]))
-            bwd = [(0.0, 0.0)] * n
-            for i in range(n - 2, -1, -1):
-                c, d = bwd[i + 1]
-                d += emit[i + 1]
-                bwd[i] = (lse(moves[0, 0] + c, moves[0, 1] + d), lse(moves[1, 0] + c, moves[1, 1] + d))
-            total = lse(*fwd[-1])
-            slope = np.zeros((3, 2))
+            _, by_block, slope = likelihood(feats, labels, w, moves)
             w *= 1 - step * decay
-            for i in range(n):
-                p = math.exp(min(0.0, fwd[i][1] + bwd[i][1] - total))
-                w[feats[i]] += step * (labels[i] - p)
-                if i:
-                    for x in (0, 1):
-                        for y in (0, 1):
-                            q = fwd[i - 1][x] + moves[x, y] + (emit[i] if y else 0.0) + bwd[i][y] - total
-                            slope[x, y] -= math.exp(min(0.0, q))
-                    slope[labels[i - 1], labels[i]] += 1
-                else:
-                    slope[2, 0] -= 1 - p
-                    slope[2, 1] -= p
-                    slope[2, labels[0]] += 1
+            for f, x in zip(feats, by_block):
+                w[f] += step * x
             moves += step * 0.3 * slope
     return Chain({f: float(w[i]) for f, i in index.items()}, moves.tolist())
 
@@ -253,6 +356,8 @@ class Pages:
         r = self.r
         tag, _, rest = names.partition(" ")
         word = r.choice(rest.split()) if rest else ""
+        if word and r.random() < 0.15:
+            word = f"{word}-{self.pick('slot', 'area', 'wrap', 'inner', 'block')} {r.choice(rest.split())}"
         mark = "" if not word else f' class="{word}"' if r.random() < 0.6 else f' id="{word}"' if r.random() < 0.6 else f' class="box {word} x{r.randint(1, 9)}"'
         return f"<{tag}{mark}>{inner}</{tag}>"
 
@@ -303,22 +408,43 @@ class Pages:
             self.box(self.pick("div breadcrumbs breadcrumb", "nav breadcrumb pagination", "div pager"), self.links(2, 4)),
         )
 
+    def hidden(self) -> str:
+        r, inner = self.r, self.words(self.r.randint(2, 30))
+        mark = self.pick('style="display:none"', "style='margin:0; display: none;'", "hidden", 'aria-hidden="true"', 'class="x" hidden')
+        tag = self.pick("div", "p", "section", "li")
+        return f"<{tag} {mark}>{inner if r.random() < 0.6 else f'<p>{inner}</p>'}</{tag}>"
+
+    def bare(self) -> str:
+        """A page that is all article: plain text, or paragraphs with nothing around them."""
+        r, m = self.r, self.MARK
+        body = self.pick(m + self.words(r.randint(1, 60)), self.paragraphs(r.randint(1, 4), m))
+        if r.random() < 0.4:
+            return body
+        body = (f"<h1>{m}{self.words(r.randint(1, 6))}</h1>" if r.random() < 0.4 else "") + body
+        return f"<html><body>{body}</body></html>" if r.random() < 0.6 else f"<html><head><title>{self.words(3)}</title></head><body><div>{body}</div></body></html>"
+
     def page(self) -> str:
         r, m = self.r, self.MARK
+        if r.random() < 0.08:
+            return self.bare()
         title = self.words(r.randint(2, 12))
         head = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{title}</title><style>p{{margin:0}}</style><script>var t='<p>x</p>';</script></head><body>"
         top = [self.box(self.pick("nav", "nav menu navbar", "ul menu nav", "div nav navigation menu topnav"), self.links())]
         if r.random() < 0.5:
             top.append(self.box(self.pick("header", "header masthead site-header", "div header masthead banner"), f"<h{self.pick(1, 2, 3)}>{self.words(2)}</h1><p>{self.words(5)}</p>"))
         top += [self.clutter() for _ in range(r.randint(0, 3))]
+        if r.random() < 0.15:
+            top.append(self.hidden())
         if r.random() < 0.3:
             top.append(f"<!-- ad {r.randint(0, 99)} -->")
         inner = ""
         if r.random() < 0.85:
             inner += f"<h1>{m}{title}</h1>" if r.random() < 0.8 else f"<header><h1>{m}{title}</h1></header>"
         inner += self.paragraphs(self.pick(1, 1, 2, 3, 5, 8, 12, 20), m)
-        if r.random() < 0.3:
+        while r.random() < 0.4:
             inner += self.clutter() + self.paragraphs(self.pick(1, 2, 4), m)
+        if r.random() < 0.2:
+            inner += self.hidden() + self.paragraphs(self.pick(1, 2), m)
         if r.random() < 0.2:
             inner += self.comments()
         kind = r.random()
@@ -351,26 +477,32 @@ def labelled(n: int, seed: int) -> list[tuple[list[Block], list[int]]]:
 
 def block_features(blocks: list[Block]) -> list[list[str]]:
     last = len(blocks) - 1
-    return [path_features(b.path) + text_features(b, i == 0, i == last) for i, b in enumerate(blocks)]
+    return [path_features(b.node) + text_features(b, i == 0, i == last) for i, b in enumerate(blocks)]
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 500, seed: int = 11) -> Chain:
+def trained(pages: int = 800, seed: int = 11) -> Chain:
     """The chain fitted to ``pages`` generated pages; takes some seconds on the driver."""
     return train([(block_features(b), y) for b, y in labelled(pages, seed)])
 
 
 def extractor(chain: Chain):
-    """A function from a page to its main text; weights of ancestor paths are cached."""
-    weights, paths = chain.weights, {}
+    """A function from a page to its main text. A node's score is its own features' and its parent's."""
+    weight = chain.weights.get
+
+    def reach(node: Node | None) -> float:
+        chain_up = []
+        while node is not None and node.score is None:
+            chain_up.append(node)
+            node = node.parent
+        total = node.score if node is not None else 0.0
+        for n in reversed(chain_up):
+            total += sum(weight(f, 0.0) for f in n.features)
+            n.score = total
+        return total
 
     def score(b: Block, first: bool, last: bool) -> float:
-        base = paths.get(b.path)
-        if base is None:
-            if len(paths) > 100_000:
-                paths.clear()
-            base = paths[b.path] = sum(weights.get(f, 0.0) for f in path_features(b.path))
-        return base + sum(weights.get(f, 0.0) for f in text_features(b, first, last))
+        return reach(b.node) + sum(weight(f, 0.0) for f in own_features(b.node) + text_features(b, first, last))
 
     def extract(page: str | None) -> str:
         blocks = blocks_of(page) if page else []
