@@ -1,12 +1,14 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The lattice has a node at every character boundary and an edge for every piece. For a byte-pair model a path is
-allowed where every two neighbouring pieces are what the model makes of their concatenation; exactly one allowed path
-reaches each node, so each node keeps one backpointer. Only the last ``longest piece`` nodes can be extended. Once the
-paths from all of them run through one common boundary, the ids before that boundary are committed and dropped.
+The lattice has a node at every character boundary and an edge for every piece. The model is a byte-pair model, whose
+result is no sum of scores; a path costs nothing where every two neighbouring pieces are what the model makes of their
+concatenation, and is barred elsewhere. Exactly one allowed path reaches each node, so each node keeps one backpointer.
+Only the last ``longest`` nodes can be extended, ``longest`` being the length of the longest piece. Once the paths from
+all of them run through one common boundary, the pieces before that boundary are committed and their nodes dropped; a
+window of ``2 * longest`` nodes is looked at for such a boundary whenever it is full.
 
-No piece holds a space mark behind another character, so all paths converge before each space mark; a chunk between
-two such boundaries is encoded once and kept in a bounded cache.
+No piece holds a space mark behind another character, so all paths converge before each space mark, and what lies
+between two such boundaries is committed there; its ids are kept in a bounded cache. Every text takes this one way.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; repeated rows are encoded alike; an empty
 table gives an empty result. The model's space mark U+2581 in a text decodes as a space, as the model defines.
@@ -116,8 +118,6 @@ class Codec:
         self.fit: dict[tuple[str, str], bool] = {}
         #: Pieces that the model leaves in one; only these are edges.
         good = {p for p in self.ids if len(self.merge(p)) == 1}
-        #: Every ending of such a piece: whether it is one itself.
-        self.endings = {p[i:]: p[i:] in good for p in good for i in range(len(p))}
         self.edges = ahocorasick.Automaton()
         for p in good:
             self.edges.add_word(p, p)
@@ -149,18 +149,20 @@ class Codec:
         got = self.fit[left, right] = self.merge(left + right) == [left, right]
         return got
 
-    def short(self, text: str) -> list[str]:
-        """As :meth:`stream` for a text that the window holds whole; one automaton finds all edges."""
-        last: list[str | None] = [None] * (len(text) + 1)
-        last[0], settled = "", 0
-        known, fits = self.fit.get, self.fits
+    def stream(self, text: str) -> list[str]:
+        """The pieces of ``text``; nodes behind the last boundary on which all surviving paths agree are dropped."""
+        last = {0: ""}  # node -> the piece that its path ends with
+        known, fits, window, out = self.fit.get, self.fits, 2 * self.longest, []
+        settled = done = 0
         for end, piece in self.edges.iter(text):
             end += 1
-            while settled < end - 1:
+            while settled < end - 1:  # no more edges end there
                 settled += 1
-                if last[settled] is None:
+                if settled not in last:
                     last[settled] = text[settled - 1]  # a character outside the vocabulary
-            if last[end] is None:
+                if settled - done >= window:
+                    done = self.commit(last, done, settled, out)
+            if end not in last:
                 before = last[end - len(piece)]
                 if before:
                     ok = known((before, piece))
@@ -168,48 +170,28 @@ class Codec:
                         continue
                 last[end] = piece
         for n in range(settled + 1, len(text) + 1):
-            if last[n] is None:
+            if n not in last:
                 last[n] = text[n - 1]
-        return self.path(last, 0, len(text))
-
-    def stream(self, text: str):
-        """The pieces of ``text``, given out as soon as all surviving paths agree on them."""
-        ending, longest, fits, known = self.endings.get, self.longest, self.fits, self.fit.get
-        last = {0: ""}  # node -> the piece that its path ends with
-        done, size = 0, len(text)
-        for end in range(1, size + 1):
-            for start in range(end - 1, max(done, end - longest) - 1, -1):
-                piece = text[start:end]
-                edge = ending(piece)
-                if start == end - 1:
-                    pass  # a single character is always an edge
-                elif edge is None:
-                    break
-                elif not edge:
-                    continue
-                before = last[start]
-                if before:
-                    ok = known((before, piece))
-                    if not (fits(before, piece) if ok is None else ok):
-                        continue
-                last[end] = piece
-                break
-            if end == size:
-                yield from self.path(last, done, end)
-            elif end - done >= 4 * longest:
-                # The nodes that can still be extended are followed back; what all of them share is committed.
-                chains = []
-                for n in range(max(done, end - longest + 1), end + 1):
-                    chain = [n]
-                    while chain[-1] > done:
-                        chain.append(chain[-1] - len(last[chain[-1]]))
-                    chains.append(set(chain))
-                meet = max(set.intersection(*chains))
-                yield from self.path(last, done, meet)
-                # The piece before the boundary stays, as the next one must fit it.
-                for n in [n for n in last if n < meet]:
-                    del last[n]
-                done = meet
+            if n - done >= window:
+                done = self.commit(last, done, n, out)
+        out += self.path(last, done, len(text))
+        return out
+
+    def commit(self, last: dict[int, str], done: int, end: int, out: list[str]) -> int:
+        """Give out the pieces before the last boundary that the paths from all nodes that can still be extended share."""
+        shared = None
+        for n in range(end, end - self.longest, -1):
+            chain = {n}
+            while n > done:
+                n -= len(last[n])
+                chain.add(n)
+            shared = chain if shared is None else shared & chain
+        meet = max(shared)
+        if meet > done:
+            out += self.path(last, done, meet)
+            for n in range(done, meet):  # the piece before the boundary stays, as the next one must fit it
+                last.pop(n, None)
+        return meet
 
     @staticmethod
     def path(last, start: int, end: int) -> list[str]:
@@ -229,8 +211,7 @@ class Codec:
         return found if self.bytes else (self.unknown,)
 
     def chunk(self, text: str) -> tuple[int, ...]:
-        pieces = self.short(text) if len(text) <= 4 * self.longest else self.stream(text)
-        return tuple(i for p in pieces for i in self.numbers(p))
+        return tuple(i for p in self.stream(text) for i in self.numbers(p))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
