@@ -6,7 +6,9 @@ gradient descent. As softmax over two classes of an average of vectors needs onl
 that number and adds up cached words.
 
 Defined cases: a null or empty text, and one without words, gets the share of label 1 in training; repeated rows
-score alike; an empty table gives an empty result; without usable labels every score is 0.5; null labels are ignored.
+score alike; of rows that share a labelled id, the one whose text has the smallest hash is learned from, and repeated
+labels count once; an empty table gives an empty result; without usable labels every score is 0.5; null labels are
+ignored; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ class Params:
     buckets: int = 1 << 17
     dim: int = 12
     grams: tuple[int, ...] = (2, 3, 4)
-    #: The bound of the training sample: so many labelled rows of each class, those of smallest hash.
+    #: The bound of the training sample: so many labelled ids of each class, those of smallest hash, one row each.
     per_class: int = 1500
     epochs: int = 8
     rate: float = 0.4
@@ -115,17 +117,19 @@ def in_training(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), label_col: str = "quality") -> Model:
-    """Train on at most ``2 * p.per_class`` labelled rows; features are taken on the executors, so texts stay there."""
+    """Train on at most ``2 * p.per_class`` rows; features are taken on the executors, so texts stay there."""
     usable = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).filter(
         F.col("label").isin(0, 1) & in_training("doc_id")
-    )
+    ).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = None
     for c in (0, 1):
         part = usable.filter(F.col("label") == c).orderBy(*order).limit(p.per_class)
         picked = part if picked is None else picked.union(part)
-    # The sample has a fixed bound, so it may be broadcast.
+    # The picked ids have a fixed bound, so they may be broadcast; rows that share one are cut to one per task, then to one.
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    sample = sample.groupBy("doc_id", "label").agg(one).select("doc_id", "label", "one.text")
 
     def featured(batches):
         for batch in batches:
