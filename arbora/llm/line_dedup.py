@@ -12,9 +12,10 @@ a line must share a half (first filter). Cut into blocks of BLOCK characters fro
 on all blocks but a stretch of less than two blocks (second filter), and only characters of that stretch are deleted.
 This keeps the work in proportion to a line's length.
 
-Defined cases: lines without a word always stay; lines shorter than MIN_NEAR are matched exactly only; a null text stays
-null and has no lines; null ids count as the latest; rows that repeat id and text share one verdict; an empty table
-gives an empty result; extra columns pass through ``dedup_documents`` and are not read.
+Defined cases: lines without a word always stay; lines shorter than ``min_near`` are matched exactly only, as one edit
+makes another word of a short line; with 0 all lines are matched within the edit. A null text stays null and has no
+lines; null ids count as the latest; rows that repeat id and text share one verdict; an empty table gives an empty
+result; extra columns pass through ``dedup_documents``, whatever their names, and are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import let, materialize, remove
+from arbora.llm.common import fresh, let, materialize, remove
 
 BLOCK, MIN_NEAR = 8, 20
-#: Up to this number of candidate lines a broadcast filters the second scan; beyond it the scan is joined by shuffle.
-BROADCAST_LINES = 2_000_000
+#: Up to this number of candidate lines (some 100 bytes each) a broadcast filters the second scan; beyond it the scan is
+#: joined by shuffle.
+BROADCAST_LINES = 500_000
 WORD = r"[^\x20\x09-\x0D]"
 LAST = (1 << 63) - 1
 
@@ -95,10 +97,10 @@ def block_keys(norm: Column, n: Column, m: Column) -> Column:
     return let(block, lambda b: let(total, lambda t: pieces(b, t)))
 
 
-def near_pairs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_pairs(docs: DataFrame, distinct: DataFrame, min_near: int) -> DataFrame:
     """``h1, h2, earlier``: distinct lines with the place of their earliest partner, where that stands earlier."""
     spark = docs.sparkSession
-    halves = distinct.filter(F.col("n") >= MIN_NEAR).select("h1", "h2", F.explode("halves").alias("half"))
+    halves = distinct.filter(F.col("n") >= min_near).select("h1", "h2", F.explode("halves").alias("half"))
     shared, shared_at = materialize(
         halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half"), "halves"
     )
@@ -164,7 +166,7 @@ def near_pairs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return checked
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, min_near: int = MIN_NEAR) -> DataFrame:
     """``doc_id, text_hash, gone``: the sorted numbers of the lines to remove, for documents that have any."""
     spark = docs.sparkSession
     found = identified(all_lines(docs)).select(
@@ -177,7 +179,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         ),
         "distinct",
     )
-    near = near_pairs(docs, distinct)
+    near = near_pairs(docs, distinct, min_near)
     verdicts = (
         distinct.select("h1", "h2", F.col("at").alias("kept_at"), "c")
         .join(near.select("h1", "h2", F.lit(True).alias("near")), ["h1", "h2"], "left")
@@ -196,16 +198,24 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone
 
 
-def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text's repeated lines removed, and ``_n_lines, _n_removed`` (lines with a word)."""
+def dedup_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n_lines: str = "_n_lines",
+    n_removed: str = "_n_removed",
+    min_near: int = MIN_NEAR,
+) -> DataFrame:
+    """All columns of ``docs`` with the text's repeated lines removed, and two counts of lines with a word, so named."""
     keyed = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")
     )
-    gone = removed_lines(keyed).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    doc, text, cut_col = (fresh(c, docs) for c in ("_doc", "_hash", "_gone"))
+    gone = removed_lines(keyed, min_near).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), F.col("gone").alias(cut_col))
     joined = docs.join(
-        gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text_col)) == F.col("_hash")), "left"
+        gone, F.col(id_col).cast("bigint").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text_col)) == F.col(text)), "left"
     )
-    lines, cut = F.split(text_col, "\n"), F.col("_gone")
+    lines, cut = F.split(text_col, "\n"), F.col(cut_col)
     bounds = F.arrays_zip(
         F.concat(F.array(F.lit(-1)), cut).alias("low"), F.concat(cut, F.array(F.size(lines))).alias("high")
     )
@@ -216,14 +226,12 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.when(cut.isNull(), F.col(c)).otherwise(F.array_join(rest, "\n")).alias(c) if c == text_col else F.col(c)
             for c in docs.columns
         ),
-        counted.cast("bigint").alias("_n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("_n_removed"),
+        counted.cast("bigint").alias(n_lines),
+        F.coalesce(F.size(cut), F.lit(0)).cast("bigint").alias(n_removed),
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
     """``doc_id, n_lines, n_removed, text`` for every document; lines count if they hold a word."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return dedup_documents(plain).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text"
-    )
+    return dedup_documents(plain, n_lines="n_lines", n_removed="n_removed", min_near=min_near).select("doc_id", "n_lines", "n_removed", "text")
