@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*$")
+from arbora.tables import materialize, remove
 
 
 def entities(df: DataFrame, key: list[str]) -> DataFrame:
@@ -38,58 +37,103 @@ def resolve_parents(df: DataFrame, group: str = "parent", child: str = "entity_n
 def paths(edge: DataFrame, roots: DataFrame, max_depth: int = 30, label: str | None = None) -> DataFrame:
     """All paths from the roots: ``root, node, depth, path`` (and ``labels``), with ``cycle`` where a path closes.
 
-    ``edge`` has ``parent, child`` (and ``label`` of the child); ``roots`` has ``root`` (and the label). One recursive
-    query; a path that meets one of its own nodes is given out once with ``cycle`` set, and not followed further. A path
-    that would go deeper than ``max_depth`` is an error.
+    ``edge`` has ``parent, child`` (and ``label`` of the child); ``roots`` has ``root`` (and the label). Every level is
+    one join and one written table, so neither rows nor lineage are bounded by a recursive query's limits. A path that
+    meets one of its own nodes is given out once with ``cycle`` set, and not followed further. A path that would go
+    deeper than ``max_depth`` is an error.
     """
-    if label is not None and not _NAME.match(label):
-        raise ValueError(label)
-    tag = uuid.uuid4().hex
-    spark = edge.sparkSession
-    edge.createOrReplaceTempView(f"edge_{tag}")
-    roots.createOrReplaceTempView(f"root_{tag}")
-    first, step = (f", array({label})", f", array_append(p.labels, e.{label})") if label else ("", "")
-    names = ", labels" if label else ""
-    return spark.sql(
-        f"""
-        WITH RECURSIVE p(root, node, depth, path{names}, cycle) AS (
-          SELECT root, root, 0, array(root){first}, false FROM root_{tag}
-          UNION ALL
-          SELECT p.root, e.child, p.depth + 1, array_append(p.path, e.child){step}, array_contains(p.path, e.child)
-          FROM p JOIN edge_{tag} e ON e.parent = p.node
-          WHERE NOT p.cycle AND p.depth <= {int(max_depth)}
-        )
-        SELECT * FROM p WHERE CASE WHEN depth > {int(max_depth)}
-          THEN CAST(raise_error('a path goes deeper than max_depth {int(max_depth)}') AS BOOLEAN) ELSE true END
-        """
+    labels = [F.array(label).alias("labels")] if label else []
+    level, _ = materialize(
+        roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), *labels, F.lit(False).alias("cycle")),
+        "paths",
     )
-
-
-def paths_by_joins(edge: DataFrame, roots: DataFrame, max_depth: int = 30) -> DataFrame:
-    """As :func:`paths` by one join per level, for trees beyond the recursive query's row limit."""
-    from functools import reduce
-
-    level = roots.select(
-        "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(False).alias("cycle")
-    )
-    done = [level]
-    for depth in range(max_depth + 1):
-        level = (
-            level.filter("NOT cycle").join(edge.select("parent", "child"), F.col("node") == F.col("parent"))
-            .select(
+    step, done = edge.select("parent", "child", *([F.col(label).alias("_label")] if label else [])), [level]
+    while True:
+        further = level.filter("NOT cycle").join(step, F.col("node") == F.col("parent"))
+        if len(done) > max_depth:
+            if further.isEmpty():
+                break
+            raise ValueError(f"a path goes deeper than max_depth {max_depth}")
+        longer = [F.array_append("labels", F.col("_label")).alias("labels")] if label else []
+        level, path = materialize(
+            further.select(
                 "root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"),
-                F.array_append("path", F.col("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cycle"),
-            )
-            .checkpoint()
+                F.array_append("path", F.col("child")).alias("path"), *longer, F.array_contains("path", F.col("child")).alias("cycle"),
+            ),
+            "paths",
         )
         if level.isEmpty():
+            remove(edge.sparkSession, path)
             break
-        if depth == max_depth:
-            raise ValueError(f"a path goes deeper than max_depth {max_depth}")
         done.append(level)
     return reduce(DataFrame.unionByName, done)
 
 
+#: The form by joins is the one form.
+paths_by_joins = paths
+
+
+def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
+    """Connected components of ``edges(u, v)``: rows ``(node, comp)`` with the smallest node of each component.
+
+    Labels spread to neighbours and are then short-cut through the label's own label, so rounds grow with the
+    logarithm of the diameter. Every round is one written table; a hub's neighbours meet only in a partial ``min``.
+    Self-edges and repeats are harmless; an empty input gives an empty result.
+    """
+    spark = edges.sparkSession
+    both, both_path = materialize(
+        edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct(), f"{tag}-edges"
+    )
+    labels, path = materialize(
+        both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("comp")), f"{tag}-labels"
+    )
+    while True:
+        heard = (
+            both.join(labels.withColumnRenamed("node", "v"), "v")
+            .groupBy(F.col("u").alias("node"))
+            .agg(F.min("comp").alias("near"))
+        )
+        step = labels.join(heard, "node").select("node", F.least("comp", "near").alias("mid"), F.col("comp").alias("was"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("root"))
+        new, new_at = materialize(
+            step.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("root", "mid")).alias("comp"), "was"),
+            f"{tag}-labels",
+        )
+        moved = new.filter("comp <> was").limit(1).count()
+        remove(spark, path)
+        labels, path = new.select("node", "comp"), new_at
+        if not moved:
+            remove(spark, both_path)
+            return labels
+
+
+def degrees(edge: DataFrame) -> DataFrame:
+    """Degree centrality of directed ``edge(parent, child)``: ``node, n_out, n_in, degree``."""
+    ends = edge.select(F.col("parent").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(
+        edge.select("child", F.lit(0), F.lit(1))
+    )
+    return ends.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"), F.count(F.lit(1)).alias("degree"))
+
+
+def page_rank(edge: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+    """``node, rank`` after so many rounds over ``edge(parent, child)``; ranks of nodes without children are lost.
+
+    Every round is one join on the edge's start, pre-aggregated by its end, and one written table.
+    """
+    nodes, _ = materialize(edge.select(F.col("parent").alias("node")).union(edge.select("child")).distinct(), "nodes")
+    out, _ = materialize(edge.join(branching(edge).withColumnRenamed("n_children", "n"), "parent").select("parent", "child", "n"), "out")
+    count = nodes.count()
+    base = (1 - damping) / max(1, count)
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, count)))
+    for _ in range(rounds):
+        sent = out.join(ranks, F.col("parent") == F.col("node")).groupBy("child").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
+        ranks, _ = materialize(
+            nodes.join(sent, F.col("node") == F.col("child"), "left").select("node", (F.coalesce("got", F.lit(0.0)) * damping + base).alias("rank")),
+            "ranks",
+        )
+    return ranks
+
+
 def branching(edge: DataFrame, node: str = "parent") -> DataFrame:
     return edge.groupBy(node).agg(F.count(F.lit(1)).alias("n_children"))
 
@@ -140,3 +184,8 @@ def complexity(path: DataFrame, group: str, country: str) -> DataFrame:
 def root_disagreements(path: DataFrame, bucket: str) -> DataFrame:
     """Nodes whose top of the chain differs from the stated parent bucket."""
     return path.filter(~F.col("root").eqNullSafe(F.col(bucket)))
+
+
+def depth_disagreements(path: DataFrame, level: str) -> DataFrame:
+    """Nodes whose depth on a path differs from the stated level; nodes without a level are among them."""
+    return path.filter(~F.col("depth").eqNullSafe(F.col(level)))

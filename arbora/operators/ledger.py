@@ -83,7 +83,7 @@ def most_valuable(ledger: DataFrame, k: int) -> DataFrame:
     return ledger.orderBy(F.col("score").desc(), "finding_id").limit(k)
 
 
-#: Words that a statistical result alone does not support.
+#: Words that a statistical result alone does not support.
 LOADED = ("fraudulent", "illegal", "corrupt", "tax-evasive", "abusive", "improper")
 
 

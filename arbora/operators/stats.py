@@ -6,6 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.tables import materialize
+
+#: Rank error of the sketch that finds where a quantile lies, as one over this; and groups that may be left out in turn.
+ACCURACY, MOST_GROUPS = 10_000, 10_000
+
 
 def shares(df: DataFrame, group: list[str], category: str, weight: str | None = None) -> DataFrame:
     """``num, den, share`` of every category within its group."""
@@ -83,9 +88,111 @@ def leave_one_out(df: DataFrame, group: str, num: Column, den: Column) -> DataFr
 
 
 def leave_one_out_any(df: DataFrame, group: str, statistic) -> DataFrame:
-    """For statistics that do not add up: ``statistic(df)`` by dropped group, over the join with the other groups' list."""
-    groups = df.select(F.col(group).alias("dropped")).distinct()
-    return statistic(df.join(F.broadcast(groups), F.col(group) != F.col("dropped")).groupBy("dropped"))
+    """For statistics that do not add up: ``statistic(grouped)`` by dropped group.
+
+    Every row is read once for each other group, and pre-aggregated where it is read. So the groups must be few; more
+    than MOST_GROUPS are an error.
+    """
+    return statistic(left_out(df, group).groupBy("dropped"))
+
+
+def left_out(df: DataFrame, group: str) -> DataFrame:
+    """Every row beside each group that it is not in, ``dropped``."""
+    groups = df.select(F.col(group).alias("dropped")).distinct().limit(MOST_GROUPS + 1)
+    if groups.count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups of {group}")
+    return df.join(F.broadcast(groups), F.col(group) != F.col("dropped"))
+
+
+def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation: ``by, p, quantile``; a group without values has none.
+
+    A mergeable sketch finds two values between which each quantile must lie, with the values next to them. A second
+    pass counts what lies below, and counts every distinct value between; only those few are put in order. So no task
+    holds a group's values, whatever their number.
+    """
+    by, spread = by or [], 2 / ACCURACY
+    known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    low = F.percentile_approx("_v", [max(0.0, p - spread) for p in probabilities], ACCURACY)
+    high = F.percentile_approx("_v", [min(1.0, p + spread) for p in probabilities], ACCURACY)
+    ends = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), low.alias("low"), high.alias("high"))
+    cuts = F.arrays_zip(F.array(*(F.lit(float(p)) for p in probabilities)).alias("p"), "low", "high")
+    ends, _ = materialize(ends.select(*by, "_n", F.inline(cuts)), "ends")
+
+    def beside(figures: DataFrame) -> DataFrame:
+        if not by:
+            return known.crossJoin(F.broadcast(figures))  # one row for each probability
+        same = known[by[0]].eqNullSafe(figures[by[0]])
+        for b in by[1:]:
+            same = same & known[b].eqNullSafe(figures[b])
+        return known.join(figures, same).select(*(known[b] for b in by), "_v", *(c for c in figures.columns if c not in by))
+
+    # The sketch may miss by a rank at its edges: the next values on both sides are taken too.
+    wide = beside(ends).groupBy(*by, "p").agg(
+        F.max("_n").alias("_n"),
+        F.coalesce(F.max(F.when(F.col("_v") < F.col("low"), F.col("_v"))), F.min("low")).alias("low"),
+        F.coalesce(F.min(F.when(F.col("_v") > F.col("high"), F.col("_v"))), F.max("high")).alias("high"),
+    )
+    wide, _ = materialize(wide, "wide")
+    near = F.when(F.col("_v") >= F.col("low"), F.col("_v"))  # null for all that lies below
+    counted = beside(wide).filter(F.col("_v") <= F.col("high")).groupBy(*by, "p", near.alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "p").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    place = (F.col("_n") - 1) * F.col("p")
+    spots = counted.withColumn("_upto", upto).filter("_v IS NOT NULL")
+    made = spots.groupBy(*by, "p").agg(
+        F.max("_n").alias("_n"),
+        F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v"))).alias("_a"),
+        F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v"))).alias("_b"),
+    )
+    share = place - F.floor(place)
+    return made.select(*by, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("quantile"))
+
+
+def missing_sensitivity(df: DataFrame, columns: list[str]) -> DataFrame:
+    """By variable: its mean over the rows that have it and over those that have all, and bounds for the whole table.
+
+    The bounds put every missing value at the smallest and at the largest value seen.
+    """
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    n = F.count(F.lit(1))
+
+    def figures(c: str):
+        missing = n - F.count(c)
+        total = F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0))
+        bound = lambda end: (total + missing * end(F.col(c).cast("double"))) / n
+        return F.struct(
+            F.lit(c).alias("variable"), n.alias("n"), F.count(c).alias("known"), F.avg(c).alias("available_case"),
+            F.count_if(whole).alias("complete"), F.avg(F.when(whole, F.col(c))).alias("complete_case"),
+            bound(F.min).alias("low"), bound(F.max).alias("high"),
+        )
+
+    one = df.agg(*(figures(c).alias(f"_{i}") for i, c in enumerate(columns)))
+    return one.select(F.inline(F.array(*(F.col(f"_{i}") for i in range(len(columns))))))
+
+
+def falsification(df: DataFrame, claim: Column, by: str) -> DataFrame:
+    """A claim that must fail to hold somewhere to be refuted: by group its rows, where it holds, and whether it is refuted.
+
+    Rows on which the claim is undefined count neither for nor against it.
+    """
+    made = df.groupBy(by).agg(F.count(claim).alias("den"), F.count_if(claim).alias("num"))
+    return made.withColumn("refuted", F.col("num") < F.col("den"))
+
+
+def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """Rank correlation by group, with average ranks for ties. Ranks come from counted distinct values."""
+    known = df.dropna(subset=[x, y])
+
+    def ranked(c: str) -> DataFrame:
+        counted = known.groupBy(*by, F.col(c).alias(f"_{c}")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(f"_{c}").rowsBetween(Window.unboundedPreceding, 0))
+        return counted.select(*by, f"_{c}", (upto - (F.col("_c") - 1) / 2).alias(f"_rank_{c}"))
+
+    both = known.withColumns({f"_{x}": F.col(x), f"_{y}": F.col(y)})
+    both = both.join(ranked(x), [*by, f"_{x}"]).join(ranked(y), [*by, f"_{y}"])
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(f"_rank_{x}", f"_rank_{y}").alias("spearman"))
 
 
 def coverage(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -173,6 +280,13 @@ def least_squares(df: DataFrame, y: str, xs: list[str], cluster: str | None = No
     return {"names": names[:k], "beta": beta.tolist(), "se": np.sqrt(np.diag(cov)).tolist(), "n": int(n)}
 
 
+def regression_table(df: DataFrame, y: str, xs: list[str], cluster: str | None = None) -> DataFrame:
+    """:func:`least_squares` as rows ``term, beta, se, n``."""
+    fit = least_squares(df, y, xs, cluster)
+    rows = [(t, b, e, fit["n"]) for t, b, e in zip(fit["names"], fit["beta"], fit["se"])]
+    return df.sparkSession.createDataFrame(rows, "term string, beta double, se double, n bigint")
+
+
 def nesting_baseline(df: DataFrame, label: str, stratum: str, seed: int) -> DataFrame:
     """``shuffled``: the labels dealt out anew inside each stratum, seeded and independent of the row order's partitioning."""
     key = F.xxhash64(F.lit(seed), *df.columns)

@@ -1,8 +1,9 @@
 """Queries over the driver tables that exercise every operator, with the SQL that DuckDB runs for the same rows.
 
 The driver's tables hold no ownership data. The panel is a proxy: one lineitem row is a source row, the supplier is the
-target, the year of shipping the fiscal year, and amounts are whole cents. The tree is arithmetic: supplier ``k`` hangs
-below supplier ``k div 3``.
+target, the year of shipping the fiscal year, and amounts are whole cents. Every review gate fails on some of its rows:
+quantities, discounts and line numbers stand for missing sources, PDFs, currencies, sections and AOC-1 matches. The tree
+is arithmetic: supplier ``k`` hangs below supplier ``k div 3``.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arbora import sources
 from arbora.config import Config
-from arbora.operators import graph, select, stats, validate
-from arbora.schema import SOURCE_AOC, SOURCE_PDF, TIERS
+from arbora.operators import graph, ledger, select, stats, validate
+from arbora.schema import EVIDENCE, EXCLUDED_RULE, PANEL, SOURCE_AOC, SOURCE_PDF, TIERS
 from arbora.streaming import windows
+from arbora.tables import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,17 +57,19 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_suppkey").alias("target_id"),
         F.year("l_shipdate").cast("bigint").alias("fiscal_year"),
-        F.when(F.col("l_linestatus") == "F", SOURCE_PDF).otherwise(SOURCE_AOC).alias("source_type"),
+        F.when((F.col("l_linenumber") == 4) & (F.col("l_quantity") <= 5), None).when(F.col("l_linestatus") == "F", SOURCE_PDF).otherwise(SOURCE_AOC).alias("source_type"),
         assets.alias("total_assets"),
         debts.alias("total_liabilities"),
         equity.alias("equity"),
         assets.alias("profit_before_tax"),
         F.when(F.col("l_tax") != 0, debts).alias("provision_tax"),
         (assets - debts + F.when(F.col("l_discount") == 0.05, 5).otherwise(0)).alias("profit_after_tax"),
-        F.lit(1).alias("source_found"),
-        F.lit(1).alias("pdf_downloaded"),
+        F.when(F.col("l_quantity") >= 50, 0).otherwise(1).alias("source_found"),
+        F.when(F.col("l_quantity") <= 1, 0).otherwise(1).alias("pdf_downloaded"),
         F.when(F.col("l_returnflag") != "R", F.to_date("l_shipdate")).alias("period_end_date"),
-        F.lit("USD").alias("currency"),
+        F.when(F.round(F.col("l_discount") * 100) != 10, "USD").alias("currency"),
+        F.when(F.col("l_linenumber") == 5, 0).otherwise(1).alias("section_found"),
+        F.when((F.col("l_linestatus") != "F") & (F.col("l_linenumber") != 6), F.when(F.col("l_linenumber") == 7, "not_matched").otherwise("matched")).alias("aoc_match_status"),
         "l_orderkey", "l_linenumber", "l_partkey",
     )
 
@@ -83,7 +88,9 @@ def preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PANEL_SQL = f"""
 raw AS (SELECT l_suppkey AS target_id, year(l_shipdate)::BIGINT AS fiscal_year,
-  CASE WHEN l_linestatus = 'F' THEN '{SOURCE_PDF}' ELSE '{SOURCE_AOC}' END AS source_type,
+  CASE WHEN l_linenumber = 4 AND l_quantity <= 5 THEN NULL WHEN l_linestatus = 'F' THEN '{SOURCE_PDF}' ELSE '{SOURCE_AOC}' END AS source_type,
+  l_quantity >= 50 AS no_source, l_quantity <= 1 AS no_pdf, round(l_discount * 100) = 10 AS no_currency, l_linenumber = 5 AS no_section,
+  l_linenumber IN (6, 7) AS no_match,
   round(l_extendedprice * 100)::BIGINT AS total_assets, round(l_quantity * 100)::BIGINT AS total_liabilities,
   CASE WHEN l_tax <> 0 THEN round(l_extendedprice * 100)::BIGINT - round(l_quantity * 100)::BIGINT
        + CASE WHEN l_discount = 0.05 THEN 5 ELSE 0 END END AS equity,
@@ -97,14 +104,16 @@ val2 AS (SELECT *, CASE WHEN abs(accounting_identity_gap) <= 1 THEN 1 ELSE 0 END
   CASE WHEN provision_tax IS NULL THEN -1
        WHEN abs(total_assets - provision_tax - profit_after_tax) <= 1
          OR abs(total_assets + provision_tax - profit_after_tax) <= 1 THEN 1 ELSE 0 END AS pl_identity_ok FROM val),
-val3 AS (SELECT *, nullif(concat_ws(';', CASE WHEN variables_parsed <> 1 THEN 'balance_sheet_variables_missing' END,
-  CASE WHEN no_end THEN 'period_end_missing' END,
-  CASE WHEN variables_parsed = 1 AND accounting_identity_ok <> 1 THEN 'accounting_identity_failed' END), '') AS review_reason FROM val2),
-val4 AS (SELECT *, CASE WHEN variables_parsed = 1 AND accounting_identity_ok = 1 AND review_reason IS NULL THEN 1 ELSE 0 END
+val3 AS (SELECT *, nullif(concat_ws(';', CASE WHEN no_source THEN 'source_missing' END, CASE WHEN variables_parsed <> 1 THEN 'balance_sheet_variables_missing' END,
+  CASE WHEN no_end THEN 'period_end_missing' END, CASE WHEN no_currency THEN 'currency_missing' END,
+  CASE WHEN no_section AND source_type = '{SOURCE_PDF}' THEN 'combined_pdf_section_not_found' END,
+  CASE WHEN variables_parsed = 1 AND accounting_identity_ok <> 1 THEN 'accounting_identity_failed' END,
+  CASE WHEN no_match AND source_type = '{SOURCE_AOC}' THEN 'aoc_not_matched' END), '') AS review_reason FROM val2),
+val4 AS (SELECT *, CASE WHEN NOT no_pdf AND variables_parsed = 1 AND accounting_identity_ok = 1 AND review_reason IS NULL THEN 1 ELSE 0 END
   AS ready_for_valuation FROM val3),
-tiered AS (SELECT *, CASE WHEN source_type = '{SOURCE_PDF}' THEN 'full_pdf_' ELSE 'aoc1_' END
+tiered AS (SELECT *, CASE source_type WHEN '{SOURCE_PDF}' THEN 'full_pdf_' WHEN '{SOURCE_AOC}' THEN 'aoc1_' END
   || CASE WHEN ready_for_valuation = 1 THEN 'ready' ELSE 'review' END AS data_quality_tier FROM val4),
-cls AS (SELECT *, CASE data_quality_tier WHEN '{TIERS[0]}' THEN 1 WHEN '{TIERS[1]}' THEN 2 WHEN '{TIERS[2]}' THEN 3 ELSE 4 END
+cls AS (SELECT *, CASE data_quality_tier WHEN '{TIERS[0]}' THEN 1 WHEN '{TIERS[1]}' THEN 2 WHEN '{TIERS[2]}' THEN 3 WHEN '{TIERS[3]}' THEN 4 ELSE 5 END
   AS source_priority FROM tiered),
 pref AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY target_id, fiscal_year ORDER BY source_priority, l_orderkey,
   l_linenumber, l_partkey, total_assets, total_liabilities) = 1 THEN 1 ELSE 0 END AS preferred FROM cls)
@@ -192,14 +201,16 @@ def review_reason_frequency(spark, sf_dir):
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey, e.variable, e.value, e.evidence FROM (SELECT l_orderkey, l_linenumber, l_partkey,
     unnest([{'variable': 'total_assets', 'value': l_extendedprice, 'evidence': l_returnflag},
-            {'variable': 'turnover', 'value': l_quantity, 'evidence': l_linestatus}]) AS e FROM lineitem WHERE l_tax = 0)"""
+            {'variable': 'turnover', 'value': l_quantity, 'evidence': l_linestatus},
+            {'variable': 'equity', 'value': l_tax, 'evidence': CASE WHEN l_tax <> 0 THEN l_linestatus END}]) AS e FROM lineitem)"""
 )
 def evidence_lookup(spark, sf_dir):
-    """Values beside the lines that they come from."""
-    li = read(spark, sf_dir, "lineitem").filter("l_tax = 0").withColumnsRenamed(
-        {"l_extendedprice": "total_assets", "l_quantity": "turnover", "l_returnflag": "total_assets_evidence", "l_linestatus": "turnover_evidence"}
+    """Values beside the lines that they come from, for all rows."""
+    li = read(spark, sf_dir, "lineitem").withColumnsRenamed({"l_extendedprice": "total_assets", "l_quantity": "turnover", "l_tax": "equity"})
+    li = li.withColumns(
+        {"total_assets_evidence": F.col("l_returnflag"), "turnover_evidence": F.col("l_linestatus"), "equity_evidence": F.when(F.col("equity") != 0, F.col("l_linestatus"))}
     )
-    pairs = {"total_assets": "total_assets_evidence", "turnover": "turnover_evidence"}
+    pairs = {m: EVIDENCE[m] for m in ("total_assets", "turnover", "equity")}
     return validate.evidence_pairs(li, ["l_orderkey", "l_linenumber", "l_partkey"], pairs)
 
 
@@ -222,11 +233,12 @@ def liabilities_fallback(spark, sf_dir):
 
 @query(
     """SELECT l_linestatus AS source_type, count(*) AS n, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS n_foreign
-    FROM lineitem WHERE l_returnflag IS DISTINCT FROM 'x' GROUP BY 1"""
+    FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1"""
 )
 def attribution_filter(spark, sf_dir):
     """Excluded attributions leave, rows without a rule stay; foreign rows by source class."""
-    li = read(spark, sf_dir, "lineitem").withColumn("attribution_rule", F.when(F.col("l_returnflag") == "x", "multiple_top30_claimants_review"))
+    rule = F.when(F.col("l_returnflag") == "R", EXCLUDED_RULE).when(F.col("l_returnflag") == "A", "single_claimant")  # N has none
+    li = read(spark, sf_dir, "lineitem").withColumn("attribution_rule", rule)
     kept = select.foreign(select.without_shared_claims(li), "A", "l_returnflag")
     return kept.groupBy(F.col("l_linestatus").alias("source_type")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("l_returnflag") == "N", F.col("is_foreign")).cast("bigint")).alias("n_foreign")
@@ -274,6 +286,53 @@ def uin_merge(spark, sf_dir):
     return claims.join(targets, "uin", "left").select("uin", "n_targets", "n_claims")
 
 
+@query(
+    f"""WITH m AS (SELECT l_partkey, count(DISTINCT l_suppkey % 4) AS n, string_agg(DISTINCT (l_suppkey % 4)::VARCHAR, ';' ORDER BY (l_suppkey % 4)::VARCHAR) AS names FROM lineitem GROUP BY 1)
+    SELECT p_partkey, coalesce(n, 0)::INT AS n_top30_claimants, names AS top30_claimants, CASE WHEN n > 1 THEN 1 ELSE 0 END AS shared_uin,
+    CASE WHEN n > 1 THEN '{EXCLUDED_RULE}' WHEN n = 1 THEN 'single_claimant' END AS attribution_rule FROM part LEFT JOIN m ON l_partkey = p_partkey"""
+)
+def mapping_join(spark, sf_dir):
+    """Claimants of a shared identifier, joined without multiplying rows."""
+    mapping = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_suppkey") % 4).alias("claimant"))
+    found = validate.attribute(read(spark, sf_dir, "part").select("p_partkey"), mapping, "p_partkey", "claimant")
+    return found.withColumn("n_top30_claimants", F.col("n_top30_claimants").cast("int"))
+
+
+@query("SELECT c_custkey, c_nationkey AS sector_code, n_name AS sector_label FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 0")
+def sector_labels(spark, sf_dir):
+    """Codes with labels; those that the lookup lacks have none."""
+    lookup = read(spark, sf_dir, "nation").filter("n_regionkey <> 0").select(F.col("n_nationkey").alias("sector_code"), F.col("n_name").alias("sector_label"))
+    return validate.with_sector_labels(read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("sector_code")), lookup)
+
+
+@query(
+    """WITH s AS (SELECT a.n_nationkey AS k, a.n_name AS x, b.n_nationkey AS m, b.n_name AS y,
+      1.0::DOUBLE - levenshtein(lower(a.n_name), lower(b.n_name))::DOUBLE / greatest(length(a.n_name), length(b.n_name)) AS score
+      FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey % 2 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, m) AS i FROM s)
+    SELECT n_nationkey, n_name, m AS match_key, y AS match_name, score AS match_score, CASE WHEN score >= 0.8 THEN 'matched' ELSE 'not_matched' END AS match_status
+    FROM nation LEFT JOIN r ON k = n_nationkey AND i = 1"""
+)
+def best_name_match(spark, sf_dir):
+    """The best name of the block, matched or not."""
+    n = read(spark, sf_dir, "nation")
+    return validate.best_match(n, n.filter("n_nationkey % 2 = 0"), "n_regionkey", "n_name", "n_nationkey", CFG.match_score_min)
+
+
+@query(
+    """WITH n AS (SELECT n_regionkey AS g, n_nationkey AS id, n_name AS c, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN 'absent'
+      ELSE (SELECT min(n_name) FROM nation m WHERE m.n_regionkey = nation.n_regionkey) END AS up FROM nation)
+    SELECT id, up, CASE WHEN up IS NULL THEN 'root' WHEN up IN (SELECT c FROM n x WHERE x.g = n.g) THEN 'resolved' ELSE 'unmatched' END AS parent_status FROM n"""
+)
+def parent_resolution(spark, sf_dir):
+    """Names of parents resolved inside their group, or reported."""
+    n = read(spark, sf_dir, "nation")
+    first = n.groupBy("n_regionkey").agg(F.min("n_name").alias("first"))
+    up = F.when(F.col("n_nationkey") % 3 == 1, "absent").when(F.col("n_nationkey") % 3 == 2, F.col("first"))
+    rows = n.join(first, "n_regionkey").select(F.col("n_regionkey").cast("string").alias("block"), "n_name", up.alias("up"), F.col("n_nationkey").alias("target_id"))
+    return graph.resolve_parents(rows, "block", "n_name", "up").select(F.col("target_id").alias("id"), "up", "parent_status")
+
+
 @query(
     """SELECT a.n_nationkey AS left_key, b.n_nationkey AS right_key, levenshtein(lower(a.n_name), lower(b.n_name))::INT AS distance,
     1.0::DOUBLE - levenshtein(lower(a.n_name), lower(b.n_name))::DOUBLE / greatest(length(a.n_name), length(b.n_name)) AS match_score
@@ -412,6 +471,77 @@ def structural_complexity(spark, sf_dir):
     return graph.complexity(t, "root", "nation")
 
 
+@query(f"WITH RECURSIVE {TREE_SQL} SELECT node, root AS comp FROM p WHERE root IN (SELECT parent FROM e) OR depth > 0")
+def ownership_components(spark, sf_dir):
+    """Connected components of the tree's edges."""
+    edge = read(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 3").alias("u"), F.col("s_suppkey").alias("v")).filter("u > 0")
+    return graph.components(edge)
+
+
+EDGE_SQL = "e AS (SELECT s_suppkey // 3 AS parent, s_suppkey AS child FROM supplier WHERE s_suppkey >= 3)"
+
+
+def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 3").alias("parent"), F.col("s_suppkey").alias("child")).filter("parent > 0")
+
+
+@query(
+    f"""WITH {EDGE_SQL}, n AS (SELECT parent AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT child, 0, 1 FROM e)
+    SELECT node, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in, count(*) AS degree FROM n GROUP BY 1"""
+)
+def degree_centrality(spark, sf_dir):
+    """G13."""
+    return graph.degrees(tree_edges(spark, sf_dir))
+
+
+def _rank_sql(rounds: int) -> str:
+    out = f"WITH {EDGE_SQL}, o AS (SELECT parent, child, count(*) OVER (PARTITION BY parent) AS n FROM e), n AS (SELECT parent AS node FROM e UNION SELECT child FROM e),\n"
+    out += "c AS (SELECT count(*)::DOUBLE AS c FROM n), r0 AS (SELECT node, 1.0 / c AS rank FROM n, c)"
+    for i in range(rounds):
+        out += f""",
+        g{i} AS (SELECT child, sum(rank / n) AS got FROM o JOIN r{i} ON node = parent GROUP BY 1),
+        r{i + 1} AS (SELECT node, coalesce(got, 0) * 0.85 + (1 - 0.85) / c AS rank FROM c, n LEFT JOIN g{i} ON child = node)"""
+    return out + f" SELECT node, rank FROM r{rounds}"
+
+
+@query(_rank_sql(4))
+def page_rank(spark, sf_dir):
+    """Ranks after four rounds."""
+    return graph.page_rank(tree_edges(spark, sf_dir), rounds=4)
+
+
+@query("SELECT s_nationkey, s_suppkey // 10 AS block, count(*) AS n_rows FROM supplier GROUP BY 1, 2")
+def entity_table(spark, sf_dir):
+    """G1: one row per entity under a stated key."""
+    return graph.entities(read(spark, sf_dir, "supplier").withColumn("block", F.expr("s_suppkey div 10")), ["s_nationkey", "block"])
+
+
+@query(f"WITH RECURSIVE {TREE_SQL} SELECT node, depth::INT AS depth, (node % 5)::INT AS level FROM p WHERE depth <> node % 5")
+def depth_against_level(spark, sf_dir):
+    """Nodes whose place on the path is not the stated level."""
+    t = tree(spark, sf_dir).withColumn("level", (F.col("node") % 5).cast("int"))
+    return graph.depth_disagreements(t, "level").select("node", "depth", "level")
+
+
+@query(
+    f"""WITH RECURSIVE {TREE_SQL} SELECT depth::INT AS depth, labels[-1] AS nation, count(*) AS n, CAST(sum(round(s_acctbal * 100)::BIGINT) AS BIGINT) AS total
+    FROM p JOIN supplier ON s_suppkey = node GROUP BY 1, 2"""
+)
+def value_by_geography_and_depth(spark, sf_dir):
+    """Counts beside money, by place on the path and country."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", cents("s_acctbal").alias("value"), F.lit("USD").alias("currency"), F.lit(1).alias("units"))
+    t = tree(spark, sf_dir).select("node", "depth", F.element_at("labels", -1).alias("nation")).join(s, F.col("node") == F.col("s_suppkey"))
+    counted = t.groupBy("depth", "nation").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(stats.one_currency_sum(t, ["depth", "nation"], "value"), ["depth", "nation"])
+
+
+@query(f"WITH RECURSIVE {TREE_SQL} SELECT node, labels[1] AS top, labels[-1] AS own FROM p WHERE labels[1] <> labels[-1]")
+def ultimate_parent_disagreements(spark, sf_dir):
+    """Nodes whose top of the chain lies in another country than the bucket that is stated for them."""
+    t = tree(spark, sf_dir).select("node", F.element_at("labels", 1).alias("root"), F.element_at("labels", -1).alias("own"))
+    return graph.root_disagreements(t, "own").select("node", F.col("root").alias("top"), "own")
+
+
 @query(f"WITH RECURSIVE {TREE_SQL} SELECT count(*) AS n_paths, count(DISTINCT node) AS n_entities, CAST(sum(CASE WHEN labels[1] <> labels[-1] THEN 1 ELSE 0 END) AS BIGINT) AS n_other_nation FROM p")
 def ultimate_parent_definitions(spark, sf_dir):
     """Nodes whose top of the chain lies elsewhere than they do."""
@@ -510,11 +640,13 @@ def dominance(spark, sf_dir):
 )
 def descriptive_statistics(spark, sf_dir):
     """A17."""
-    v = "o_totalprice"
-    return read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"),
-        *(F.percentile(v, F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.9)),
-    )
+    v, orders = "o_totalprice", read(spark, sf_dir, "orders")
+    plain = orders.groupBy("o_orderpriority").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high")
+    )
+    found = stats.quantiles(orders, v, [0.25, 0.5, 0.9], ["o_orderpriority"])
+    wide = found.groupBy("o_orderpriority").agg(*(F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.9)))
+    return plain.join(wide, "o_orderpriority", "left")
 
 
 @query("SELECT l_suppkey // 10 AS parent, l_suppkey AS immediate_parent, l_linenumber AS level, l_linestatus AS entity_name, count(*) AS n, CAST(sum(round(l_extendedprice * 100)::BIGINT) AS BIGINT) AS total FROM lineitem GROUP BY 1, 2, 3, 4")
@@ -589,8 +721,12 @@ def leave_one_parent_out(spark, sf_dir):
 
 @query(f"WITH {REGION_SQL} SELECT r.r_name AS dropped, median(c.c_acctbal) AS med, count(*) AS n FROM region r JOIN c ON c.r_name <> r.r_name GROUP BY 1")
 def leave_one_parent_out_median(spark, sf_dir):
-    """A statistic that does not add up."""
-    return stats.leave_one_out_any(customers_by_region(spark, sf_dir), "r_name", lambda g: g.agg(F.median("c_acctbal").alias("med"), F.count(F.lit(1)).alias("n")))
+    """A statistic that does not add up; medians without gathering the values of a group."""
+    c = customers_by_region(spark, sf_dir)
+    n = stats.leave_one_out_any(c, "r_name", lambda g: g.agg(F.count(F.lit(1)).alias("n")))
+    rest, _ = materialize(stats.left_out(c.select("r_name", "c_acctbal"), "r_name").select("dropped", "c_acctbal"), "left-out")
+    med = stats.quantiles(rest, "c_acctbal", [0.5], ["dropped"]).select("dropped", F.col("quantile").alias("med"))
+    return n.join(med, "dropped")
 
 
 @query(
@@ -611,6 +747,72 @@ def regression(spark, sf_dir):
     )
 
 
+@query(
+    """WITH d AS (SELECT c_nationkey AS g, c_acctbal AS y, (c_custkey % 100)::DOUBLE AS x FROM customer),
+    m AS (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d),
+    s AS (SELECT g, sum(y - a - b * x) AS g0, sum(x * (y - a - b * x)) AS g1 FROM d, m GROUP BY 1),
+    t AS (SELECT count(*)::DOUBLE AS k, sum(g0 * g0) AS m00, sum(g0 * g1) AS m01, sum(g1 * g1) AS m11 FROM s),
+    v AS (SELECT *, n * sxx - sx * sx AS det, k / (k - 1) * (n - 1) / (n - 2) AS f FROM m, t)
+    SELECT '1' AS term, a AS beta, sqrt(f * (sxx * sxx * m00 - 2 * sxx * sx * m01 + sx * sx * m11)) / det AS se, n::BIGINT AS n FROM v
+    UNION ALL SELECT 'x', b, sqrt(f * (sx * sx * m00 - 2 * sx * n * m01 + n * n * m11)) / det, n::BIGINT FROM v"""
+)
+def clustered_regression(spark, sf_dir):
+    """Coefficients with standard errors robust to clusters; only sums reach the driver."""
+    d = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("y"), (F.col("c_custkey") % 100).cast("double").alias("x"))
+    return stats.regression_table(d, "y", ["x"], "g")
+
+
+@query(
+    """WITH d AS (SELECT quality, toxic, n_chars FROM documents LEFT JOIN labels USING (doc_id)),
+    a AS (SELECT count(*) AS n, count(quality) AS kq, avg(quality) AS aq, sum(quality)::DOUBLE AS sq, min(quality) AS lq, max(quality) AS hq, count(toxic) AS kt, avg(toxic) AS avt, sum(toxic)::DOUBLE AS st,
+      min(toxic) AS lt, max(toxic) AS ht, count(n_chars) AS kc, avg(n_chars) AS ac, sum(n_chars)::DOUBLE AS sc, min(n_chars) AS lc, max(n_chars) AS hc FROM d),
+    c AS (SELECT count(*) AS complete, avg(quality) AS cq, avg(toxic) AS ct, avg(n_chars) AS cc FROM d WHERE quality IS NOT NULL AND toxic IS NOT NULL AND n_chars IS NOT NULL)
+    SELECT 'quality' AS variable, n, kq AS known, aq AS available_case, complete, cq AS complete_case, (sq + (n - kq) * lq) / n AS low, (sq + (n - kq) * hq) / n AS high FROM a, c
+    UNION ALL SELECT 'toxic', n, kt, avt, complete, ct, (st + (n - kt) * lt) / n, (st + (n - kt) * ht) / n FROM a, c
+    UNION ALL SELECT 'n_chars', n, kc, ac, complete, cc, (sc + (n - kc) * lc) / n, (sc + (n - kc) * hc) / n FROM a, c"""
+)
+def missing_data_sensitivity(spark, sf_dir):
+    """T4: means over available and over complete cases, with bounds."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return stats.missing_sensitivity(d, ["quality", "toxic", "n_chars"])
+
+
+@query("SELECT l_linenumber AS stratum, l_returnflag AS label, count(*) AS n, count(*) AS n_shuffled FROM lineitem GROUP BY 1, 2")
+def nesting_baseline(spark, sf_dir):
+    """Labels dealt out anew inside each stratum; every stratum keeps its labels."""
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("stratum"), F.col("l_returnflag").alias("label"), "l_orderkey", "l_partkey", "l_extendedprice")
+    dealt = stats.nesting_baseline(li, "label", "stratum", 11)
+    before = dealt.groupBy("stratum", "label").agg(F.count(F.lit(1)).alias("n"))
+    return before.join(dealt.groupBy("stratum", F.col("shuffled").alias("label")).agg(F.count(F.lit(1)).alias("n_shuffled")), ["stratum", "label"], "full")
+
+
+@query()
+def taxonomy_clusters(spark, sf_dir):
+    """Sizes and centres of seeded clusters of countries."""
+    s = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("c_acctbal").alias("mean"))
+    made = stats.taxonomy(s, ["n", "mean"], 3)
+    return made.groupBy("cluster").agg(F.count(F.lit(1)).alias("countries"), F.avg("n").alias("n"), F.avg("mean").alias("mean"))
+
+
+@query(
+    f"""WITH {REGION_SQL} SELECT r_name, count(c_acctbal) AS den, CAST(sum(CASE WHEN c_acctbal > -950 THEN 1 ELSE 0 END) AS BIGINT) AS num,
+    sum(CASE WHEN c_acctbal > -950 THEN 1 ELSE 0 END) < count(c_acctbal) AS refuted FROM c GROUP BY 1"""
+)
+def falsification(spark, sf_dir):
+    """A claim, and the groups that refute it."""
+    return stats.falsification(customers_by_region(spark, sf_dir), F.col("c_acctbal") > -950, "r_name")
+
+
+@query(
+    """WITH r AS (SELECT c_nationkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_nationkey, c_acctbal) - 1) / 2.0 AS x,
+      rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 50) + (count(*) OVER (PARTITION BY c_nationkey, c_custkey % 50) - 1) / 2.0 AS y FROM customer)
+    SELECT c_nationkey, count(*) AS n, corr(x, y) AS spearman FROM r GROUP BY 1"""
+)
+def rank_correlation(spark, sf_dir):
+    """Spearman's, with ties."""
+    return stats.spearman(read(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey") % 50), "c_acctbal", "k", ["c_nationkey"])
+
+
 @query(
     """WITH a AS (SELECT s_nationkey AS k, count(*) AS n, avg(s_acctbal) AS v FROM supplier GROUP BY 1) SELECT k, n, v, (rank() OVER (ORDER BY n DESC))::INT AS by_count, (rank() OVER (ORDER BY v DESC))::INT AS by_value,
     CASE WHEN abs(rank() OVER (ORDER BY n DESC) - rank() OVER (ORDER BY v DESC)) >= 10 THEN 'unusual' ELSE 'usual' END AS wording FROM a"""
@@ -620,7 +822,8 @@ def unusual_combinations(spark, sf_dir):
     a = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg("s_acctbal").alias("v"))
     rank = lambda c: F.rank().over(Window.orderBy(F.col(c).desc()))
     a = a.withColumns({"by_count": rank("n"), "by_value": rank("v")})
-    return a.withColumn("wording", F.when(F.abs(F.col("by_count") - F.col("by_value")) >= 10, "unusual").otherwise("usual"))
+    worded = a.withColumn("wording", F.when(F.abs(F.col("by_count") - F.col("by_value")) >= 10, "unusual").otherwise("usual"))
+    return worded.filter(F.size(ledger.loaded_words(F.col("wording"))) == 0)
 
 
 @query(
@@ -628,27 +831,86 @@ def unusual_combinations(spark, sf_dir):
     SELECT 'tolerance_1', count(*) FROM lineitem WHERE l_discount <= 0.05 UNION ALL SELECT 'tolerance_2', count(*) FROM lineitem WHERE l_discount <= 0.08"""
 )
 def alternative_definitions(spark, sf_dir):
-    """A parameter grid in one pass, united by name."""
+    """A parameter grid in one pass, one row for each definition."""
     li = read(spark, sf_dir, "lineitem").agg(*(F.count_if(F.col("l_discount") <= t).alias(f"tolerance_{i}") for i, t in enumerate((0.02, 0.05, 0.08))))
     return li.unpivot([], ["tolerance_0", "tolerance_1", "tolerance_2"], "definition", "n")
 
 
+@query(f"SELECT CASE WHEN l_linestatus = 'F' THEN '{SOURCE_PDF}' ELSE '{SOURCE_AOC}' END AS source_type, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def source_union(spark, sf_dir):
+    """Both source groups in one table."""
+    li = read(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag")
+    both = select.union_sources(li.filter("l_linestatus = 'F'"), li.filter("l_linestatus <> 'F'"))
+    return both.groupBy("source_type", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT s_suppkey AS id, s_acctbal AS score FROM supplier ORDER BY score DESC, id LIMIT 20")
 def highest_value_claims(spark, sf_dir):
     """A top-k report."""
-    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score")).orderBy(F.col("score").desc(), "id").limit(20)
+    claims = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("finding_id"), F.col("s_acctbal").alias("score"))
+    return ledger.most_valuable(claims, 20).withColumnRenamed("finding_id", "id")
 
 
-@query("SELECT n_nationkey FROM nation EXCEPT SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey < 20")
+@query("SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
 def set_difference(spark, sf_dir):
-    """U3."""
-    return read(spark, sf_dir, "nation").select("n_nationkey").subtract(read(spark, sf_dir, "supplier").filter("s_suppkey < 20").select("s_nationkey"))
+    """Keys of one table that another lacks."""
+    return read(spark, sf_dir, "orders").select("o_orderkey").subtract(read(spark, sf_dir, "lineitem").select("l_orderkey"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500")
 def reviewed_since(spark, sf_dir):
-    """L4: rows behind a cursor; the filter reaches the scan."""
-    return read(spark, sf_dir, "orders").filter("o_orderkey > 500").select("o_orderkey", "o_totalprice")
+    """L4: rows behind a cursor, which is the feature; the filter reaches the scan."""
+    new = ledger.since(read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "version"), 500)
+    return new.select(F.col("version").alias("o_orderkey"), "o_totalprice")
+
+
+@query(
+    """SELECT * FROM (VALUES ('C-F001', 3, 'entities', TRUE, 'CONFIRMED'), ('C-F002', 1, 'paths', FALSE, 'FRAGILE'), ('X-F001', 5, 'paths', TRUE, 'CONFIRMED'))
+    t(finding_id, score, counting, robust, status)"""
+)
+def finding_ledger(spark, sf_dir):
+    """L1, L2, L3: findings with their provenance, appended in two steps, read back and judged."""
+    path, words = new_path(spark, "ledger"), dict(result="r", statistic="s", denominator="d", interest="i", robustness="r", mundane="m", data_quality="q", falsification="f")
+
+    def finding(name, score, counting):
+        return ledger.Finding(name, score=score, provenance=ledger.Provenance("row", "n", "all", "none", "left out", "kept", counting, "none", "catalog", "none"), **words)
+
+    ledger.record(spark, [finding("C-F001", 3, "entities"), finding("C-F002", 1, "paths")], path)
+    ledger.record(spark, [finding("X-F001", 5, "paths")], path)
+    robust = F.col("finding_id") != "C-F002"
+    judged = spark.read.parquet(path).select("finding_id", "score", "provenance.counting", robust.alias("robust"))
+    return judged.withColumn("status", ledger.verdict(F.lit(True), F.col("robust"), F.lit(False), F.lit(False)))
+
+
+# Sources and sinks -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_suppkey::VARCHAR AS target_id, year(l_shipdate)::INT AS fiscal_year, count(*) AS n, sum(l_extendedprice) AS total_assets FROM lineitem GROUP BY 1, 2")
+def panel_csv_scan(spark, sf_dir):
+    """The panel written as CSV, read with the fixed schema, and cut to a few of its variables."""
+    filled = {"target_id": F.col("l_suppkey"), "fiscal_year": F.year("l_shipdate"), "total_assets": F.col("l_extendedprice")}
+    rows = read(spark, sf_dir, "lineitem").select(*(filled.get(c, F.lit(None)).cast("string").alias(c) for c in PANEL.names))
+    path = new_path(spark, "csv")
+    rows.write.option("header", True).csv(path)
+    back = sources.read_panel_csv(spark, path).select("target_id", "fiscal_year", "total_assets")
+    return back.groupBy("target_id", "fiscal_year").agg(F.count(F.lit(1)).alias("n"), F.sum("total_assets").alias("total_assets"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS uin, n_name AS claimants FROM nation")
+def mapping_scan(spark, sf_dir):
+    """S3: a mapping file as strings."""
+    path = new_path(spark, "mapping")
+    read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("uin"), F.col("n_name").alias("claimants"), "n_regionkey").write.option("header", True).csv(path)
+    return sources.read_mapping_csv(spark, path, ["uin", "claimants"])
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def result_sink(spark, sf_dir):
+    """A result written beside its input, never onto it, and read back."""
+    path = new_path(spark, "result")
+    counted = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    sources.write_result(counted, path, inputs=(f"{sf_dir}/nation.parquet",))
+    return spark.read.parquet(path)
 
 
 # Streams, run here in batch ----------------------------------------------------------------------------------------
@@ -674,3 +936,15 @@ def preferred_event(spark, sf_dir):
     """W1 as an aggregate, which also works on streams."""
     rank = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "click", 3).otherwise(4)
     return read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min_by("event_id", F.struct(rank, "event_id")).alias("event_id"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, sf_dir):
+    """First arrivals within a watermark, as a stream that ends with what is there."""
+    events = read(spark, sf_dir, "events")
+    path, out = new_path(spark, "stream"), new_path(spark, "deduplicated")
+    events.select("user_id", "event_type", "ts").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    kept = windows.deduplicated(stream, "ts", "3650 days", ["user_id", "event_type"]).select("user_id", "event_type")
+    kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id bigint, event_type string").parquet(out)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.tables import materialize
+
 
 def tumbling(df: DataFrame, ts: str, width: str, by: list[str], value: str) -> DataFrame:
     made = df.groupBy(F.window(ts, width).alias("_w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
@@ -21,22 +23,21 @@ def deduplicated(stream: DataFrame, ts: str, delay: str, keys: list[str]) -> Dat
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def global_ntile(df: DataFrame, order: list[str], n: int, name: str, buckets: int = 1024) -> DataFrame:
+def global_ntile(df: DataFrame, order: list[str], n: int, name: str) -> DataFrame:
     """``ntile`` over the whole table without one global partition.
 
-    Rows are cut into value buckets of the first, numeric order column, ranked inside their bucket, and shifted by the
-    sizes of the buckets before. The sizes are at most ``buckets + 2`` rows. Ties in ``order`` are cut arbitrarily.
+    Rows are dealt out by ranges of all order columns, cut at sampled quantiles, ranked inside their range, and shifted
+    by the sizes of the ranges before: one row for each range. Ties in ``order`` are cut arbitrarily.
     """
-    ends = df.agg(F.min(order[0]).cast("double").alias("_low"), F.max(order[0]).cast("double").alias("_high"))
-    share = F.try_divide(F.col(order[0]).cast("double") - F.col("_low"), F.col("_high") - F.col("_low"))
-    cut = df.crossJoin(F.broadcast(ends)).withColumn("_p", F.coalesce(F.floor(share * buckets), F.lit(-1)).cast("int"))  # one row
-    sizes = cut.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt, _ = materialize(df.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumn("_before", before).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
-    local = cut.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     ranked = local.join(F.broadcast(sizes.select("_p", "_before", "_total")), "_p")
     at, big = F.col("_before") + F.col("_i") - 1, F.col("_total") % n
     low = F.expr(f"_total div {n}")
     edge = big * (low + 1)
     tile = F.when(at < edge, F.floor(at / (low + 1))).otherwise(big + F.floor((at - edge) / F.greatest(low, F.lit(1))))
-    return ranked.withColumn(name, (tile + 1).cast("int")).drop("_p", "_i", "_before", "_total", "_low", "_high")
+    return ranked.withColumn(name, (tile + 1).cast("int")).drop("_p", "_i", "_before", "_total")
