@@ -2,21 +2,25 @@
 
 A bundle is a sequence of independent Zstandard frames, each holding a group of records, and a footer in the public
 seekable format: a skippable frame with the compressed and decompressed size of every frame. An index maps a record's
-id to its frame and to the record's offset inside the frame, so one record is read by decompressing one frame.
+page to its frame and to the record's offset inside the frame, so one record is read by decompressing one frame; reading
+all goes by the index too. Bundles are rows of a table; ``export_files`` makes files of them that any reader of
+Zstandard and WARC opens.
 
 Of records with equal payloads, that with the largest page id is the response, the others are revisits of it; smaller
 payloads than ``min_payload`` are never revisits.
 
 Defined cases: a null text is an empty payload; rows that repeat page id and payload are each written, as responses if
-they hold the largest id; null page ids sort below all others, and such a row has no id in its record; an empty table
-gives no bundle and an empty result. Extra columns are not read.
+they hold the largest id, with record ids of their own; null page ids sort below all others, and such a record names no
+page; an empty table gives no bundle and an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import struct
+import uuid
 
 import pyarrow as pa
 import zstandard
@@ -29,30 +33,38 @@ from arbora.llm.common import new_path
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 8 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
-ID = "urn:arbora:page:"
+#: Headers of ours: the record's page, and the page of the response that a revisit repeats.
+PAGE, REVISITED = "X-Page-ID", "X-Refers-To-Page-ID"
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, refers_to=None, response_url=None) -> bytes:
-    """A response record, or, with ``refers_to``, a revisit record that holds the HTTP header alone."""
+def record_bytes(page_id, url, payload: bytes, digest: str, refers_to=None, response_url=None, record_id: str | None = None) -> bytes:
+    """A response record, or, with ``refers_to``, a revisit record that holds the HTTP header alone.
+
+    A revisit names the response by its URI and date, as the format has it, and by its page.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     clean = lambda u: "".join(c for c in (u or "") if c not in "\r\n")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: <{ID}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{record_id or uuid.uuid4()}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {clean(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
+    if page_id is not None:
+        head.append(f"{PAGE}: {page_id}")
     if refers_to is not None:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <{ID}{refers_to}>",
+            f"WARC-Refers-To-Target-URI: {clean(response_url)}",
+            f"WARC-Refers-To-Date: {DATE}",
+            f"{REVISITED}: {refers_to}",
         ]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
@@ -70,19 +82,20 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     body = data.index(b"\r\n\r\n", start) + 4
     http = data[start:body].decode()
     length = int(http.split("Content-Length: ", 1)[1].split("\r\n", 1)[0])
-    kind, number = head["WARC-Type"], lambda x: int(v) if (v := x[len(ID) + 1 : -1]) else None
+    kind, number = head["WARC-Type"], lambda name: int(head[name]) if name in head else None
     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
     payload = data[body:stop] if kind == "response" else None
     if payload is not None and (len(payload) != length or digest_of(payload) != digest):
         raise ValueError("a payload does not match its digest")
     out = {
-        "page_id": number(head["WARC-Record-ID"]),
+        "record_id": head["WARC-Record-ID"],
+        "page_id": number(PAGE),
         "url": head["WARC-Target-URI"],
         "payload": payload,
         "payload_bytes": length,
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": number(head["WARC-Refers-To"]) if kind == "revisit" else None,
+        "refers_to": number(REVISITED),
     }
     return out, stop + 4
 
@@ -169,13 +182,13 @@ def write_bundles(
     # Twins alone can be revisits: groups of one are dropped before the join.
     last = (
         pages.groupBy("digest")
-        .agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max(F.struct("page_id", "url")).alias("one"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("digest", "response")
+        .select("digest", F.col("one.page_id").alias("response"), F.col("one.url").alias("response_url"))
     )
     planned = pages.join(last, "digest", "left").select(
         "page_id", "url", "payload",
-        F.when((F.length("payload") >= min_payload) & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"),
+        F.when((F.length("payload") >= min_payload) & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"), "response_url",
     )
 
     def bundle(batches):
@@ -196,8 +209,8 @@ def write_bundles(
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, payload, refers_to = (batch.column(k)[i].as_py() for k in range(4))
-                if done := gather.add(page_id, record_bytes(page_id, url, payload, digest_of(payload), refers_to)):
+                page_id, url, payload, refers_to, response_url = (batch.column(k)[i].as_py() for k in range(5))
+                if done := gather.add(page_id, record_bytes(page_id, url, payload, digest_of(payload), refers_to, response_url)):
                     yield row(done)
         if done := gather.finish():
             yield row(done)
@@ -213,7 +226,7 @@ RECORD_SCHEMA = (
 
 
 def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the bundles; a revisit has no payload but its length and digest."""
+    """Every record of the bundles, by the index; a revisit has no payload but its length and digest."""
     schema = pa.schema(
         [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
          ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
@@ -221,18 +234,46 @@ def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
 
     def parse(batches):
         for batch in batches:
-            for cell in batch.column(0):
-                data = cell.as_py()
+            for k in range(batch.num_rows):
+                data, pages, frames, offsets = (batch.column(c)[k].as_py() for c in range(4))
+                spots, at = list(zip(pages, frames, offsets)), 0
                 for frame in range(len(read_seek_table(data))):
-                    plain, at, rows = read_frame(data, frame), 0, []
-                    while at < len(plain):
-                        rec, at = parse_record(plain, at)
+                    plain, rows = read_frame(data, frame), []
+                    while at < len(spots) and spots[at][1] == frame:
+                        rec, _ = parse_record(plain, spots[at][2])
+                        if rec["page_id"] != spots[at][0]:
+                            raise ValueError("the index names another page")
                         if not payloads:
                             rec["payload"] = None
-                        rows.append(rec)
+                        rows.append({name: rec[name] for name in schema.names})
+                        at += 1
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                if at < len(spots):
+                    raise ValueError("the index names a frame that is not there")
+
+    return bundles.select("bundle", "page_ids", "frames", "offsets").mapInArrow(parse, RECORD_SCHEMA)
+
 
-    return bundles.select("bundle").mapInArrow(parse, RECORD_SCHEMA)
+def export_files(bundles: DataFrame, folder: str) -> DataFrame:
+    """Write every bundle as ``<bundle id>.warc.zst`` into a mounted folder that the executors share.
+
+    Returns ``file, size``. A file appears whole under its name, so a task that is run again does no harm.
+    """
+
+    def write(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            names, sizes = [], []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                path = f"{folder}/{name}.warc.zst"
+                with open(f"{path}.{uuid.uuid4().hex}", "wb") as f:
+                    f.write(data.as_buffer())
+                os.replace(f.name, path)
+                names.append(path)
+                sizes.append(os.path.getsize(path))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["file", "size"])
+
+    return bundles.select("bundle_id", "bundle").mapInArrow(write, "file string, size bigint")
 
 
 def lookup(bundles: DataFrame, page_ids: DataFrame) -> DataFrame:
