@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.config import Config
+from arbora.functions import domain, match_score, normal_name
 from arbora.schema import EXCLUDED_RULE, REASONS, SOURCE_AOC, SOURCE_PDF, TIERS
 
 
+__all__ = [
+    "attribute", "best_match", "classify", "domain", "evidence_pairs", "filled_liabilities", "match_score", "pl_identity", "priority",
+    "section_missing", "target_id", "validate", "with_review", "with_sector_labels",
+]
+
+
 def flag(condition: Column) -> Column:
     """1 or 0; an undefined condition is 0."""
     return F.when(condition, 1).otherwise(0).cast("byte")
@@ -114,22 +121,10 @@ def priority(tier: Column) -> Column:
 
 def target_id(name: Column, uin: Column, level: Column) -> Column:
     """A stable identifier of our own: normalised name, UIN, level and a hash. It does not equal ingested identifiers."""
-    norm = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
-    base = F.concat_ws("_", norm, uin, level.cast("string"))
+    base = F.concat_ws("_", normal_name(name), uin, level.cast("string"))
     return F.concat_ws("_", base, F.substring(F.sha2(base, 256), 1, 10))
 
 
-def domain(url: Column) -> Column:
-    """The host of a URL, lower-cased; null where there is none."""
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
-
-
-def match_score(a: Column, b: Column) -> Column:
-    """One less the edit distance over the longer length, on lower-cased trimmed names."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-    return F.lit(1.0) - F.try_divide(F.levenshtein(x, y).cast("double"), F.greatest(F.length(x), F.length(y)).cast("double"))
-
-
 def evidence_pairs(df: DataFrame, keys: list[str], pairs: dict[str, str]) -> DataFrame:
     """One row per key and variable with its value and the source line behind it."""
     rows = F.array(

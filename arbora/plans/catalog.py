@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from arbora import sources
 from arbora.config import Config
+from arbora.functions import text_date
 from arbora.operators import graph, ledger, select, stats, validate
 from arbora.schema import EVIDENCE, EXCLUDED_RULE, PANEL, SOURCE_AOC, SOURCE_PDF, TIERS
 from arbora.streaming import windows
@@ -271,6 +272,25 @@ def target_identifiers(spark, sf_dir):
     return s.select("s_suppkey", validate.target_id(F.col("s_name"), F.col("s_nationkey").cast("string"), F.col("s_suppkey") % 3).alias("target_id"))
 
 
+@query(
+    """SELECT o_orderkey, i, CAST(o_orderdate AS DATE) AS day FROM orders, (VALUES (0), (1), (2), (3)) f(i)"""
+)
+def textual_dates(spark, sf_dir):
+    """Dates in four spellings, parsed."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    spelled = F.array(*(F.date_format("o_orderdate", form) for form in ("yyyy-MM-dd", "dd/MM/yyyy", "d MMMM yyyy", "MMM d, yyyy")))
+    return o.select("o_orderkey", F.posexplode(spelled).alias("i", "text")).select("o_orderkey", "i", text_date(F.col("text")).alias("day"))
+
+
+@query("SELECT * FROM (VALUES ('alpha', 'The first.'), ('beta_2', 'The second, on two lines.')) t(variable, description)")
+def dictionary_scan(spark, sf_dir):
+    """Variables with their descriptions, from text."""
+    path = new_path(spark, "dictionary")
+    lines = "Title\n-----\n\nalpha\n  The first.\n\nbeta_2\n  The second,\n  on two lines.\n\nEnd\n"
+    spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(path)
+    return sources.read_dictionary(spark, path)
+
+
 # Joins -------------------------------------------------------------------------------------------------------------
 
 

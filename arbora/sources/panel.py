@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbora.functions import blank_to_null, list_items
 from arbora.schema import PANEL, check_schema
+from arbora.sources.stata import read_stata
 
 
 def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -18,6 +22,13 @@ def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
     return blanks_to_null(read.csv(path)).select(*PANEL.names)
 
 
+def read_mapping(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A mapping file, CSV or Stata by its name: the named columns as strings, blanks as null."""
+    if not path.rstrip("/").endswith(".dta"):
+        return read_mapping_csv(spark, path, columns)
+    return blanks_to_null(read_stata(spark, path).select(*(F.col(c).cast("string").alias(c) for c in columns)))
+
+
 def read_mapping_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A mapping file: the named columns as strings, blanks as null."""
     return blanks_to_null(spark.read.option("header", True).csv(path).select(*columns))
@@ -26,18 +37,26 @@ def read_mapping_csv(spark: SparkSession, path: str, columns: list[str]) -> Data
 def blanks_to_null(df: DataFrame) -> DataFrame:
     """Empty or blank strings become null: the file format has no null string."""
     kinds = dict(df.dtypes)
-    return df.select(*(F.when(F.trim(c) != "", F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in df.columns))
+    return df.select(*(blank_to_null(F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in df.columns))
 
 
 def split_lists(df: DataFrame, *columns: str, sep: str = ";") -> DataFrame:
     """Beside each semicolon list a column ``<name>_list`` with trimmed, non-empty items; the raw column stays."""
-    items = lambda c: F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
-    return df.withColumns({f"{c}_list": items(F.col(c)) for c in columns})
+    return df.withColumns({f"{c}_list": list_items(F.col(c), sep) for c in columns})
+
+
+def whole_path(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, links of local paths followed."""
+    jvm = spark._jvm
+    raw = jvm.org.apache.hadoop.fs.Path(path)
+    full = raw.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(raw).toString()
+    scheme, _, rest = full.partition(":")
+    return "file:" + os.path.realpath("/" + rest.lstrip("/")) if scheme == "file" else full
 
 
 def write_result(df: DataFrame, path: str, inputs: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
-    """Write a result as Parquet, never at, above or below an input path."""
-    norm = lambda p: p.rstrip("/").removeprefix("file://") + "/"
+    """Write a result as Parquet, never at, above or below an input path, however either is written."""
+    norm = lambda p: whole_path(df.sparkSession, p).rstrip("/") + "/"
     for i in inputs:
         if norm(path).startswith(norm(i)) or norm(i).startswith(norm(path)):
             raise ValueError(f"{path} would overwrite the input {i}")

@@ -15,6 +15,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 WHILE_WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 

@@ -187,3 +187,89 @@ def test_stream_dedup_and_windows(spark, tmp_path):
         assert spark.table("dedup").count() == 2
     finally:
         q.stop()
+
+
+def test_section_and_match_gates(spark):
+    schema = CORE + ", aoc_match_status string, section_found int, review_reason string"
+    rows = [
+        (*row(1, kind=SOURCE_AOC), "matched", None, None), (*row(2, kind=SOURCE_AOC), "not_matched", None, None), (*row(3, kind=SOURCE_AOC), None, None, None),
+        (*row(4), None, 0, None), (*row(5), None, 1, "x; combined_pdf_section_not_found"), (*row(6), None, None, None), (*row(7, kind=None), None, 0, None), (*row(8, pdf=0), None, 1, None),
+    ]
+    got = {r.target_id: (r.review_reason, r.data_quality_tier, r.source_priority) for r in validate.classify(validate.validate(spark.createDataFrame(rows, schema))).collect()}
+    assert got == {
+        1: (None, TIERS[1], 2), 2: ("aoc_not_matched", TIERS[3], 4), 3: ("aoc_not_matched", TIERS[3], 4), 4: ("combined_pdf_section_not_found", TIERS[2], 3),
+        5: ("combined_pdf_section_not_found", TIERS[2], 3), 6: (None, TIERS[0], 1), 7: (None, None, 5), 8: (None, TIERS[2], 3),
+    }
+
+
+def test_paths_beyond_a_million(spark):
+    edge = spark.range(1, 1_200_001).selectExpr("0L AS parent", "id AS child")
+    found = graph.paths(edge, spark.createDataFrame([(0,)], "root long"))
+    assert found.count() == 1_200_001
+
+
+def test_paths_carry_labels(spark):
+    edge = spark.createDataFrame([("A", "B", "x"), ("B", "C", "y")], "parent string, child string, land string")
+    roots = spark.createDataFrame([("A", "r")], "root string, land string")
+    assert {(r.node, tuple(r.labels)) for r in graph.paths(edge, roots, label="land").collect()} == {("A", ("r",)), ("B", ("r", "x")), ("C", ("r", "x", "y"))}
+
+
+def test_quantiles_equal_numpy(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(stats, "ACCURACY", 50)
+    r = np.random.default_rng(3)
+    values = {"skew": np.concatenate([np.zeros(4000), r.exponential(size=2000)]), "ties": r.integers(0, 5, 3000).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 2.0]), "wide": r.normal(size=5000)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("two", None), ("none", None), (None, 3.0)], "g string, v double").repartition(5)
+    got = {(x.g, x.p): x["quantile"] for x in stats.quantiles(df, "v", [0.0, 0.1, 0.5, 0.73, 1.0], ["g"]).collect()}
+    for g, vs in values.items():
+        for p in (0.0, 0.1, 0.5, 0.73, 1.0):
+            assert got[g, p] == pytest.approx(np.quantile(vs, p))
+    assert got[None, 0.5] == 3.0 and ("none", 0.5) not in got
+    whole = np.concatenate([*values.values(), [3.0]])
+    assert stats.quantiles(df, "v", [0.5]).first()["quantile"] == pytest.approx(np.median(whole))
+
+
+def test_ntile_of_a_skewed_column(spark):
+    from arbora.streaming import windows
+
+    df = spark.createDataFrame([(0.0 if i % 10 else float(i) ** 5, i) for i in range(1000)], "v double, i long").repartition(3)
+    got = windows.global_ntile(df, ["v", "i"], 7, "tile").orderBy("v", "i").collect()
+    size, extra = divmod(1000, 7)
+    want = [t + 1 for t in range(7) for _ in range(size + (t < extra))]
+    assert [r.tile for r in got] == want
+
+
+def test_components_and_ranks(spark):
+    edge = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "parent long, child long")
+    assert {r.node: r.comp for r in graph.components(edge.toDF("u", "v")).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
+    assert {r.node: (r.n_out, r.n_in, r.degree) for r in graph.degrees(edge).collect()}[2] == (1, 1, 2)
+    ranks = {r.node: r["rank"] for r in graph.page_rank(edge, rounds=3, damping=0.5).collect()}
+    assert ranks == {1: 0.1, 5: 0.1, 2: pytest.approx(0.15), 6: pytest.approx(0.15), 3: pytest.approx(0.175)}
+
+
+def test_names_matches_and_claims(spark):
+    left = spark.createDataFrame([("P", "Acme Ltd", 1), ("P", "Zeta", 2), ("Q", "Acme", 3)], "b string, n string, k long")
+    right = spark.createDataFrame([("P", "ACME LTD.", 10), ("P", "Beta", 11)], "b string, n string, k long")
+    got = {r.k: (r.match_key, r.match_status) for r in validate.best_match(left, right, "b", "n", "k", 0.8).collect()}
+    assert got == {1: (10, "matched"), 2: (11, "not_matched"), 3: (None, "not_matched")}
+    with pytest.raises(ValueError):
+        validate.with_sector_labels(spark.createDataFrame([("a",)], "sector_code string"), spark.createDataFrame([("a", "x"), ("a", "y")], "sector_code string, sector_label string"))
+
+
+def test_dates_dictionary_and_links(spark, tmp_path):
+    from arbora.functions import text_date
+    from arbora.sources import commented, read_dictionary, read_mapping
+
+    texts = ["2020-03-31", "31/03/2020", "31st March, 2020", "Mar 31 2020", "31.03.2020", "MARCH 31, 2020", "no date", "", None, "20200331"]
+    got = [str(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text_date(F.col("t"))).collect()]
+    assert got == ["2020-03-31"] * 6 + ["None"] * 3 + ["2020-03-31"]
+    (tmp_path / "d.txt").write_text("Heading\n-------\n\nequity\n  What is left,\n  after all.\n\nunits\n  Of money.\n")
+    schema = commented(PANEL, read_dictionary(spark, str(tmp_path / "d.txt")))
+    assert schema["equity"].metadata["comment"] == "What is left, after all." and schema["units"].metadata["comment"] == "Of money." and not schema["parent"].metadata
+    pd.DataFrame({"uin": ["U1", ""], "n": [1.0, 2.0]}).to_stata(str(tmp_path / "m.dta"), write_index=False)
+    assert [r.uin for r in read_mapping(spark, str(tmp_path / "m.dta"), ["uin"]).collect()] == ["U1", None]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "in")
+    with pytest.raises(ValueError):
+        write_result(spark.range(1), f"file://{tmp_path}/link/x", inputs=(str(tmp_path / "in"),))
