@@ -80,3 +80,19 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables of an operator's inner steps, deleted together once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        made, path = materialize(df, tag)
+        self.paths.append(path)
+        return made
+
+    def drop(self) -> None:
+        remove(self.spark, *self.paths)
+        self.paths = []
