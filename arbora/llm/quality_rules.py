@@ -1,5 +1,6 @@
-"""Quality rules: one threshold table, compiled into Spark projections of counts and ratios. Native throughout.
+"""Quality rules: one threshold table, compiled into one Spark projection of counts and ratios. Native throughout.
 
+The projection splits a text into words and lines once, and takes all counts from these; the rules compare the counts.
 Defined cases: a null text counts as one without words, so it fails the base rule; repeated rows are judged alike;
 an empty table gives an empty result; columns other than the id and the text are neither read nor returned.
 """
@@ -71,40 +72,50 @@ def repeated_words(grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(let(spots, covered))
 
 
+def counts_of(text: Column) -> Column:
+    """The counts that the rules compare, as one struct; words, lines and window hashes are made once."""
+    trimmed = F.btrim(text, F.lit(BLANKS))
+    split = F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
+    worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def windows(words: Column) -> Column:
+        each = F.transform(
+            F.sequence(F.lit(0), F.size(words) - WINDOW),
+            lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))),
+        )
+        return F.when(F.size(words) >= WINDOW, each).otherwise(F.array().cast("array<bigint>"))
+
+    def counted(words: Column, lines: Column) -> Column:
+        counts = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", "")),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": let(windows(words), repeated_words),
+            "n_lines": F.size(lines),
+            "n_stop": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))),
+            "n_exclaimed": F.size(F.filter(words, lambda w: F.endswith(w, F.lit("!")))),
+            "n_bullets": F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•]"))),
+            "n_ellipses": F.size(
+                F.filter(lines, lambda x: F.endswith(F.rtrim(x), F.lit("...")) | F.endswith(F.rtrim(x), F.lit("…")))
+            ),
+        }
+        return F.struct(*(c.cast("bigint").alias(name) for name, c in counts.items()))
+
+    return let(split, lambda words: let(worded, lambda lines: counted(words, lines)))
+
+
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
-    """The counts that the rules compare, one row per document; with ``row`` also the document's row as a struct."""
-    carried = [F.struct("*").alias("row")] if row else []
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried)
-    trimmed = F.btrim(F.col("text"), F.lit(BLANKS))
-    base = computed(
-        base,
-        base.columns,
-        words=F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT)),
-        lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-    )
-    words = F.col("words")
-    gram = F.transform(
-        F.sequence(F.lit(0), F.size(words) - WINDOW),
-        lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))),
-    )
-    base = computed(
-        base, base.columns, grams=F.when(F.size(words) >= WINDOW, gram).otherwise(F.array().cast("array<bigint>"))
-    )
-    counts = {
-        "n_words": F.size(words),
-        "word_chars": F.length(F.array_join(words, "")),
-        "n_symbols": F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", "")),
-        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
-        "n_repeat_words": repeated_words(F.col("grams")),
-        "n_lines": F.size("lines"),
-        "n_stop": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))),
-        "n_exclaimed": F.size(F.filter(words, lambda w: F.endswith(w, F.lit("!")))),
-        "n_bullets": F.size(F.filter("lines", lambda x: x.rlike(r"^\s*[-*•]"))),
-        "n_ellipses": F.size(
-            F.filter("lines", lambda x: F.endswith(F.rtrim(x), F.lit("...")) | F.endswith(F.rtrim(x), F.lit("…")))
-        ),
-    }
-    return computed(base, ["doc_id", *(["row"] if row else [])], **{k: c.cast("bigint") for k, c in counts.items()})
+    """The counts that the rules compare, one row per document; with ``row`` also the document's row as a struct.
+
+    With ``row`` the counts stand behind a barrier, as a later filter on the verdict would make them a second time.
+    """
+    counts = counts_of(F.coalesce(F.col(text_col), F.lit("")))
+    if row:
+        return computed(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), counts.alias("counts")), ["doc_id", "row"], counts=F.col("counts")).select(
+            "doc_id", "row", "counts.*"
+        )
+    return docs.select(F.col(id_col).alias("doc_id"), counts.alias("counts")).select("doc_id", "counts.*")
 
 
 def passes(rule: Rule) -> Column:
