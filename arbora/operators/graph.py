@@ -170,6 +170,16 @@ def crossings(array: Column) -> Column:
     return F.when(F.size(array) > 1, F.aggregate(pairs, F.lit(0), lambda s, x: s + x)).otherwise(0)
 
 
+def geography_by_depth(path: DataFrame, labels: str) -> DataFrame:
+    """Nodes by their depth and the last label of their path."""
+    return path.groupBy("depth", F.element_at(labels, -1).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def path_product(labels: str) -> Column:
+    """The product of the labels along a path, as with stakes."""
+    return F.aggregate(labels, F.lit(1.0), lambda a, x: a * x)
+
+
 def complexity(path: DataFrame, group: str, country: str) -> DataFrame:
     """Depth, branching and country entropy by group, and their sum as an index; the parts are published too."""
     nodes = path.groupBy(group).agg(F.max("depth").alias("max_depth"), F.count(F.lit(1)).alias("n_nodes"))

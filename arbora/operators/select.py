@@ -73,3 +73,15 @@ def _beside(df: DataFrame, figures: DataFrame, by: list[str]) -> DataFrame:
 def union_sources(pdf: DataFrame, aoc: DataFrame) -> DataFrame:
     """The rows of both source groups, each with its source; columns must be the same."""
     return pdf.withColumn("source_type", F.lit(SOURCE_PDF)).unionByName(aoc.withColumn("source_type", F.lit(SOURCE_AOC)))
+
+
+def merged_by_key(claims: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """Numbers of claims and of targets by a shared key: both sides are cut to one row per key before they meet."""
+    left = claims.groupBy(key).agg(F.count(F.lit(1)).alias("n_claims"))
+    right = targets.groupBy(key).agg(F.count(F.lit(1)).alias("n_targets"))
+    return left.join(right, key, "left").select(key, "n_targets", "n_claims")
+
+
+def unmatched(df: DataFrame, other: DataFrame, left: str, right: str) -> DataFrame:
+    """Rows whose key the other table lacks; rows without a key are among them."""
+    return df.join(other.select(F.col(right).alias("_other")), F.col(left) == F.col("_other"), "left_anti")

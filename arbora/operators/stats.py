@@ -63,6 +63,18 @@ def one_currency_sum(df: DataFrame, group: list[str], value: str, currency: str
     return rated.groupBy(*(F.col(f"d.{g}").alias(g) for g in group)).agg(F.sum(F.col(f"d.{value}") * F.col("rate")).alias("total"))
 
 
+def group_means(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
+    """The mean of the inner groups' means, in which groups weigh alike, beside the mean of all rows."""
+    g = df.groupBy(outer, inner).agg(F.avg(value).alias("m"), F.count(value).alias("n"))
+    return g.groupBy(outer).agg(F.avg("m").alias("mean_of_means"), (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("entity_mean"))
+
+
+def dominance(df: DataFrame, group: str) -> DataFrame:
+    """The largest group's rows, all rows, and their ratio."""
+    g = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    return g.agg(F.max("n").alias("num"), F.sum("n").alias("den")).withColumn("dominance", F.col("num") / F.col("den"))
+
+
 def weightings(df: DataFrame, group: list[str], value: str, weight: str) -> DataFrame:
     """The unweighted mean, the weighted mean, and what they rest on."""
     w = F.when(F.col(value).isNotNull(), F.col(weight))
@@ -148,6 +160,49 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[st
     return made.select(*by, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("quantile"))
 
 
+def descriptives(df: DataFrame, value: str, by: list[str], probabilities: list[float]) -> DataFrame:
+    """Number, mean, deviation, extremes and exact quantiles by group; a quantile's column is ``p`` and its percent."""
+    plain = df.groupBy(*by).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high")
+    )
+    found = quantiles(df, value, probabilities, by)
+    wide = found.groupBy(*by).agg(*(F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(f"p{round(p * 100)}") for p in probabilities))
+    return plain.join(wide, by, "left")
+
+
+def margins(df: DataFrame, dimensions: list[str], *figures: Column) -> DataFrame:
+    """Figures over all combinations of dimensions; ``all_<dimension>`` is 1 where the dimension is summed over."""
+    return df.cube(*dimensions).agg(*figures, *(F.grouping(d).cast("int").alias(f"all_{d}") for d in dimensions))
+
+
+def yearly_change(df: DataFrame, key: list[str], year: str, value: str, name: str = "change") -> DataFrame:
+    """Adds the change against the year before; null where that year is not there."""
+    w = Window.partitionBy(*key).orderBy(year)
+    return df.withColumn(name, F.when(F.lag(year).over(w) == F.col(year) - 1, F.col(value) - F.lag(value).over(w)))
+
+
+def definition_grid(df: DataFrame, definitions: dict[str, Column]) -> DataFrame:
+    """Rows that each definition holds for, all counted in one pass: ``definition, n``."""
+    counted = df.agg(*(F.count_if(c).alias(name) for name, c in definitions.items()))
+    return counted.unpivot([], list(definitions), "definition", "n")
+
+
+def simple_regression(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
+    """Slope, intercept, fit and correlation of one regressor, by group."""
+    a, b = F.col(y), F.col(x)
+    return df.groupBy(*by).agg(
+        F.regr_slope(a, b).alias("slope"), F.regr_intercept(a, b).alias("intercept"), F.regr_r2(a, b).alias("r2"), F.corr(a, b).alias("corr")
+    )
+
+
+def two_way_ranks(df: DataFrame, one: str, other: str, apart: int) -> DataFrame:
+    """Ranks of a few groups by two figures, and neutral words for those whose ranks lie far apart."""
+    rank = lambda c: F.rank().over(Window.orderBy(F.col(c).desc()))  # noqa: E731  a few groups
+    ranked = df.withColumns({f"by_{one}": rank(one), f"by_{other}": rank(other)})
+    far = F.abs(F.col(f"by_{one}") - F.col(f"by_{other}")) >= apart
+    return ranked.withColumn("wording", F.when(far, "unusual").otherwise("usual"))
+
+
 def missing_sensitivity(df: DataFrame, columns: list[str]) -> DataFrame:
     """By variable: its mean over the rows that have it and over those that have all, and bounds for the whole table.
 

@@ -301,9 +301,8 @@ def dictionary_scan(spark, sf_dir):
 def uin_merge(spark, sf_dir):
     """Aggregate a shared key before merging, so that rows do not multiply."""
     targets = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"))
-    targets = targets.groupBy(F.col("n_nationkey").alias("uin")).agg(F.count(F.lit(1)).alias("n_targets"))
-    claims = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("uin")).agg(F.count(F.lit(1)).alias("n_claims"))
-    return claims.join(targets, "uin", "left").select("uin", "n_targets", "n_claims")
+    claims = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("uin"))
+    return select.merged_by_key(claims, targets.select(F.col("n_nationkey").alias("uin")), "uin")
 
 
 @query(
@@ -384,7 +383,7 @@ def claim_comparison(spark, sf_dir):
 @query("SELECT count(*) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
 def unmatched_entities(spark, sf_dir):
     """An anti join."""
-    return read(spark, sf_dir, "part").join(read(spark, sf_dir, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    return select.unmatched(read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem"), "p_partkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Graph -------------------------------------------------------------------------------------------------------------
@@ -437,7 +436,7 @@ def country_transitions(spark, sf_dir):
 @query(f"WITH RECURSIVE {TREE_SQL} SELECT depth::INT AS depth, labels[-1] AS nation, count(*) AS n FROM p GROUP BY 1, 2")
 def geography_by_depth(spark, sf_dir):
     """G7."""
-    return tree(spark, sf_dir).groupBy("depth", F.element_at("labels", -1).alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    return graph.geography_by_depth(tree(spark, sf_dir), "labels").withColumnRenamed("label", "nation")
 
 
 @query(
@@ -581,7 +580,7 @@ def path_product_ownership(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").filter("s_suppkey > 0")
     edge = s.select(F.expr("s_suppkey div 3").alias("parent"), F.col("s_suppkey").alias("child"), ((F.col("s_suppkey") % 4 + 1) / F.lit(4.0)).alias("stake"))
     found = graph.paths(edge.filter("parent > 0"), edge.filter("parent = 0").select(F.col("child").alias("root"), "stake"), CFG.max_depth, label="stake")
-    return found.select("node", F.aggregate("labels", F.lit(1.0), lambda a, x: a * x).alias("stake"))
+    return found.select("node", graph.path_product("labels").alias("stake"))
 
 
 # Aggregates --------------------------------------------------------------------------------------------------------
@@ -627,8 +626,7 @@ def weighting_variants(spark, sf_dir):
 def parent_versus_entity_weighting(spark, sf_dir):
     """Mean of group means beside the mean of entities."""
     c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    g = c.groupBy("n_regionkey", "c_nationkey").agg(F.avg("c_acctbal").alias("m"), F.count(F.lit(1)).alias("n"))
-    return g.groupBy("n_regionkey").agg(F.avg("m").alias("mean_of_means"), (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("entity_mean"))
+    return stats.group_means(c, "n_regionkey", "c_nationkey", "c_acctbal")
 
 
 @query(
@@ -650,8 +648,7 @@ def duplicate_rate(spark, sf_dir):
 @query("WITH g AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT max(n) AS num, CAST(sum(n) AS BIGINT) AS den, max(n)::DOUBLE / sum(n) AS dominance FROM g")
 def dominance(spark, sf_dir):
     """A6, A16."""
-    g = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return g.agg(F.max("n").alias("num"), F.sum("n").alias("den")).withColumn("dominance", F.col("num") / F.col("den"))
+    return stats.dominance(read(spark, sf_dir, "events"), "user_id")
 
 
 @query(
@@ -660,13 +657,7 @@ def dominance(spark, sf_dir):
 )
 def descriptive_statistics(spark, sf_dir):
     """A17."""
-    v, orders = "o_totalprice", read(spark, sf_dir, "orders")
-    plain = orders.groupBy("o_orderpriority").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high")
-    )
-    found = stats.quantiles(orders, v, [0.25, 0.5, 0.9], ["o_orderpriority"])
-    wide = found.groupBy("o_orderpriority").agg(*(F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.9)))
-    return plain.join(wide, "o_orderpriority", "left")
+    return stats.descriptives(read(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"], [0.25, 0.5, 0.9])
 
 
 @query("SELECT l_suppkey // 10 AS parent, l_suppkey AS immediate_parent, l_linenumber AS level, l_linestatus AS entity_name, count(*) AS n, CAST(sum(round(l_extendedprice * 100)::BIGINT) AS BIGINT) AS total FROM lineitem GROUP BY 1, 2, 3, 4")
@@ -699,9 +690,8 @@ def size_strata(spark, sf_dir):
 @query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(grouping(lang) AS INT) AS all_langs, CAST(grouping(source) AS INT) AS all_sources FROM documents GROUP BY CUBE (lang, source)")
 def margins(spark, sf_dir):
     """A cube."""
-    return read(spark, sf_dir, "documents").cube("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.grouping("lang").cast("int").alias("all_langs"), F.grouping("source").cast("int").alias("all_sources")
-    )
+    made = stats.margins(read(spark, sf_dir, "documents"), ["lang", "source"], F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return made.withColumnsRenamed({"all_lang": "all_langs", "all_source": "all_sources"})
 
 
 # Windows and robustness --------------------------------------------------------------------------------------------
@@ -723,9 +713,7 @@ def yearly_change(spark, sf_dir):
     """Change only between neighbouring years."""
     li = read(spark, sf_dir, "lineitem")
     y = li.groupBy(F.col("l_suppkey").alias("target_id"), F.year("l_shipdate").cast("bigint").alias("fiscal_year")).agg(F.sum(cents("l_extendedprice")).alias("total"))
-    w = Window.partitionBy("target_id").orderBy("fiscal_year")
-    near = F.lag("fiscal_year").over(w) == F.col("fiscal_year") - 1
-    return y.withColumn("change", F.when(near, F.col("total") - F.lag("total").over(w)))
+    return stats.yearly_change(y, ["target_id"], "fiscal_year", "total")
 
 
 @query(
@@ -761,10 +749,7 @@ def sufficient_statistics(spark, sf_dir):
 @query("SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_r2(l_extendedprice, l_quantity) AS r2, corr(l_extendedprice, l_quantity) AS corr FROM lineitem GROUP BY 1")
 def regression(spark, sf_dir):
     """T1, T13."""
-    y, x = F.col("l_extendedprice"), F.col("l_quantity")
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.corr(y, x).alias("corr")
-    )
+    return stats.simple_regression(read(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"])
 
 
 @query(
@@ -840,9 +825,7 @@ def rank_correlation(spark, sf_dir):
 def unusual_combinations(spark, sf_dir):
     """Structure against value by two-way ranks of a few groups, worded neutrally."""
     a = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg("s_acctbal").alias("v"))
-    rank = lambda c: F.rank().over(Window.orderBy(F.col(c).desc()))
-    a = a.withColumns({"by_count": rank("n"), "by_value": rank("v")})
-    worded = a.withColumn("wording", F.when(F.abs(F.col("by_count") - F.col("by_value")) >= 10, "unusual").otherwise("usual"))
+    worded = stats.two_way_ranks(a, "n", "v", 10).withColumnsRenamed({"by_n": "by_count", "by_v": "by_value"})
     return worded.filter(F.size(ledger.loaded_words(F.col("wording"))) == 0)
 
 
@@ -852,8 +835,7 @@ def unusual_combinations(spark, sf_dir):
 )
 def alternative_definitions(spark, sf_dir):
     """A parameter grid in one pass, one row for each definition."""
-    li = read(spark, sf_dir, "lineitem").agg(*(F.count_if(F.col("l_discount") <= t).alias(f"tolerance_{i}") for i, t in enumerate((0.02, 0.05, 0.08))))
-    return li.unpivot([], ["tolerance_0", "tolerance_1", "tolerance_2"], "definition", "n")
+    return stats.definition_grid(read(spark, sf_dir, "lineitem"), {f"tolerance_{i}": F.col("l_discount") <= t for i, t in enumerate((0.02, 0.05, 0.08))})
 
 
 @query(f"SELECT CASE WHEN l_linestatus = 'F' THEN '{SOURCE_PDF}' ELSE '{SOURCE_AOC}' END AS source_type, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2")
