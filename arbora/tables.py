@@ -10,12 +10,13 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: While a table is written: shuffle files go with the step's end, as what it made is in the table by then; and rows
-#: reach Python in small batches, so that long texts do not add up.
+#: While a table is written: shuffle files go with the step's end, as what it made is in the table by then; and rows are
+#: read, and reach Python, in small batches, so that long texts do not add up.
 WHILE_WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
 }
 
 
