@@ -1,87 +1,18 @@
-"""Shared plumbing: tables in the cluster's shared folder, and connected components."""
+"""Shared plumbing: names, hashes of words, and expressions that are evaluated once."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-#: While a table is written: shuffle files go with the step's end, as what it made is in the table by then; and rows
-#: reach Python in small batches, so that long texts do not add up.
-WHILE_WRITING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
-}
-
+from arbora.operators.graph import components
+from arbora.tables import CHECKPOINT_KEY, materialize, new_path, remove, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where the setting is absent and the master is local (tests), a temporary folder is made and recorded as the
-    context's checkpoint folder. On a cluster without the setting this raises: a local folder would lose data.
-    """
-    named = spark.conf.get(CHECKPOINT_KEY, None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    held = sc.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="arbora-shared-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-_RUN = uuid.uuid4().hex
-_roots: set[str] = set()
-
-
-def _forget(root: str) -> None:
-    """Delete this process's tables when it ends."""
-    if SparkContext._gateway is not None:
-        jvm, active = SparkContext._gateway.jvm, SparkContext._active_spark_context
-        held = active._jsc.hadoopConfiguration() if active is not None else jvm.org.apache.hadoop.conf.Configuration()
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(held).delete(path, True)
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder; what a process wrote there goes when it ends."""
-    root = f"{shared_dir(spark)}/arbora-{_RUN}"
-    if root not in _roots:
-        _roots.add(root)
-        atexit.register(_forget, root)
-    return f"{root}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet to the shared folder and read it back: this cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    held = {key: spark.conf.get(key, None) for key in WHILE_WRITING}
-    for key, value in WHILE_WRITING.items():
-        spark.conf.set(key, value)
-    try:
-        df.write.parquet(path)
-    finally:
-        for key, value in held.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of :func:`materialize` that no later plan reads."""
-    for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = [
+    "CHECKPOINT_KEY", "components", "computed", "fresh", "gram_hashes", "let", "materialize", "new_path", "remove", "shared_dir", "word_hashes",
+]
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
@@ -136,37 +67,3 @@ def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """
     made = F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
     return df.select(*keep, made)
-
-
-def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
-    """Connected components of ``edges(u, v)``: rows ``(node, comp)`` with the smallest node of each component.
-
-    Labels spread to neighbours and are then short-cut through the label's own label, so rounds grow with the
-    logarithm of the diameter. Every round is one written table; a hub's neighbours meet only in a partial ``min``.
-    Self-edges and repeats are harmless; an empty input gives an empty result.
-    """
-    spark = edges.sparkSession
-    both, both_path = materialize(
-        edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).distinct(), f"{tag}-edges"
-    )
-    labels, path = materialize(
-        both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("comp")), f"{tag}-labels"
-    )
-    while True:
-        heard = (
-            both.join(labels.withColumnRenamed("node", "v"), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("comp").alias("near"))
-        )
-        step = labels.join(heard, "node").select("node", F.least("comp", "near").alias("mid"), F.col("comp").alias("was"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("root"))
-        new, new_at = materialize(
-            step.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("root", "mid")).alias("comp"), "was"),
-            f"{tag}-labels",
-        )
-        moved = new.filter("comp <> was").limit(1).count()
-        remove(spark, path)
-        labels, path = new.select("node", "comp"), new_at
-        if not moved:
-            remove(spark, both_path)
-            return labels
