@@ -2,6 +2,9 @@
 
 Every stage takes the documents that its predecessor kept and returns the columns of ``documents``; the last returns
 token ids. Stages meet through Parquet tables in the shared folder.
+
+All stages: an empty table gives an empty table; extra columns pass, whatever their names (the last stage does not read
+them). How a stage treats null ids, null and empty texts and repeated rows is in its docstring.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import materialize
+from arbora.llm.common import fresh, materialize, remove
 from arbora.llm.decontaminate import without_leaks
 from arbora.llm.jaccard_join import jaccard_classes
 from arbora.llm.line_dedup import dedup_documents
@@ -18,41 +21,52 @@ from arbora.llm.sentencepiece_codec import encode_documents
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: null and empty texts among them. Each row is judged alone, whatever its id."""
     return kept_documents(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents of which no line is left; ``n_chars`` follows the text."""
-    done = dedup_documents(docs).filter("_n_lines = 0 OR _n_removed < _n_lines")
+    """Repeated lines go, and documents of which no line is left; ``n_chars`` follows the text.
+
+    A line stays where it stands first, by id, null ids last; rows that repeat id and text share one verdict; texts
+    without lines, null ones too, stay.
+    """
+    lines, removed = fresh("_n_lines", docs), fresh("_n_removed", docs)
+    done = dedup_documents(docs, n_lines=lines, n_removed=removed).filter(f"`{lines}` = 0 OR `{removed}` < `{lines}`")
     return done.select(
         *(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns)
     )
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the row with the smallest id stays; rows without id stay.
+    """Of each group of near copies (five words, 0.8) the row with the smallest id stays, rows without id last.
 
-    Rows are compared by id and text, so rows that share an id but are no near copies all stay.
+    Rows are compared by id and text, so rows that share an id but are no near copies all stay; of rows that repeat
+    both, one stays. Texts without words, null ones too, are linked with nothing and stay.
     """
-    keyed = docs.filter("doc_id IS NOT NULL").withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = jaccard_classes(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    key, rank = fresh("_key", docs), fresh("_rank", docs)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = jaccard_classes(keyed, id_col=key).select(F.col("doc_id").alias(key), "n_shingles", "component_id").distinct()
+    found, _ = materialize(found, "found")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(key).alias("key"))
     heads = (
-        found.join(keyed.select("_key", "doc_id").distinct(), "_key")
-        .groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("_head")).select("_head._key")
+        found.filter("n_shingles > 0").join(keyed.select(key, "doc_id").distinct(), key)
+        .groupBy("component_id").agg(F.min(order).alias("one")).select(F.col("one.key").alias(key))
     )
-    rank = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
-    first = keyed.join(heads, "_key", "left_semi").withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1")
-    return first.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    # Repeats of a row are cut to one per task before they meet.
+    repeats = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
+    first = keyed.join(heads, key, "left_semi").withColumn(rank, F.row_number().over(repeats)).filter(F.col(rank) == 1)
+    blank = keyed.join(found.filter("n_shingles = 0").select(key), key, "left_semi")
+    return first.select(*docs.columns).union(blank.select(*docs.columns))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none. Rows that repeat id and text go together."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded``."""
+    """``doc_id, n_tokens, ids, decoded`` for every row; null and empty texts have no ids and decode to an empty text."""
     return encode_documents(docs)
 
 
@@ -69,7 +83,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name)
+        docs, made_at = materialize(stage(spark, docs, sf_dir), name)
+        if path is not None:
+            remove(spark, path)  # no later stage reads it
+        path = made_at
     return STAGES[-1][1](spark, docs, sf_dir)
