@@ -29,8 +29,8 @@ from arbora.llm.common import gram_hashes, materialize, word_hashes
 SHORT, LONG, SHARE, GAP = 2, 4, 0.75, 60
 #: The hash that every text has, so that texts without hits stay.
 ALWAYS = 0
-#: Texts of this many bytes are hashed at once.
-SLICE_BYTES = 1 << 20
+#: Texts of this many bytes are hashed at once, and hashes in one cell.
+SLICE_BYTES, CELL = 1 << 20, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -192,37 +192,38 @@ def hits(docs: DataFrame, id_col: str, text_col: str, templates=TEMPLATES) -> Da
 
     def scan(batches):
         for batch in batches:
-            ids, counts, hashes, size = [], [], [], 0
+            rows, size = [], 0
             for i, cell in enumerate(batch.column(1), 1):
                 text = cell.as_py()
                 words = word_hashes.of(text_words(text))
-                counts.append(len(words))
-                hashes.append(np.concatenate([np.array([ALWAYS], np.uint64), *(gram_hashes(words, k) for k in sizes)]))
+                rows.append((i - 1, len(words), 0, np.full(1, ALWAYS, np.uint64)))
+                for k in sizes:
+                    grams = gram_hashes(words, k)
+                    rows += [(i - 1, len(words), at, grams[at : at + CELL]) for at in range(0, len(grams), CELL)]
                 size += len(text or "")
                 if size >= SLICE_BYTES or i == batch.num_rows:
-                    ends = np.cumsum([0, *map(len, hashes)])
+                    ends = np.cumsum([0, *(len(r[3]) for r in rows)])
+                    at = pa.array([r[0] for r in rows], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).slice(i - len(counts), len(counts)),
-                            pa.array(counts, pa.int64()),
-                            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64))),
+                            batch.column(0).take(at),
+                            batch.column(2).take(at),
+                            pa.array([r[1] for r in rows], pa.int64()),
+                            pa.array([r[2] for r in rows], pa.int64()),
+                            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([r[3] for r in rows]).view(np.int64))),
                         ],
-                        names=["doc_id", "n_words", "hashes"],
+                        names=["doc_id", "row_id", "n_words", "first", "hashes"],
                     )
-                    counts, hashes, size = [], [], 0
+                    rows, size = [], 0
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    met = texts.mapInArrow(scan, "doc_id bigint, n_words bigint, hashes array<bigint>")
-    met = met.withColumn("row_id", F.monotonically_increasing_id())
-    grams = met.select("doc_id", "n_words", "row_id", F.posexplode("hashes").alias("spot", "hash"))
+    texts = texts.withColumn("row_id", F.monotonically_increasing_id())
+    met = texts.mapInArrow(scan, "doc_id bigint, row_id bigint, n_words bigint, first bigint, hashes array<bigint>")
+    grams = met.select("doc_id", "row_id", "n_words", "first", F.posexplode("hashes").alias("spot", "hash"))
     table = docs.sparkSession.createDataFrame(template_grams(templates), GRAMS)
-    # Behind the one hash that every text has stand the grams of the first size, then those of the next.
-    before = F.lit(1)
-    for k in sizes:
-        before = F.when(F.col("k") > k, before + F.greatest(F.lit(0), F.col("n_words") - (k - 1))).otherwise(before)
     # The templates are a fixed table of some thousand rows, so it may be broadcast.
     return grams.join(F.broadcast(table), "hash").select(
-        "doc_id", "row_id", "n_words", "template", "label", "base", "length", "k", "at", (F.col("spot") - before).cast("int").alias("pos")
+        "doc_id", "row_id", "n_words", "template", "label", "base", "length", "k", "at", (F.col("first") + F.col("spot")).cast("int").alias("pos")
     )
 
 
