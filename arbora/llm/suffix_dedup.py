@@ -6,6 +6,10 @@ local. Neighbouring strings under one hash form one run with one context, the by
 one class with a count, so copies never meet in one task. Where a hash has several classes, the classes' contexts are
 joined into one text, its suffix array is built, and adjacent common prefixes of ``length`` bytes mark the repeats.
 
+A hash with very many classes is split before that: its strings are filed anew under the next smallest hash of their
+grams too, so equal strings still meet, in shorter contexts of which more are equal. This is done again as long as a
+group is too large, up to LEVELS hashes; strings that agree in so many grams and still crowd are counted one by one.
+
 The suffix array takes two stages: suffixes smaller than their successors are sorted directly, all others are induced
 by one scan over the buckets of first bytes. Orders are exact to ``length`` bytes, more is never compared.
 
@@ -25,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm.common import materialize, remove
+from arbora.tables import Scratch
 
 LENGTH, GRAM = 200, 64
 #: Bytes of one piece of a long text, strings of one run, bytes of one suffix array.
 PIECE, RUN, TEXT = 1 << 21, 512, 2 << 20
-#: A hash with more classes is settled string by string, in a grouped count, instead of in one task.
-CROWD = 20_000
+#: A hash with more classes is split by the next smallest hashes of its strings, so many times at most.
+CROWD, LEVELS = 1_000, 6
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 _rng = np.random.default_rng(20240229)
@@ -281,12 +286,68 @@ def _marks(contexts: DataFrame, length: int) -> DataFrame:
     return (
         contexts.repartition("hash")
         .sortWithinPartitions("hash")
-        .mapInArrow(run, "hash bigint, context bigint, lows array<bigint>, highs array<bigint>")
+        .mapInArrow(run, MARKS)
+    )
+
+
+MARKS = "hash bigint, context bigint, lows array<bigint>, highs array<bigint>"
+
+
+def _settled(contexts: DataFrame, length: int, gram: int, scratch: Scratch, level: int = 1) -> DataFrame:
+    """The marks of ``hash, context, n, bytes, chain``: every group in one suffix array, crowded ones split before.
+
+    ``chain`` has the hashes that all strings of the group share.
+    """
+    crowd = scratch.table(contexts.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > CROWD).select("hash"), "crowd")
+    plain = ["hash", "context", "n", "bytes"]
+    if not crowd.limit(1).count():
+        return _marks(contexts.select(*plain), length)
+    small = contexts.join(crowd, "hash", "left_anti").select(*plain)
+    large = contexts.join(crowd, "hash", "left_semi")
+    if level == LEVELS:
+        return _marks(small, length).unionByName(_single_marks(large.select(*plain), length, scratch))
+
+    def split(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                each = gram_hashes(np.frombuffer(row["bytes"], np.uint8), gram)
+                each[np.isin(each, np.array(row["chain"], np.int64).view(np.uint64))] = np.iinfo(np.uint64).max
+                low = sliding_min(each, length - gram + 1)
+                starts = np.nonzero(np.concatenate([[True], low[1:] != low[:-1]]))[0]
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(low)]):
+                    chain = [*row["chain"], int(low[a : a + 1].view(np.int64)[0])]
+                    part = row["bytes"][a : b - 1 + length]
+                    key = xxhash.xxh3_64_intdigest(np.array(chain, np.int64).tobytes())
+                    rows.append((row["hash"], row["context"], a, key, xxhash.xxh3_64_intdigest(part), row["n"], part, chain))
+            signed = lambda xs: pa.array(np.array(xs, dtype=np.uint64).view(np.int64))
+            column = lambda i: [r[i] for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(column(0), pa.int64()), pa.array(column(1), pa.int64()), pa.array(column(2), pa.int64()), signed(column(3)), signed(column(4)),
+                    pa.array(column(5), pa.int64()), pa.array(column(6), pa.binary()), pa.array(column(7), pa.list_(pa.int64())),
+                ],
+                names=["hash", "context", "at", "key", "part", "n", "bytes", "chain"],
+            )
+
+    schema = "hash bigint, context bigint, at bigint, key bigint, part bigint, n bigint, bytes binary, chain array<bigint>"
+    parts = scratch.table(large.select(*plain, "chain").mapInArrow(split, schema), "parts")
+    merged = scratch.table(
+        parts.groupBy(F.col("key").alias("hash"), F.col("part").alias("context")).agg(
+            F.sum("n").alias("n"), F.first("bytes").alias("bytes"), F.first("chain").alias("chain")
+        ),
+        "merged",
     )
+    deeper = scratch.table(_settled(merged, length, gram, scratch, level + 1).filter(F.size("lows") > 0), "deeper")
+    deeper = deeper.withColumnsRenamed({"hash": "key", "context": "part"})
+    shift = lambda c: F.flatten(F.collect_list(F.transform(c, lambda x: x + F.col("at"))))
+    found = parts.select("hash", "context", "at", "key", "part").join(deeper, ["key", "part"])
+    found = found.groupBy("hash", "context").agg(shift("lows").alias("lows"), shift("highs").alias("highs"))  # within one context
+    return _marks(small, length).unionByName(found)
 
 
-def _crowd_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """As :func:`_marks` for hashes with very many classes: a grouped count of string hashes, which pre-aggregates."""
+def _single_marks(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """As :func:`_marks` by a grouped count of string hashes, which pre-aggregates."""
 
     def strings(batches):
         for batch in batches:
@@ -300,8 +361,8 @@ def _crowd_marks(contexts: DataFrame, length: int) -> DataFrame:
             yield _strings_batch(rows)
 
     each = contexts.mapInArrow(strings, "hash bigint, context bigint, j bigint, n bigint, string binary")
-    each, _ = materialize(each, "strings")
-    twice, _ = materialize(each.groupBy("hash", "string").agg(F.sum("n").alias("c")).filter("c > 1").drop("c"), "twice")
+    each = scratch.table(each, "strings")
+    twice = scratch.table(each.groupBy("hash", "string").agg(F.sum("n").alias("c")).filter("c > 1").drop("c"), "twice")
     found = each.join(twice, ["hash", "string"], "left_semi").groupBy("hash", "context").agg(F.array_sort(F.collect_set("j")).alias("lows"))
     return found.withColumn("highs", F.col("lows"))
 
@@ -357,12 +418,12 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
         "classes",
     )
     kinds, kinds_at = materialize(
-        classes.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.max("twin").alias("twin")).filter("kinds > 1 OR twin").drop("twin"), "kinds"
+        classes.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"), F.max("twin").alias("twin")).filter("kinds > 1 OR twin").select("hash"), "kinds"
     )
     # Of a hash with one class every string is repeated. Of the others the contexts are fetched, one per class.
-    mixed = classes.join(kinds, "hash").select("hash", "context", "n", "kinds", "at.*")
+    mixed = classes.join(kinds, "hash").select("hash", "context", "n", "at.*")
     wanted = mixed.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("hash", "context", "n", "kinds", "first", "last")).alias("want")  # a text bounds its runs
+        F.collect_list(F.struct("hash", "context", "n", "first", "last")).alias("want")  # a text bounds its runs
     )
 
     def fetch(batches):
@@ -371,23 +432,24 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for data, want in zip(batch.column("data"), batch.column("want")):
                 data = data.as_py()
                 for w in want.as_py():
-                    rows.append((w["hash"], w["context"], w["n"], w["kinds"], data[w["first"] : w["last"] + length]))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    rows.append((w["hash"], w["context"], w["n"], data[w["first"] : w["last"] + length]))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["hash", "context", "n", "kinds", "bytes"]
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["hash", "context", "n", "bytes"]
             )
 
     on = docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.text_hash == wanted.text_hash)
     texts = docs.join(wanted, on).select(docs.data, "want")
     contexts, contexts_at = materialize(
-        texts.mapInArrow(fetch, "hash bigint, context bigint, n bigint, kinds bigint, bytes binary"), "contexts"
+        texts.mapInArrow(fetch, "hash bigint, context bigint, n bigint, bytes binary"), "fetched"
     )
     # Rows that repeat id and text fetch the same contexts again; one of each stays.
-    contexts = contexts.groupBy("hash", "context").agg(*(F.first(c).alias(c) for c in ("n", "kinds", "bytes")))
-    marks = _marks(contexts.filter(F.col("kinds") <= CROWD).select("hash", "context", "n", "bytes"), length)
-    if kinds.filter(F.col("kinds") > CROWD).limit(1).count():
-        marks = marks.unionByName(_crowd_marks(contexts.filter(F.col("kinds") > CROWD).select("hash", "context", "n", "bytes"), length))
+    contexts = contexts.groupBy("hash", "context").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"))
+    contexts, merged_at = materialize(contexts.withColumn("chain", F.array("hash")), "contexts")
+    scratch = Scratch(spark)
+    marks = _settled(contexts, length, gram, scratch)
     marks, _ = materialize(marks.filter(F.size("lows") > 0), "marks")
+    scratch.drop()
     single, _ = materialize(
         classes.join(kinds, "hash", "left_anti").filter("n > 1").select(
             "hash", "context", F.lit(None).cast("array<bigint>").alias("lows"), F.lit(None).cast("array<bigint>").alias("highs")
@@ -395,7 +457,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
         "single",
     )
     decided, _ = materialize(marks.unionByName(single), "decided")
-    remove(spark, contexts_at, classes_at, kinds_at)
+    remove(spark, contexts_at, merged_at, classes_at, kinds_at)
     shift = lambda c, by: F.transform(c, lambda x: x + by)
     spans = met.join(decided, ["hash", "context"]).select(
         "doc_id", "text_hash",
