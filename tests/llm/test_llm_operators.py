@@ -5,6 +5,8 @@ import hashlib
 import html as html_lib
 import random
 import re
+import time
+import zlib
 from collections import Counter
 
 import brute
@@ -48,6 +50,29 @@ def test_edge_rows(spark, name):
     assert OPERATORS[name](frame(spark, EDGE).limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    r = random.Random(1)
+    words = [f"w{r.randrange(40_000)}" for _ in range(250_000)]
+    item, notice = words[200_000:200_040], next(t.text for t in license_scan.TEMPLATES if t.name == "mit_grant")
+    text = " ".join(words[:100_000]) + "\n" + " ".join(words[100_000:]) + " " + notice
+    docs = frame(spark, [(1, text), (2, text[1:]), (3, "short")])
+    found = decontaminate.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.first_word, x.edits) for x in found) == [(1, 200_000, 0), (2, 200_000, 0)]
+    assert {x.doc_id: x.labels for x in license_scan.license_scan(docs).collect()} == {1: "mit", 2: "mit", 3: ""}
+    assert {x.doc_id: x.component_id for x in jaccard_classes(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {x.doc_id: x.n_removed for x in suffix_dedup.suffix_dedup(docs).collect()} == {1: len(text) - 1, 2: len(text) - 1, 3: 0}
+    assert all(x.decoded == {1: text, 2: text[1:], 3: "short"}[x.doc_id] for x in sentencepiece_codec.encode_documents(docs).collect())
+    assert {x.doc_id: x.n_words for x in quality_rules(docs).collect()} == {1: len(text.split()), 2: len(text.split()), 3: 1}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert {x.page_id: x.n_chars for x in html_extract.extract_pages(pages).collect()}[1] == len(text)
+    assert {x.page_id: x.payload_bytes for x in warc_store.warc_round_trip(pages).collect()} == {1: len(text), 2: len(text) - 1, 3: 5}
+
+
+def test_native_plans_have_no_python_and_the_rules_one_projection(spark):
+    plan = quality_rules(frame(spark, EDGE))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Arrow" not in plan and "Python" not in plan
+
+
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get(common.CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     assert common.shared_dir(spark) == named.rstrip("/")
@@ -96,7 +121,76 @@ def test_viterbi_is_the_best_labelling():
 def test_names_behind_many_utility_classes_are_seen():
     utility = " ".join(f"mt{c} px{c}" for c in "abcdefgh")
     (block,) = html_extract.blocks_of(f'<div class="{utility} {utility} sidebar"><p>Some text here.</p></div>')
-    assert {"w:sidebar", "w:px", "w:mta"} & set(html_extract.path_features(block.path)) >= {"w:sidebar", "w:mta"}
+    assert {"w:sidebar", "w:px", "w:mta"} & set(html_extract.path_features(block.node)) >= {"w:sidebar", "w:mta"}
+
+
+def test_slopes_of_the_likelihood():
+    r = np.random.default_rng(4)
+    feats, labels = [np.array(sorted(set(r.integers(0, 9, 4).tolist()))) for _ in range(6)], r.integers(0, 2, 6).tolist()
+    w, moves = r.normal(size=9), r.normal(size=(3, 2))
+    value, by_block, slope = html_extract.likelihood(feats, labels, w, moves)
+
+    def plain(w, moves):
+        def score(y):
+            return moves[2, y[0]] + sum(w[f].sum() for f, v in zip(feats, y) if v) + sum(moves[a, b] for a, b in zip(y, y[1:]))
+
+        return score(labels) - np.log(sum(np.exp(score([k >> i & 1 for i in range(6)])) for k in range(64)))
+
+    assert value == pytest.approx(plain(w, moves))
+    for x in range(9):
+        step = np.eye(9)[x] * 1e-5
+        rise = (plain(w + step, moves) - plain(w - step, moves)) / 2e-5
+        assert sum(b for f, b in zip(feats, by_block) if x in f) == pytest.approx(rise, abs=1e-6)
+    for x in range(6):
+        step = (np.eye(6)[x] * 1e-5).reshape(3, 2)
+        assert slope.ravel()[x] == pytest.approx((plain(w, moves + step) - plain(w, moves - step)) / 2e-5, abs=1e-6)
+
+
+#: Pages in layouts of other makers, with their main text; ``|`` parts its blocks.
+LAYOUTS = [
+    ("plain text no tags", "plain text no tags"),
+    ("<p>just text</p>", "just text"),
+    ("<p>Text one is here.</p><button-bar>b</button-bar><p>Text two is here.</p>", "Text one is here.|b|Text two is here."),
+    (
+        "<html><body><div id='page'><div id='masthead'><h1><a href=/>My Blog</a></h1></div><div id=content><div class='post-42 post type-post hentry'>"
+        "<h2 class=entry-title>A walk in the hills</h2><div class=entry-content><p>We left early, before the sun was up.</p><p>It rained all day long, and we came home wet.</p>"
+        "</div></div><div id=comments><ol class=commentlist><li class=comment><p>Lovely pictures, thanks for sharing them!</p></ol></div></div>"
+        "<div id=sidebar class=widget-area><ul><li><a href=a>Archives</a><li><a href=b>Categories</a></ul></div><div id=footer>Proudly powered by a press. &copy; 2019</div></div>",
+        "A walk in the hills|We left early, before the sun was up.|It rained all day long, and we came home wet.",
+    ),
+    (
+        "<body><header class='site-header'><nav><a href=/>Home</a> <a href=/n>News</a></nav></header><main role=main><article><h1>Council votes on bridge</h1>"
+        "<aside class='related-links'><ul><li><a href=1>Bridge closed again</a></li></ul></aside><p>The council voted on Monday to rebuild the old bridge.</p>"
+        "<div class='ad-slot advert'><p>Buy one, get one free!</p></div><blockquote>It was high time, said the mayor.</blockquote><p>Work begins in spring, and will last two years.</p></article></main>"
+        "<section class='newsletter signup'><form><p>Get our news by mail.</p><input><button>Go</button></form></section><footer class=site-footer><p>Terms</p></footer>",
+        "Council votes on bridge|The council voted on Monday to rebuild the old bridge.|It was high time, said the mayor.|Work begins in spring, and will last two years.",
+    ),
+    (
+        "<html><div class='cookie-banner' role=dialog>We use cookies to improve the site.<button>OK</button></div><div class=wrapper><div class='breadcrumbs'><a href=/>Docs</a> / <a href=/x>Setup</a></div>"
+        "<div class='main content'><h1>Setting up</h1><p>Unpack the archive and run the script in it.</p><pre>make all</pre><ul><li>It needs a compiler.</li><li>It needs some time.</li></ul>"
+        "<div style='display: none'>Old notes that nobody sees.</div></div></div>",
+        "Setting up|Unpack the archive and run the script in it.|make all|It needs a compiler.|It needs some time.",
+    ),
+    (
+        "<BODY><DIV CLASS=navigation><A HREF=1>One</A> <A HREF=2>Two</A></DIV><DIV CLASS='story'><H1>Fish &amp; chips</H1><P>Peel the potatoes first<BR>and cut them.<P>Fry them twice, as it is done by the sea.</DIV>"
+        "<DIV CLASS=footer>Copyright 1999</DIV></BODY>",
+        "Fish & chips|Peel the potatoes first and cut them.|Fry them twice, as it is done by the sea.",
+    ),
+]
+
+
+@pytest.mark.parametrize("page, blocks", LAYOUTS)
+def test_layouts_of_other_makers(page, blocks):
+    assert html_extract.extractor(html_extract.trained())(page) == blocks.replace("|", " ")
+
+
+@pytest.mark.parametrize(
+    "page", ['<a href="x>y ' * 80_000, "<p title='x>abc " * 70_000, "<div>x" * 170_000, "<div>" * 40_000 + "</section>x" * 40_000, "<" * 1_000_000, '<p a="' * 170_000, "<ul><li>a" * 110_000, "<object>" * 120_000],
+)
+def test_odd_megabytes_take_seconds(page):
+    began = time.time()
+    html_extract.extractor(html_extract.trained())(page)
+    assert time.time() - began < 5
 
 
 def test_extraction(spark):
@@ -191,6 +285,49 @@ def test_long_items_at_the_exact_bound(n):
         assert found[:3] == (0, 0, brute.best_edits(item, host[:30] + part + host[30:])) and found[2] <= n // 5
 
 
+def _planted(r, n, vocabulary, edits):
+    """An item, and a text that holds it with so many random edits at a random place."""
+    item = [f"w{r.randrange(vocabulary)}" for _ in range(n)]
+    part = list(item)
+    for _ in range(edits):
+        o, kind = r.randrange(len(part)), r.randrange(3)
+        part[o : o + (kind != 1)] = [f"w{r.randrange(vocabulary)}"] if kind else []
+    host = [f"w{r.randrange(vocabulary)}" for _ in range(r.randint(0, 300))]
+    o = r.randint(0, len(host))
+    return item, host[:o] + part + host[o:]
+
+
+@pytest.mark.parametrize("n", [7, 20, 48, 60, 200, 800])
+def test_recall_at_the_edit_bound(n):
+    """All edits allowed, in words that other items have too."""
+    r, spec = random.Random(n), decontaminate.Spec()
+    cases = [_planted(r, n, 3000, n // 5) for _ in range(60)]
+    index = decontaminate.Index([(i, " ".join(item)) for i, (item, _) in enumerate(cases)], spec)
+    got = {(t, k): edits for t, k, edits, _, _ in index.search([np.array([index.numbers.get(w.encode(), 0) for w in text]) for _, text in cases])}
+    assert sum((i, i) in got for i in range(60)) >= 57
+    for t, k in got if n < 100 else []:
+        assert got[t, k] <= n // 5 and got[t, k] == brute.best_edits(cases[k][0], cases[t][1])
+
+
+def test_matches_without_edits_are_always_found():
+    for n in (1, 2, 5, 16, 31, 59, 130):
+        r = random.Random(n)
+        cases = [_planted(r, n, 400, 0) for _ in range(80)]
+        index = decontaminate.Index([(i, " ".join(item)) for i, (item, _) in enumerate(cases)], decontaminate.Spec())
+        got = {(t, k): e for t, k, e, _, _ in index.search([np.array([index.numbers.get(w.encode(), 0) for w in text]) for _, text in cases])}
+        assert all(got[i, i] == 0 for i in range(80))
+
+
+def test_keys_reject_most_windows():
+    r = random.Random(3)
+    items = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(40))) for i in range(50)]
+    index = decontaminate.Index(items, decontaminate.Spec())
+    index.least[:] = 0  # every window is embedded
+    ids = np.array([index.numbers.get(f"w{r.randrange(300)}".encode(), 0) for _ in range(20_000)] + [0] * 2 * decontaminate.PIECE)
+    ((_, starts, hits, _),) = index.windows(ids)
+    assert len(starts) == 20_000 and len(set(hits.tolist())) < 1_000
+
+
 def test_short_items_and_scripts_without_spaces(spark):
     items = [(1, "Blue Whale"), (2, "vier"), (3, "one, two three four"), (4, "日本の首都はどこですか。"), (5, "ไทย"), (6, " ,. ")]
     rows = [
@@ -230,6 +367,42 @@ def test_training_uses_whole_texts():
     assert quality_classifier.bucket("farend", 0, p) in buckets and abs(shares.sum() - 1) < 1e-9
 
 
+def test_training_follows_the_slope_of_the_loss():
+    """Stochastic gradient descent said plainly: slopes by small differences of the weighted log loss."""
+    p = quality_classifier.Params(buckets=8, dim=2, epochs=2, rate=0.3)
+    r = np.random.default_rng(2)
+    rows = [(int(i % 3 > 0), f := np.unique(r.integers(0, 8, 3)), np.full(len(f), 1 / len(f))) for i in range(6)]
+    rng = np.random.default_rng(p.seed)
+    vectors, out, offset = rng.uniform(-1 / p.dim, 1 / p.dim, (8, 2)), np.zeros((2, 2)), np.zeros(2)
+    weight = {c: 6 / (2 * sum(y == c for y, _, _ in rows)) for c in (0, 1)}
+
+    def loss(flat, row):
+        v, o, b = flat[:16].reshape(8, 2), flat[16:20].reshape(2, 2), flat[20:]
+        z = o @ (row[2] @ v[row[1]]) + b
+        return weight[row[0]] * (np.log(np.exp(z).sum()) - z[row[0]])
+
+    flat, speed = np.concatenate([vectors.ravel(), out.ravel(), offset]), np.array([20.0] * 16 + [1.0] * 4 + [0.1] * 2)
+    for step, i in enumerate([i for _ in range(2) for i in rng.permutation(6)]):
+        slope = np.array([(loss(flat + d, rows[i]) - loss(flat - d, rows[i])) / 2e-6 for d in np.eye(22) * 1e-6])
+        flat = flat - p.rate * (1 - step / 12) * speed * slope
+    model = quality_classifier.train(rows, p)
+    assert model.weights == pytest.approx(flat[:16].reshape(8, 2) @ (flat[18:20] - flat[16:18]), abs=1e-5)
+    assert model.bias == pytest.approx(flat[21] - flat[20], abs=1e-6)
+
+
+def test_rows_that_share_a_labelled_id_are_one_row(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in (0, 1, 3, 4)] * 3, "doc_id long, quality int")
+    docs = frame(spark, [(0, "bad junk")] + [(1, f"fine words {i}") for i in range(300)] + [(3, "good"), (4, "poor")])
+    learned = []
+    held, quality_classifier.train = quality_classifier.train, lambda rows, p: learned.extend(rows) or quality_classifier.Model(np.zeros(p.buckets), 0.0, 0.5)
+    try:
+        quality_classifier.fit(docs, labels)
+    finally:
+        quality_classifier.train = held
+    want = [i for i in (0, 1, 3, 4) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(learned) == len(want)
+
+
 def test_scorer_equals_the_averaged_vectors():
     p = quality_classifier.Params(buckets=1 << 10)
     w = np.random.default_rng(0).normal(size=p.buckets)
@@ -256,9 +429,10 @@ def plain_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [20_000, 1])
-def test_suffix_dedup(spark, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+@pytest.mark.parametrize("crowd, levels, piece, run", [(1_000, 6, 1 << 21, 512), (1, 6, 1 << 21, 512), (1, 1, 1 << 21, 512), (2, 3, 64, 8), (1, 2, 50, 512)])
+def test_suffix_dedup(spark, monkeypatch, crowd, levels, piece, run):
+    for name, value in (("CROWD", crowd), ("LEVELS", levels), ("PIECE", piece), ("RUN", run)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     r = random.Random(crowd)
     text = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
     passage, texts = text(90), []
@@ -272,6 +446,11 @@ def test_suffix_dedup(spark, monkeypatch, crowd):
         if i % 7 == 0 and texts:
             t = texts[-1]
         texts.append(t)
+    for _ in range(30):  # near copies, as they crowd
+        t = list(passage * 2)
+        for _ in range(r.randint(0, 3)):
+            t[r.randrange(len(t))] = r.choice("abc")
+        texts.append("".join(t))
     texts += [None, "", "same text in two rows " * 4, "same text in two rows " * 4]
     rows = [(i, t) for i, t in enumerate(texts)]
     got = suffix_dedup.suffix_dedup(frame(spark, rows), length=40, gram=16).orderBy("doc_id").collect()
@@ -279,6 +458,23 @@ def test_suffix_dedup(spark, monkeypatch, crowd):
     assert all(hashlib.sha256(bytes(x.kept)).hexdigest() == x.kept_sha256 for x in got)
 
 
+def test_runs_cover_all_strings_whatever_the_pieces():
+    """Cut into pieces and runs of any size, every string start is in one run, under the smallest hash of its grams."""
+    r = random.Random(12)
+    held = suffix_dedup.PIECE, suffix_dedup.RUN
+    try:
+        for _ in range(40):
+            data = bytes(r.choice(b"abcd") for _ in range(r.randint(0, 700)))
+            suffix_dedup.PIECE, suffix_dedup.RUN = r.choice([60, 100, 1 << 20]), r.choice([1, 5, 512])
+            hashes, first, last, _ = suffix_dedup.runs_of(data, 40, 16)
+            starts = sorted((p, h) for h, a, b in zip(hashes.tolist(), first.tolist(), last.tolist()) for p in range(a, b + 1))
+            each = suffix_dedup.gram_hashes(np.frombuffer(data, np.uint8), 16) if len(data) >= 16 else []
+            assert starts == [(p, int(min(each[p : p + 25]))) for p in range(len(data) - 39)]
+            assert all(b - a < suffix_dedup.RUN for a, b in zip(first, last))
+    finally:
+        suffix_dedup.PIECE, suffix_dedup.RUN = held
+
+
 def test_suffix_array():
     r = random.Random(3)
     for _ in range(100):
@@ -315,14 +511,15 @@ def test_codec_streams_across_chunks():
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("min_near", [20, 0])
+def test_line_dedup(spark, min_near):
     r = random.Random(5)
 
     def changed(s):
-        i, c, k = r.randrange(len(s)), r.choice("abcé "), r.random()
+        i, c, k = r.randrange(len(s)) if s else 0, r.choice("abcé "), r.random()
         return s[:i] + c + s[i + 1 :] if k < 0.34 else s[:i] + s[i + 1 :] if k < 0.67 else s[:i] + c + s[i:]
 
-    base = ["".join(r.choice("abcdefgh é") for _ in range(n)) for n in (3, 19, 20, 21, 22, 30, 31, 32, 33, 47, 48, 49, 64, 65, 200, 333, 9000) * 2]
+    base = ["".join(r.choice("abcdefgh é") for _ in range(n)) for n in (1, 2, 3, 7, 15, 16, 17, 19, 20, 21, 22, 30, 31, 32, 33, 47, 48, 49, 64, 65, 200, 333, 9000) * 2]
     rows = []
     for i in range(120):
         lines = []
@@ -333,8 +530,8 @@ def test_line_dedup(spark):
             lines.append(line)
         rows.append((i, "\n".join(lines)))
     rows += [(None, base[0]), (500, ""), (501, "\n\n"), (502, None)]
-    got = {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in line_dedup(frame(spark, rows)).collect()}
-    assert got == brute.line_dedup(rows)
+    got = {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in line_dedup(frame(spark, rows), min_near=min_near).collect()}
+    assert got == brute.line_dedup(rows, min_near)
     assert dedup_documents(frame(spark, rows)).columns[:7] == frame(spark, rows).columns
 
 
@@ -404,6 +601,40 @@ def test_license_scan(spark):
     assert by[2].labels == by[3].labels == "mit" and by[2].score == 1 and by[8].labels == "cc-by-nc" and by[5].labels == ""
 
 
+def _covered(words, template):
+    """Brute force: the most template words in runs of LONG or more that stand in the text in order, with few words between."""
+    k, best = license_scan.LONG, {}
+    spots = [(p, a) for p in range(len(words) - k + 1) for a in range(len(template) - k + 1) if words[p : p + k] == template[a : a + k]]
+    for p, a in sorted(spots):
+        best[p, a] = max(
+            [k] + [best[q, b] + min(k, a - b) for q, b in best if b < a and q < p and ((p - q == a - b and a - b < k) or (q + k <= p <= q + k + license_scan.GAP and b + k <= a))]
+        )
+    return max(best.values(), default=0) / len(template)
+
+
+def test_notices_with_insertions(spark):
+    texts = {t.name: t.text for t in license_scan.TEMPLATES}
+    r = random.Random(8)
+    noise = lambda n: [f"n{r.randrange(50)}" for _ in range(n)]
+    mit = texts["mit_grant"].split()
+    rows = [(1, " ".join(mit[:30] + noise(25) + mit[30:])), (2, " ".join(noise(90) + mit[:30] + noise(200) + mit[30:])), (3, texts["agpl_grant"]), (4, texts["lgpl_grant"]), (5, texts["gpl_grant"]), (6, " ".join(mit * 4)), (7, texts["boost"])]
+    for i in range(8, 60):
+        t = r.choice(license_scan.TEMPLATES).text.split()
+        for _ in range(r.randint(0, 4)):
+            o = r.randrange(len(t))
+            t[o : o + r.randint(0, 3)] = noise(r.choice([0, 1, 8]))
+            t = t or ["x"]
+        rows.append((i, " ".join(noise(r.randint(0, 9)) + t + noise(r.randint(0, 9)))))
+    got = {x.doc_id: x for x in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert [got[i].labels for i in range(1, 8)] == ["mit", "", "agpl,gpl", "gpl,lgpl", "gpl", "mit", "boost"]
+    assert [(s.first, s.last) for s in got[6].spans if s.template == "mit_grant"] == [(i * len(brute.words(texts["mit_grant"])), (i + 1) * len(brute.words(texts["mit_grant"])) - 1) for i in range(4)]
+    for i, t in rows:
+        words = [w.decode() for w in license_scan.text_words(t)]
+        want = {x.name for x in license_scan.TEMPLATES if not x.base and not x.must and _covered(words, x.words) >= license_scan.SHARE}
+        plain = {x.name for x in license_scan.TEMPLATES if not x.must}
+        assert {s.template for s in got[i].spans} & plain == want
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, digest string"
@@ -424,6 +655,21 @@ def test_warc_round_trip(spark):
     assert warc_store.warc_round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_record_ids_are_unique_and_files_open(spark, tmp_path):
+    rows = [(1, "a", "same", "d")] * 3 + [(2, "b", "same", "d"), (None, "n", "x", "d"), (None, "m", "x", "d")]
+    bundles = warc_store.write_bundles(spark.createDataFrame(rows, PAGES), str(tmp_path / "w"))
+    seen, records = set(), []
+    for file in warc_store.export_files(bundles, str(tmp_path / "files")).collect():
+        with open(file.file, "rb") as f:
+            plain, at = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read(), 0
+        while at < len(plain):
+            record, at = warc_store.parse_record(plain, at)
+            seen.add(record["record_id"])
+            records.append((record["page_id"], record["record_type"], record["refers_to"]))
+    assert len(seen) == len(rows) and all(re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", x) for x in seen)
+    assert sorted(records, key=repr) == sorted([(1, "revisit", 2)] * 3 + [(2, "response", None)] + [(None, "response", None)] * 2, key=repr)
+
+
 def test_bundles_are_seekable(spark, tmp_path):
     rows = [(i, f"u{i}", f"{i} " * 9000, "d") for i in range(60)]
     bundles = warc_store.write_bundles(spark.createDataFrame(rows, PAGES).repartition(2), str(tmp_path / "w"))
