@@ -19,7 +19,7 @@ from arbora.functions import text_date
 from arbora.operators import graph, ledger, select, stats, validate
 from arbora.schema import EVIDENCE, EXCLUDED_RULE, PANEL, SOURCE_AOC, SOURCE_PDF, TIERS
 from arbora.streaming import windows
-from arbora.tables import materialize, new_path
+from arbora.tables import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -732,7 +732,7 @@ def leave_one_parent_out_median(spark, sf_dir):
     """A statistic that does not add up; medians without gathering the values of a group."""
     c = customers_by_region(spark, sf_dir)
     n = stats.leave_one_out_any(c, "r_name", lambda g: g.agg(F.count(F.lit(1)).alias("n")))
-    rest, _ = materialize(stats.left_out(c.select("r_name", "c_acctbal"), "r_name").select("dropped", "c_acctbal"), "left-out")
+    rest = stats.left_out(c.select("r_name", "c_acctbal"), "r_name").select("dropped", "c_acctbal")
     med = stats.quantiles(rest, "c_acctbal", [0.5], ["dropped"]).select("dropped", F.col("quantile").alias("med"))
     return n.join(med, "dropped")
 
