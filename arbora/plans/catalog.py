@@ -8,6 +8,7 @@ is arithmetic: supplier ``k`` hangs below supplier ``k div 3``.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -898,6 +899,15 @@ def panel_csv_scan(spark, sf_dir):
     return back.groupBy("target_id", "fiscal_year").agg(F.count(F.lit(1)).alias("n"), F.sum("total_assets").alias("total_assets"))
 
 
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def stata_scan(spark, sf_dir):
+    """A Stata file, made of the nations (a fixed small table) in a shared folder that is mounted, and read back."""
+    path = new_path(spark, "stata").removeprefix("file:")
+    os.makedirs(path, exist_ok=True)
+    read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").toPandas().to_stata(f"{path}/nation.dta", write_index=False)
+    return sources.read_stata(spark, f"{path}/nation.dta")
+
+
 @query("SELECT n_nationkey::VARCHAR AS uin, n_name AS claimants FROM nation")
 def mapping_scan(spark, sf_dir):
     """S3: a mapping file as strings."""
