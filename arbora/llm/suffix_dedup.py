@@ -33,7 +33,7 @@ from arbora.tables import Scratch
 
 LENGTH, GRAM = 200, 64
 #: Bytes of one piece of a long text, strings of one run, bytes of one suffix array.
-PIECE, RUN, TEXT = 1 << 21, 512, 2 << 20
+PIECE, RUN, TEXT = 1 << 20, 512, 1 << 19
 #: A hash with more classes is split by the next smallest hashes of its strings, so many times at most.
 CROWD, LEVELS = 1_000, 6
 SEPARATOR = 0xFF  # no byte of UTF-8
