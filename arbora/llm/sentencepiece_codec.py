@@ -18,18 +18,21 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Entries of the chunk cache, and the longest chunk kept there.
-CACHE, LONG_CHUNK = 600_000, 48
+#: Entries of the chunk cache and of the pair cache, and the longest chunk kept. An idle Python worker keeps its caches.
+CACHE, PAIRS, LONG_CHUNK = 400_000, 600_000, 48
+#: Texts that a worker holds encoded at once.
+SLICE = 200
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -63,13 +66,13 @@ def _fields(data: bytes):
 
 
 class _Chunks(dict):
-    """Ids by chunk, made when they are missing; emptied when it is full."""
+    """Ids by chunk, as the bytes of 32-bit numbers; made when they are missing, emptied when it is full."""
 
     def __init__(self, codec):
         self.codec = codec
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
-        got = self.codec.chunk(text)
+    def __missing__(self, text: str) -> bytes:
+        got = array("i", self.codec.chunk(text)).tobytes()
         if len(text) <= LONG_CHUNK:
             if len(self) >= CACHE:
                 self.clear()
@@ -144,7 +147,7 @@ class Codec:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether the model leaves ``left`` and ``right`` side by side."""
-        if len(self.fit) > 4 * CACHE:
+        if len(self.fit) >= PAIRS:
             self.fit.clear()
         got = self.fit[left, right] = self.merge(left + right) == [left, right]
         return got
@@ -213,11 +216,15 @@ class Codec:
     def chunk(self, text: str) -> tuple[int, ...]:
         return tuple(i for p in self.stream(text) for i in self.numbers(p))
 
-    def encode(self, text: str | None) -> list[int]:
+    def encoded(self, text: str | None) -> bytes:
+        """The ids as 32-bit numbers."""
         if not text:
-            return []
+            return b""
         marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        return list(chain.from_iterable(map(self.cache.__getitem__, self.chunks(marked))))
+        return b"".join(map(self.cache.__getitem__, self.chunks(marked)))
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
 
     def decode(self, ids) -> str:
         """The text of ``ids``; bytes that are no valid UTF-8 become U+FFFD."""
@@ -244,17 +251,20 @@ def encode_documents(
 
     def run(batches):
         codec = codec_of(shared.value)
-        for batch in batches:
-            ids = [codec.encode(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(map(len, ids), pa.int64()),
-                    pa.array(ids, pa.list_(pa.int32())),
-                    pa.array(map(codec.decode, ids), pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                held = [codec.encoded(t.as_py()) for t in batch.column(1)]
+                ends = np.cumsum([0, *(len(x) // 4 for x in held)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array(np.diff(ends), pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(held), np.int32))),
+                        pa.array((codec.decode(np.frombuffer(x, np.int32).tolist()) for x in held), pa.string()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids", "decoded"],
+                )
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, decoded string")
