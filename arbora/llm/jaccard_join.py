@@ -109,7 +109,7 @@ def _lists(arrays: list[np.ndarray], dtype) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(dtype, copy=False)))
 
 
-def set_table(docs: DataFrame, spec: Spec) -> DataFrame:
+def set_table(docs: DataFrame, spec: Spec, id_type: str = "bigint") -> DataFrame:
     """``node, doc_id, n, set_hash, tokens, b0..b7``: a row's number, and its set's size, 128-bit hash, sorted tokens as
     :func:`packed`, and bitmap. Texts are cut up once."""
 
@@ -130,7 +130,7 @@ def set_table(docs: DataFrame, spec: Spec) -> DataFrame:
                     names=["doc_id", "n", "set_hash", "tokens", *BITS],
                 )
 
-    schema = "doc_id bigint, n int, set_hash string, tokens binary, " + ", ".join(f"{b} bigint" for b in BITS)
+    schema = f"doc_id {id_type}, n int, set_hash string, tokens binary, " + ", ".join(f"{b} bigint" for b in BITS)
     return docs.mapInArrow(run, schema).withColumn("node", F.monotonically_increasing_id())
 
 
@@ -301,16 +301,17 @@ def verified(pairs: DataFrame, sets: DataFrame, orders: DataFrame, spec: Spec) -
 
 
 def jaccard_classes(
-    docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", text_col: str = "text", every_link: bool = False
+    docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_id", text_col: str = "text", every_link: bool = False, id_type: str = "bigint"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every document, and ``n_links`` with ``every_link``.
 
     ``component_id`` is the smallest id that links reach; ``n_links`` counts all classes that the document's class is
-    linked with, its exact copies excluded. For that, pairs inside components are formed and verified too.
+    linked with, its exact copies excluded. For that, pairs inside components are formed and verified too. Ids are read
+    as ``id_type``, which may be a string.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
-    full, full_at = materialize(set_table(docs, spec), "sets")
+    full, full_at = materialize(set_table(docs, spec, id_type), "sets")
     rows, _ = materialize(full.select("doc_id", "n", "set_hash"), "rows")
     # Of the rows with one set, one of the smallest id stands for all.
     named = full.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(

@@ -45,7 +45,7 @@ class Params:
     light_most: int = 64
     #: Sources of a block and terms of a tile.
     block: int = 128
-    tile: int = 512
+    tile: int = 128
     #: Entries that a task counts before it gives them on, and groups up to which their figures are broadcast.
     held: int = 300_000
     small: int = 100_000

@@ -464,9 +464,10 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
         F.coalesce(shift(F.col("lows"), F.col("first")), F.array("first")).alias("lows"),
         F.coalesce(shift(F.col("highs"), F.col("first")), F.array("last")).alias("highs"),
     )
-    gathered = spans.groupBy("doc_id", "text_hash").agg(
-        F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs")
-    )
+    # Rows that repeat id and text, or have no id, give the same spans again: sets keep one of each, in every task first.
+    found = F.collect_set(F.struct("lows", "highs")).alias("found")
+    gathered = spans.groupBy("doc_id", "text_hash").agg(found)
+    gathered = gathered.select("doc_id", "text_hash", F.flatten("found.lows").alias("lows"), F.flatten("found.highs").alias("highs"))
     return materialize(gathered, "spans")[0]
 
 

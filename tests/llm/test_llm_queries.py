@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arbora.llm import oracle, queries
@@ -48,6 +49,16 @@ def test_rows_that_share_an_id_stay_unless_copied(spark):
     assert sorted(((r.doc_id, r.text[:2]) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_of_one_short_hash_are_told_apart(spark, monkeypatch, seed):
+    """With either half of all keys alike, no row goes that is no copy."""
+    plain = corpus_pipeline.half_key
+    monkeypatch.setattr(corpus_pipeline, "half_key", lambda s, *c: plain(s, *c) if s != seed else F.lit("0" * 16))
+    rows = [(i, " ".join(f"{c}{k}" for k in range(30)), "en", "s", 1) for i, c in enumerate("abcab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()) == [0, 1, 2]
+
+
 CLASHES = ["_hash", "_doc", "_gone", "_rank", "_n_lines", "_n_removed", "_key", "Key", "one", "row", "node", "component_id", "n_shingles", "words", "lines", "kept"]
 
 
