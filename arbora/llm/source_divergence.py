@@ -118,13 +118,21 @@ def dense_sums(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def dense_tile(rows: pd.DataFrame) -> pd.DataFrame:
-    """Two blocks of sources by some heavy terms. A row without a term tells a source of the block and its base share."""
+    """Two blocks of sources by some heavy terms. A row without a term tells a source of the block, its base share, and the
+    number of the tile's terms, of which some may be in neither block."""
     marks, cells = rows[rows.term.isna()], rows[rows.term.notna()]
     place = {s: i for i, s in enumerate(marks.source)}
     term, names = pd.factorize(cells.term)
     shares = np.repeat(marks.p0.to_numpy(np.int64)[:, None], len(names), axis=1)
     shares[cells.source.map(place).to_numpy(np.int64), term] = cells.p.to_numpy(np.int64)
-    return _paired(rows, marks, lambda a, b: dense_sums(shares[a], shares[b]))
+    base, absent = marks.p0.to_numpy(np.int64)[:, None], int(marks.m.iloc[0]) - len(names)
+
+    def sums(a, b):
+        there, back = dense_sums(shares[a], shares[b])
+        plain_there, plain_back = dense_sums(base[a], base[b])
+        return there + absent * plain_there, back + absent * plain_back
+
+    return _paired(rows, marks, sums)
 
 
 def base_tile(rows: pd.DataFrame) -> pd.DataFrame:
@@ -243,9 +251,14 @@ def source_divergence(docs: DataFrame, p: Params = Params()) -> DataFrame:
     sources = F.col("sources")
     light = F.least(F.greatest(F.floor(sources / 4), F.lit(p.light_least)), F.lit(p.light_most))
     by_lang = by_lang.withColumns({"light": light, "blocks": F.ceil(sources / p.block)})
-    bounds = by_lang.select("lang", "light")
-    heavy = kept.filter("first").join(F.broadcast(bounds) if bounds.count() <= p.small else bounds, "lang").filter("k > light").groupBy("lang").agg(F.count(F.lit(1)).alias("heavy"))
-    by_lang = by_lang.join(heavy, "lang", "left").na.fill(0, ["heavy"]).withColumn("tiles", F.ceil(F.col("heavy") / p.tile))
+    near = lambda df, other: df.join(F.broadcast(other) if other.count() <= p.small else other, "lang")
+    heavy = near(kept.filter("first").select("lang", "term", "k"), by_lang.select("lang", "light")).filter("k > light").select("lang", "term")
+    heavy = scratch.table(heavy, "heavy")
+    many = heavy.groupBy("lang").agg(F.count(F.lit(1)).alias("heavy"))
+    by_lang = by_lang.join(many, "lang", "left").na.fill(0, ["heavy"]).withColumn("tiles", F.ceil(F.col("heavy") / p.tile))
+    by_lang = scratch.table(by_lang, "langs")
+    tile_of = F.pmod(F.xxhash64("term"), F.col("tiles")).alias("tile")
+    held = near(heavy, by_lang.select("lang", "tiles")).groupBy("lang", tile_of).agg(F.count(F.lit(1)).alias("m"))
     groups = groups.drop("firsts").join(by_lang, "lang")
     groups = groups.withColumns(
         {
@@ -266,12 +279,11 @@ def source_divergence(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # Heavy terms: tiles of terms by blocks of sources. Light ones: a base tile (-1) by blocks, and postings.
     columns = "lang", "tile", "source", "block", "blocks", "p0", "term", "p", "m"
     none = lambda kind: F.lit(None).cast(kind)
-    tile_of = F.pmod(F.xxhash64("term"), F.col("tiles"))
     cells = shared.filter("k > light").select(
-        "lang", tile_of.alias("tile"), "source", "block", "blocks", "p0", "term", "p", F.lit(1).cast("bigint").alias("m")
+        "lang", tile_of, "source", "block", "blocks", "p0", "term", "p", F.lit(1).cast("bigint").alias("m")
     )
     every = F.when(F.col("tiles") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))
-    marks = groups.withColumn("tile", F.explode(every)).withColumns({"term": none("string"), "p": none("bigint"), "m": none("bigint")})
+    marks = groups.withColumn("tile", F.explode(every)).join(held, ["lang", "tile"]).withColumns({"term": none("string"), "p": none("bigint")})
     base = groups.withColumns(
         {"tile": F.lit(-1).cast("bigint"), "term": none("string"), "p": none("bigint"), "m": F.col("terms") - F.col("heavy")}
     )

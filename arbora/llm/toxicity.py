@@ -20,7 +20,6 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,9 @@ from arbora.llm.common import Scratch
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
-    "*": "abcdefghijklmnopqrstuvwxyz",
 }
+#: Stands for any letter, between two letters.
+MASK, ANY = "*", "abcdefghijklmnopqrstuvwxyz"
 #: Symbols of the character model: the edge of a word, any digit, any other letter, and letters of their own.
 EDGE, DIGIT, OTHER = 0, 1, 2
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, (0xDF, *range(0xE0, 0xF7), *range(0xF8, 0x100))))
@@ -43,6 +43,10 @@ SIZE = 3 + len(LETTERS)
 WORD = re.compile(r"[^\W_]+")
 #: Two equal characters in a row, in a token of letters.
 TWICE = re.compile(r"(.)\1")
+#: Three or more single characters in a row: spaces may stand between the letters of a word.
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+#: Signs that are only ever an edge at the end of a token, which needs none.
+EDGES = ".,;:?-_'\"#%&)[]{}/\\=~^`>" + MASK
 
 
 @dataclass(frozen=True)
@@ -78,6 +82,19 @@ def symbol(c: str) -> int:
 # The character model -----------------------------------------------------------------------------------------------
 
 
+def word_trigrams(words: list[str], counts: np.ndarray) -> np.ndarray:
+    """Counts of all symbol trigrams of the words, which have two edges before them and one behind."""
+    points = np.frombuffer("".join(f"\0\0{w}\0" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    found, spot = np.unique(points, return_inverse=True)
+    symbols = np.array([symbol(chr(c)) for c in found.tolist()], np.int64)[spot]
+    code = (symbols[:-2] * SIZE + symbols[1:-1]) * SIZE + symbols[2:]
+    weight = np.repeat(counts, np.fromiter(map(len, words), np.int64, len(words)) + 3)
+    # A trigram belongs to the word of its last symbol, and must not begin in the word before: that one ends in an edge.
+    starts = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 3)[:-1]
+    weight[starts] = weight[starts + 1] = 0
+    return np.bincount(code, weights=weight[2:], minlength=SIZE**3).astype(np.int64)
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """``gram, n``: symbol trigrams of all words of all texts, added up in every task; at most ``SIZE ** 3`` rows."""
 
@@ -87,12 +104,8 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
             words: Counter[str] = Counter()
             for text in batch.column("text"):
                 words.update(WORD.findall((text.as_py() or "").lower()))
-            for word, n in words.items():
-                a = b = EDGE
-                for c in map(symbol, word):
-                    total[(a * SIZE + b) * SIZE + c] += n
-                    a, b = b, c
-                total[(a * SIZE + b) * SIZE + EDGE] += n
+            if words:
+                total += word_trigrams(list(words), np.fromiter(words.values(), np.int64, len(words)))
         gram = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(total[gram])], names=["gram", "n"])
 
@@ -124,34 +137,53 @@ class Decoder:
 
     def readings(self, c: str) -> list[tuple[int, str, float]]:
         """What a character may stand for: ``(symbol, text, cost)``; no text is a sign left out."""
-        if c not in self.edges:
+        found = self.edges.get(c)
+        if found is None:
             own = symbol(c)
-            out = [(EDGE, " ", 0.0), (EDGE, "", self.p.skip)] if own == EDGE else [(own, c, 0.0)]
-            sign = self.p.any_letter if c == "*" else self.p.leet
-            self.edges[c] = out + [(SYMBOL[x], x, sign) for x in LEET.get(c, "")]
-        return self.edges[c]
+            found = [(EDGE, " ", 0.0), (EDGE, "", self.p.skip)] if own == EDGE else [(own, c, 0.0)]
+            found += [(SYMBOL[x], x, self.p.leet) for x in LEET.get(c, "")]
+            self.edges[c] = found
+        return found
 
     def viterbi(self, span: str) -> str:
-        """The likeliest reading of a span. A state is the last two symbols; a path is a chain of what it wrote."""
+        """The likeliest reading of a span. A state is the last two symbols; a path is a chain of what it wrote.
+
+        While a single state survives and a letter leaves no choice, no costs are compared: that stretch is committed.
+        """
         p, cost = self.p, self.cost
+        masked = self.readings(MASK) + [(SYMBOL[x], x, p.any_letter) for x in ANY]
         states = {(EDGE, EDGE): (0.0, None, "")}
         for i, c in enumerate(span):
-            long_run = span[i - 2 : i] == c + c or span[i + 1 : i + 3] == c + c or (i > 0 and span[i - 1] == c == span[i + 1 : i + 2])
-            again, after = (p.repeat if long_run else p.double), {}
+            options = self.readings(c)
+            if len(options) == 1 and len(states) == 1:
+                (((a, b), (spent, path, last)),) = states.items()
+                if c != last:
+                    s = options[0][0]
+                    states = {(b, s): (spent + cost[a * SIZE + b][s], (path, c), c)}
+                    continue
+            if c == MASK and span[i - 1 : i].isalpha() and span[i + 1 : i + 2].isalpha():
+                options = masked
+            run = span[max(0, i - 2) : i + 3]
+            again = p.repeat if c * 3 in run else p.double
+            after = {}
             for (a, b), (spent, path, last) in states.items():
                 row = cost[a * SIZE + b]
-                for s, text, extra in self.readings(c):
-                    if not text or (s == EDGE and b == EDGE):  # left out, or one more sign at an edge
-                        options = (((a, b), spent + (extra if text else p.skip * (b != EDGE)), path, last),)
-                    elif s == EDGE:
-                        options = (((EDGE, EDGE), spent + row[EDGE], (path, " "), " "),)
+                for s, text, extra in options:
+                    if s == EDGE:
+                        if b == EDGE:  # one more sign at an edge
+                            state, value, way, end = (a, b), spent, path, last
+                        elif text:
+                            state, value, way, end = (EDGE, EDGE), spent + row[EDGE], (path, " "), " "
+                        else:
+                            state, value, way, end = (a, b), spent + extra, path, last
                     else:
-                        options = (((b, s), spent + extra + row[s], (path, text), text),)
                         if text == last:
-                            options += (((a, b), spent + extra + again, path, last),)
-                    for state, value, way, end in options:
-                        if state not in after or value < after[state][0]:
-                            after[state] = value, way, end
+                            state, value = (a, b), spent + extra + again
+                            if state not in after or value < after[state][0]:
+                                after[state] = value, path, last
+                        state, value, way, end = (b, s), spent + extra + row[s], (path, text), text
+                    if state not in after or value < after[state][0]:
+                        after[state] = value, way, end
             states = after
         ends = ((spent + (0.0 if b == EDGE else cost[a * SIZE + b][EDGE]), path) for (a, b), (spent, path, _) in states.items())
         _, path = min(ends, key=lambda e: e[0])
@@ -173,20 +205,19 @@ class Decoder:
         return found
 
     def restore(self, text: str) -> set[str]:
-        """The distinct restored words of a text.
-
-        Three or more single characters in a row are one span, as spaces may stand between the letters of a word. Stops
-        at a token's end can only be its edge.
-        """
-        out: set[str] = set()
-        for single, run in groupby(text.lower().split(), key=lambda t: len(t) == 1):
-            run = list(run)
-            for token in [" ".join(run)] if single and len(run) > 2 else run:
-                token = token.rstrip(".,;:")
-                if token.isalpha() and not TWICE.search(token):
-                    out.add(token)
-                elif token:
-                    out.update(self.words(token))
+        """The distinct restored words of a text: of its distinct tokens, and of single characters in a row."""
+        text, out = text.lower(), set()
+        for span in SPACED.findall(text):
+            out.update(self.words(" ".join(span.split())))
+        for token in set(SPACED.sub(" ", text).split()):
+            if token.isalpha() and not TWICE.search(token):
+                out.add(token)
+                continue
+            token = token.strip(EDGES)
+            if token.isalpha() and not TWICE.search(token):
+                out.add(token)
+            elif token:
+                out.update(self.words(token))
         return out
 
 
