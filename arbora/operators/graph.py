@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.operators.keys import beside
 from arbora.tables import materialize, remove
 
 
@@ -69,10 +70,6 @@ def paths(edge: DataFrame, roots: DataFrame, max_depth: int = 30, label: str | N
     return reduce(DataFrame.unionByName, done)
 
 
-#: The form by joins is the one form.
-paths_by_joins = paths
-
-
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of ``edges(u, v)``: rows ``(node, comp)`` with the smallest node of each component.
 
@@ -124,13 +121,16 @@ def page_rank(edge: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     out, _ = materialize(edge.join(branching(edge).withColumnRenamed("n_children", "n"), "parent").select("parent", "child", "n"), "out")
     count = nodes.count()
     base = (1 - damping) / max(1, count)
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, count)))
+    ranks, path = nodes.withColumn("rank", F.lit(1.0 / max(1, count))), None
     for _ in range(rounds):
         sent = out.join(ranks, F.col("parent") == F.col("node")).groupBy("child").agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        ranks, _ = materialize(
+        ranks, new = materialize(
             nodes.join(sent, F.col("node") == F.col("child"), "left").select("node", (F.coalesce("got", F.lit(0.0)) * damping + base).alias("rank")),
             "ranks",
         )
+        if path:
+            remove(edge.sparkSession, path)  # the next round reads the new one
+        path = new
     return ranks
 
 
@@ -181,12 +181,12 @@ def path_product(labels: str) -> Column:
 
 
 def complexity(path: DataFrame, group: str, country: str) -> DataFrame:
-    """Depth, branching and country entropy by group, and their sum as an index; the parts are published too."""
+    """Depth, branching and country entropy by group, null groups too, and their sum as an index; the parts are published too."""
     nodes = path.groupBy(group).agg(F.max("depth").alias("max_depth"), F.count(F.lit(1)).alias("n_nodes"))
     share = path.groupBy(group, country).agg(F.count(F.lit(1)).alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(group))
     spread = share.withColumn("p", p).groupBy(group).agg((-F.sum(F.col("p") * F.ln("p"))).alias("country_entropy"))
-    return nodes.join(spread, group).withColumn(
+    return beside(nodes, spread, [group], few=False).withColumn(
         "complexity", F.col("max_depth") + F.ln("n_nodes") + F.col("country_entropy")
     )
 

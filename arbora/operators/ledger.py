@@ -7,8 +7,10 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from arbora.schema import VERDICTS
+from arbora.tables import materialize, remove
 
 FINDING_ID = r"^[CX]-F[0-9]{3,}$"
 
@@ -49,16 +51,44 @@ class Finding:
             raise ValueError(f"not a finding id: {self.finding_id}")
 
 
+SCHEMA = (
+    "finding_id string, result string, statistic string, denominator string, interest string, robustness string, "
+    "mundane string, data_quality string, falsification string, score int, version int, provenance struct<unit:string,"
+    "numerator:string,denominator:string,filters:string,missing:string,duplicates:string,counting:string,"
+    "weighting:string,code:string,robustness:string>"
+)
+
+
 def record(spark: SparkSession, findings: list[Finding], path: str) -> None:
     """Append findings to the ledger table."""
-    rows = [asdict(f) for f in findings]
-    schema = (
-        "finding_id string, result string, statistic string, denominator string, interest string, robustness string, "
-        "mundane string, data_quality string, falsification string, score int, version int, provenance struct<unit:string,"
-        "numerator:string,denominator:string,filters:string,missing:string,duplicates:string,counting:string,"
-        "weighting:string,code:string,robustness:string>"
-    )
-    spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+    spark.createDataFrame([asdict(f) for f in findings], SCHEMA).write.mode("append").parquet(path)
+
+
+def record_rows(findings: DataFrame, path: str, provenance: Provenance) -> None:
+    """Append findings that a query computed, one a row, with the provenance that they share.
+
+    Columns are those of the ledger; ``score`` and ``version`` may be left out. An id that is none raises when the
+    table is written, as does one that the batch holds twice, or that stands in the ledger with the same version.
+    """
+    spark, fields = findings.sparkSession, {k: F.lit(v) for k, v in asdict(provenance).items()}
+    rows = findings.withColumn("provenance", F.struct(*(v.alias(k) for k, v in fields.items())))
+    for name, value in (("score", 0), ("version", 1)):
+        if name not in findings.columns:
+            rows = rows.withColumn(name, F.lit(value))
+    kinds = StructType.fromDDL(SCHEMA)
+    held, at = materialize(rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds)), "findings")
+    wrong = held.filter(F.col("finding_id").isNull() | ~F.col("finding_id").rlike(FINDING_ID)).limit(1).collect()
+    if wrong:
+        raise ValueError(f"not a finding id: {wrong[0]['finding_id']}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = held.select("finding_id", "version")
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        known = known.unionByName(spark.read.schema(kinds).parquet(path).select("finding_id", "version"))
+    again = known.groupBy("finding_id", "version").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"recorded before: {again[0]['finding_id']}")
+    held.write.mode("append").parquet(path)
+    remove(spark, at)
 
 
 def verdict(reproduced: Column, robust: Column, artifact: Column, external: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.operators.keys import beside
 from arbora.operators.stats import quantiles
 from arbora.schema import EXCLUDED_RULE, SOURCE_AOC, SOURCE_PDF
 
@@ -57,19 +58,15 @@ def foreign(df: DataFrame, home: str, column: str = "entity_country") -> DataFra
 def outliers(df: DataFrame, value: str, mads: float, by: list[str] | None = None) -> DataFrame:
     """Rows further than ``mads`` median absolute deviations from the median, with both figures.
 
-    Medians are exact, and found without gathering a group's values in one task.
+    Medians are exact, and found without gathering a group's values in one task. Rows without a group are a group.
     """
     by = by or []
-    beside = lambda rows, c: _beside(rows, quantiles(rows, c, [0.5], by).drop("p").withColumnRenamed("quantile", "_found"), by)
-    centred = beside(df, value).withColumnRenamed("_found", "_median").withColumn("_off", F.abs(F.col(value) - F.col("_median")))
-    spread = beside(centred, "_off").withColumnRenamed("_found", "_mad")
+    placed = lambda rows, c: beside(rows, quantiles(rows, c, [0.5], by).drop("p").withColumnRenamed("quantile", "_found"), by)
+    centred = placed(df, value).withColumnRenamed("_found", "_median").withColumn("_off", F.abs(F.col(value) - F.col("_median")))
+    spread = placed(centred, "_off").withColumnRenamed("_found", "_mad")
     return spread.filter(F.col("_off") > mads * F.col("_mad")).drop("_off")
 
 
-def _beside(df: DataFrame, figures: DataFrame, by: list[str]) -> DataFrame:
-    return df.join(figures, by, "left") if by else df.crossJoin(F.broadcast(figures))  # one row
-
-
 def union_sources(pdf: DataFrame, aoc: DataFrame) -> DataFrame:
     """The rows of both source groups, each with its source; columns must be the same."""
     return pdf.withColumn("source_type", F.lit(SOURCE_PDF)).unionByName(aoc.withColumn("source_type", F.lit(SOURCE_AOC)))

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.tables import materialize
+from arbora.operators.keys import beside
+from arbora.streaming.windows import ranked
+from arbora.tables import Scratch, materialize
 
 #: Rank error of the sketch that finds where a quantile lies, as one over this; and groups that may be left out in turn.
 ACCURACY, MOST_GROUPS = 10_000, 10_000
@@ -109,11 +111,11 @@ def leave_one_out_any(df: DataFrame, group: str, statistic) -> DataFrame:
 
 
 def left_out(df: DataFrame, group: str) -> DataFrame:
-    """Every row beside each group that it is not in, ``dropped``."""
+    """Every row beside each group that it is not in, ``dropped``; rows without a group are a group, and stay beside all others."""
     groups = df.select(F.col(group).alias("dropped")).distinct().limit(MOST_GROUPS + 1)
     if groups.count() > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups of {group}")
-    return df.join(F.broadcast(groups), F.col(group) != F.col("dropped"))
+    return df.join(F.broadcast(groups), ~F.col(group).eqNullSafe(F.col("dropped")))
 
 
 def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str] | None = None) -> DataFrame:
@@ -160,6 +162,52 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[st
     return made.select(*by, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("quantile"))
 
 
+def left_out_quantiles(df: DataFrame, group: str, value: str, probabilities: list[float], buckets: int = 1000) -> DataFrame:
+    """Exact quantiles of the rows that are not in a group, for each group in turn: ``dropped, p, quantile``.
+
+    No row is read once for each group. Values are counted by group, and cut into buckets; what is left of a bucket
+    without a group is a difference of two counts, and tells in which bucket a quantile lies. Only that bucket's values
+    are ordered for the group. Rows without a group are a group; groups outside of which there are no values have none.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    scratch = Scratch(df.sparkSession)
+    known = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    cells = scratch.table(known.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")), "cells")
+    groups = df.select(F.col(group).alias("dropped")).distinct()
+    groups = scratch.table(groups, "groups")
+    if groups.limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups of {group}")
+    cuts = cells.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], ACCURACY)).first()[0] or []
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    cells = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(cells) if len(splits) > 2 else cells.withColumn("b", F.lit(0.0))
+    cells = scratch.table(cells, "cells")
+    tally = scratch.table(cells.groupBy("g", "b").agg(F.sum("c").alias("own")), "tally")
+    total = tally.groupBy("b").agg(F.sum("own").alias("all"))
+    # A row for each group and bucket: what the bucket holds without the group, and all that lies below.
+    every = total.crossJoin(F.broadcast(groups))  # as many rows as buckets, of a fixed number
+    rest = beside(every, tally.withColumnRenamed("g", "dropped"), ["dropped", "b"], few=False)
+    rest = rest.select("dropped", "b", (F.col("all") - F.coalesce("own", F.lit(0))).alias("left"))
+    each, upto = Window.partitionBy("dropped"), Window.partitionBy("dropped").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    rest = rest.withColumns({"n": F.sum("left").over(each), "upto": F.sum("left").over(upto)}).filter("n > 0")
+    ends = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("p"), F.lit(end).alias("end")) for p in probabilities for end in (0, 1))))
+    wanted = rest.withColumn("one", ends).select("dropped", "b", "left", "n", "upto", "one.p", "one.end")
+    place = (F.col("n") - 1) * F.col("p")
+    wanted = wanted.withColumn("k", F.when(F.col("end") == 0, F.floor(place)).otherwise(F.ceil(place)))
+    wanted = wanted.filter("upto > k AND upto - left <= k").select("dropped", "b", "n", "p", "end", (F.col("k") - F.col("upto") + F.col("left")).alias("k"))
+    wanted = scratch.table(wanted, "wanted")  # two rows for each group and probability
+    inside = cells.join(F.broadcast(wanted), "b").filter(~F.col("g").eqNullSafe(F.col("dropped")))
+    counted = inside.groupBy("dropped", "p", "end", "n", "k", "v").agg(F.sum("c").alias("c"))
+    reach = F.sum("c").over(Window.partitionBy("dropped", "p", "end").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = counted.withColumn("reach", reach).filter("reach > k").groupBy("dropped", "p").agg(
+        F.max("n").alias("n"), F.min(F.when(F.col("end") == 0, F.col("v"))).alias("a"), F.min(F.when(F.col("end") == 1, F.col("v"))).alias("z")
+    )
+    place = (F.col("n") - 1) * F.col("p")
+    made, _ = materialize(found.select("dropped", "p", (F.col("a") + (F.col("z") - F.col("a")) * (place - F.floor(place))).alias("quantile")), "left-out")
+    scratch.drop()
+    return made
+
+
 def descriptives(df: DataFrame, value: str, by: list[str], probabilities: list[float]) -> DataFrame:
     """Number, mean, deviation, extremes and exact quantiles by group; a quantile's column is ``p`` and its percent."""
     plain = df.groupBy(*by).agg(
@@ -167,7 +215,7 @@ def descriptives(df: DataFrame, value: str, by: list[str], probabilities: list[f
     )
     found = quantiles(df, value, probabilities, by)
     wide = found.groupBy(*by).agg(*(F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(f"p{round(p * 100)}") for p in probabilities))
-    return plain.join(wide, by, "left")
+    return beside(plain, wide, by)
 
 
 def margins(df: DataFrame, dimensions: list[str], *figures: Column) -> DataFrame:
@@ -237,16 +285,16 @@ def falsification(df: DataFrame, claim: Column, by: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Rank correlation by group, with average ranks for ties. Ranks come from counted distinct values."""
+    """Rank correlation by group, null groups too, with average ranks for ties. Ranks come from counted distinct values."""
     known = df.dropna(subset=[x, y])
 
-    def ranked(c: str) -> DataFrame:
+    def place(c: str) -> DataFrame:
         counted = known.groupBy(*by, F.col(c).alias(f"_{c}")).agg(F.count(F.lit(1)).alias("_c"))
         upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(f"_{c}").rowsBetween(Window.unboundedPreceding, 0))
         return counted.select(*by, f"_{c}", (upto - (F.col("_c") - 1) / 2).alias(f"_rank_{c}"))
 
     both = known.withColumns({f"_{x}": F.col(x), f"_{y}": F.col(y)})
-    both = both.join(ranked(x), [*by, f"_{x}"]).join(ranked(y), [*by, f"_{y}"])
+    both = beside(beside(both, place(x), [*by, f"_{x}"], "inner", few=False), place(y), [*by, f"_{y}"], "inner", few=False)
     return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(f"_rank_{x}", f"_rank_{y}").alias("spearman"))
 
 
@@ -268,11 +316,10 @@ def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def gini(df: DataFrame, value: str, group: list[str]) -> DataFrame:
-    """Gini coefficient of positive values by group, by ranks."""
-    w = Window.partitionBy(*group).orderBy(value)
-    ranked = df.filter(F.col(value) > 0).withColumn("i", F.row_number().over(w))
-    n, s, t = F.count(F.lit(1)), F.sum(value), F.sum(F.col("i") * F.col(value))
-    return ranked.groupBy(*group).agg(n.alias("n"), (2 * t / (n * s) - (n + 1) / n).alias("gini"))
+    """Gini coefficient of positive values by group, by ranks that no single task makes."""
+    rows = ranked(df.filter(F.col(value) > 0).select(*group, value), group, [value], "_i")
+    n, s, t = F.count(F.lit(1)), F.sum(value), F.sum(F.col("_i") * F.col(value))
+    return rows.groupBy(*group).agg(n.alias("n"), (2 * t / (n * s) - (n + 1) / n).alias("gini"))
 
 
 def compare_claims(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
@@ -303,17 +350,29 @@ def sufficient_statistics(df: DataFrame, y: str, xs: list[str], by: list[str] |
 
 
 def least_squares(df: DataFrame, y: str, xs: list[str], cluster: str | None = None) -> dict:
-    """Coefficients and standard errors; with ``cluster`` robust to it. Only k-by-k sums reach the driver."""
+    """Coefficients and standard errors; with ``cluster`` robust to it. Only k-by-k sums reach the driver.
+
+    Without complete rows there are no coefficients; without more rows than coefficients, or with one cluster, no errors.
+    Regressors of which one is made of the others raise ``ValueError``.
+    """
     names = ["1", *xs, y]
     row = sufficient_statistics(df, y, xs).first()
     k = len(xs) + 1
+    if not row["s_1_1"]:
+        return {"names": names[:k], "beta": [None] * k, "se": [None] * k, "n": 0}
     m = np.zeros((k + 1, k + 1))
     for i in range(k + 1):
         for j in range(i, k + 1):
             m[i, j] = m[j, i] = row[f"s_{names[i]}_{names[j]}"]
+    scale = np.sqrt(np.diag(m[:k, :k]))
+    n, alike = m[0, 0], m[:k, :k] / np.outer(scale, scale) if (scale > 0).all() else np.zeros((k, k))
+    if not (scale > 0).all() or np.linalg.cond(alike) > 1e14:
+        raise ValueError(f"of {xs}, one is made of the others, or does not vary")
     inverse = np.linalg.inv(m[:k, :k])
     beta = inverse @ m[:k, k]
-    n = m[0, 0]
+    none = {"names": names[:k], "beta": beta.tolist(), "se": [None] * k, "n": int(n)}
+    if n <= k:
+        return none
     rss = m[k, k] - beta @ m[:k, k]
     if cluster is None:
         cov = inverse * rss / (n - k)
@@ -326,6 +385,8 @@ def least_squares(df: DataFrame, y: str, xs: list[str], cluster: str | None = No
             F.count(F.lit(1)).alias("g"),
             *(F.sum(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)),
         ).first()
+        if outer["g"] < 2:
+            return none
         meat = np.zeros((k, k))
         for i in range(k):
             for j in range(i, k):
@@ -343,13 +404,41 @@ def regression_table(df: DataFrame, y: str, xs: list[str], cluster: str | None =
 
 
 def nesting_baseline(df: DataFrame, label: str, stratum: str, seed: int) -> DataFrame:
-    """``shuffled``: the labels dealt out anew inside each stratum, seeded and independent of the row order's partitioning."""
-    key = F.xxhash64(F.lit(seed), *df.columns)
-    rows = df.withColumn("_k", key)
-    dealt = rows.withColumn("_i", F.row_number().over(Window.partitionBy(stratum).orderBy("_k", *df.columns)))
-    pool = rows.select(F.col(stratum).alias("_s"), F.col(label).alias("shuffled"), F.xxhash64(F.lit(seed + 1), *df.columns).alias("_k2"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(df.columns)])
-    pool = pool.withColumn("_j", F.row_number().over(Window.partitionBy("_s").orderBy("_k2", *[f"_c{i}" for i in range(len(df.columns))])))
-    return dealt.join(pool.select("_s", "_j", "shuffled"), dealt[stratum].eqNullSafe(F.col("_s")) & (F.col("_i") == F.col("_j"))).select(*df.columns, "shuffled")
+    """``shuffled``: the labels dealt out anew inside each stratum, seeded and independent of the row order's partitioning.
+
+    Both deals are ranked by ranges, so a stratum may hold any share of the rows.
+    """
+    rows = df.withColumn("_k", F.xxhash64(F.lit(seed), *df.columns))
+    pool = df.select(stratum, F.col(label).alias("shuffled"), F.xxhash64(F.lit(seed + 1), *df.columns).alias("_k"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(df.columns)))
+    takers = ranked(rows, [stratum], ["_k", *df.columns], "_i").drop("_k")
+    givers = ranked(pool, [stratum], ["_k", *(f"_c{i}" for i in range(len(df.columns)))], "_i").select(stratum, "_i", "shuffled")
+    return beside(takers, givers, [stratum, "_i"], "inner", few=False).drop("_i")
+
+
+def nearest_centres(df: DataFrame, features: list[str], starts: list[tuple[float, ...]], rounds: int = 20) -> DataFrame:
+    """Adds ``cluster``, the place of the nearest of k centres after Lloyd's rounds from the given starts.
+
+    Features are used as they are. Ties go to the first centre; a centre without rows stays where it was; rows without a
+    feature have no cluster. A round is one aggregation, of which k rows reach the driver; it ends when nothing moves.
+    """
+    x, centres = [F.col(c).cast("double") for c in features], [tuple(map(float, s)) for s in starts]
+
+    def nearest(at):
+        far = [F.struct(sum(((v - c) * (v - c) for v, c in zip(x, centre)), F.lit(0.0)).alias("d"), F.lit(i).alias("i")) for i, centre in enumerate(at)]
+        whole = F.lit(True)
+        for c in features:
+            whole = whole & F.col(c).isNotNull()
+        return F.when(whole, F.array_min(F.array(*far))["i"])
+
+    for _ in range(rounds):
+        found = df.groupBy(nearest(centres).alias("cluster")).agg(*(F.avg(v).alias(f"m{i}") for i, v in enumerate(x))).filter("cluster IS NOT NULL").collect()
+        moved = list(centres)
+        for row in found:
+            moved[row["cluster"]] = tuple(row[f"m{i}"] for i in range(len(x)))
+        if moved == centres:
+            break
+        centres = moved
+    return df.withColumn("cluster", nearest(centres))
 
 
 def taxonomy(df: DataFrame, features: list[str], k: int, seed: int = 1) -> DataFrame:

@@ -8,7 +8,6 @@ is arithmetic: supplier ``k`` hangs below supplier ``k div 3``.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -196,8 +195,9 @@ def tier_frequency(spark, sf_dir):
 )
 def review_reason_frequency(spark, sf_dir):
     """Failed gates of the rows under review."""
-    review = select.review_set(classified(spark, sf_dir))
-    return review.select(F.explode(F.split("review_reason", ";")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    # Lists are few, rows are many: lists are counted first, then split.
+    lists = select.review_set(classified(spark, sf_dir)).groupBy("review_reason").agg(F.count(F.lit(1)).alias("c"))
+    return lists.select(F.explode(F.split("review_reason", ";")).alias("reason"), "c").groupBy("reason").agg(F.sum("c").alias("n"))
 
 
 @query(
@@ -283,12 +283,12 @@ def textual_dates(spark, sf_dir):
     return o.select("o_orderkey", F.posexplode(spelled).alias("i", "text")).select("o_orderkey", "i", text_date(F.col("text")).alias("day"))
 
 
-@query("SELECT * FROM (VALUES ('alpha', 'The first.'), ('beta_2', 'The second, on two lines.')) t(variable, description)")
+@query("SELECT 'part_' || p_partkey AS variable, p_name || ' ' || p_type || ' of ' || p_brand AS description FROM part")
 def dictionary_scan(spark, sf_dir):
-    """Variables with their descriptions, from text."""
+    """A dictionary of all parts as text, entries of two indented lines, read back as variables with descriptions."""
     path = new_path(spark, "dictionary")
-    lines = "Title\n-----\n\nalpha\n  The first.\n\nbeta_2\n  The second,\n  on two lines.\n\nEnd\n"
-    spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(path)
+    entry = F.concat(F.lit("part_"), F.col("p_partkey").cast("string"), F.lit("\n  "), "p_name", F.lit(" "), "p_type", F.lit("\n  of "), "p_brand")
+    read(spark, sf_dir, "part").select(entry.alias("value")).write.text(path)
     return sources.read_dictionary(spark, path)
 
 
@@ -730,11 +730,10 @@ def leave_one_parent_out(spark, sf_dir):
 
 @query(f"WITH {REGION_SQL} SELECT r.r_name AS dropped, median(c.c_acctbal) AS med, count(*) AS n FROM region r JOIN c ON c.r_name <> r.r_name GROUP BY 1")
 def leave_one_parent_out_median(spark, sf_dir):
-    """A statistic that does not add up; medians without gathering the values of a group."""
+    """A statistic that does not add up; medians from counts by group, without reading a row for each other group."""
     c = customers_by_region(spark, sf_dir)
     n = stats.leave_one_out_any(c, "r_name", lambda g: g.agg(F.count(F.lit(1)).alias("n")))
-    rest = stats.left_out(c.select("r_name", "c_acctbal"), "r_name").select("dropped", "c_acctbal")
-    med = stats.quantiles(rest, "c_acctbal", [0.5], ["dropped"]).select("dropped", F.col("quantile").alias("med"))
+    med = stats.left_out_quantiles(c, "r_name", "c_acctbal", [0.5]).select("dropped", F.col("quantile").alias("med"))
     return n.join(med, "dropped")
 
 
@@ -868,21 +867,35 @@ def reviewed_since(spark, sf_dir):
 
 
 @query(
-    """SELECT * FROM (VALUES ('C-F001', 3, 'entities', TRUE, 'CONFIRMED'), ('C-F002', 1, 'paths', FALSE, 'FRAGILE'), ('X-F001', 5, 'paths', TRUE, 'CONFIRMED'))
-    t(finding_id, score, counting, robust, status)"""
+    f"""WITH {REGION_SQL}, g AS (SELECT n_regionkey, n_name, count(*) AS num FROM c GROUP BY 1, 2), t AS (SELECT n_regionkey, CAST(sum(num) AS BIGINT) AS den, max(num) AS top FROM g GROUP BY 1),
+    s AS (SELECT n_regionkey, sum((num::DOUBLE / den) * (num::DOUBLE / den)) AS hhi FROM g JOIN t USING (n_regionkey) GROUP BY 1),
+    w AS (SELECT n_regionkey, sum((num::DOUBLE / (den - top)) * (num::DOUBLE / (den - top))) AS without FROM
+      (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY num DESC, n_name) AS r FROM g JOIN t USING (n_regionkey)) WHERE r > 1 GROUP BY 1)
+    SELECT 'C-F' || lpad((n_regionkey + 1)::VARCHAR, 3, '0') AS finding_id, (floor(hhi * 1000) / 1000)::VARCHAR AS statistic, den::VARCHAR AS denominator, (floor(hhi * 100))::INT AS score,
+    'entities' AS counting, CASE WHEN abs(without - hhi) > 0.05 THEN 'FRAGILE' ELSE 'CONFIRMED' END AS status FROM s JOIN t USING (n_regionkey) JOIN w USING (n_regionkey)"""
 )
 def finding_ledger(spark, sf_dir):
-    """L1, L2, L3: findings with their provenance, appended in two steps, read back and judged."""
-    path, words = new_path(spark, "ledger"), dict(result="r", statistic="s", denominator="d", interest="i", robustness="r", mundane="m", data_quality="q", falsification="f")
-
-    def finding(name, score, counting):
-        return ledger.Finding(name, score=score, provenance=ledger.Provenance("row", "n", "all", "none", "left out", "kept", counting, "none", "catalog", "none"), **words)
-
-    ledger.record(spark, [finding("C-F001", 3, "entities"), finding("C-F002", 1, "paths")], path)
-    ledger.record(spark, [finding("X-F001", 5, "paths")], path)
-    robust = F.col("finding_id") != "C-F002"
-    judged = spark.read.parquet(path).select("finding_id", "score", "provenance.counting", robust.alias("robust"))
-    return judged.withColumn("status", ledger.verdict(F.lit(True), F.col("robust"), F.lit(False), F.lit(False)))
+    """L1, L2, L3: the concentration of each region's customers as a finding, computed, recorded with its provenance, and
+    judged by whether it holds without the largest nation."""
+    path = new_path(spark, "ledger")
+    counted = customers_by_region(spark, sf_dir).groupBy("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("num"))
+    found = stats.concentration(counted, ["n_regionkey"], "n_name", "num").select("n_regionkey", "hhi", "den")
+    text = {
+        "finding_id": F.concat(F.lit("C-F"), F.lpad((F.col("n_regionkey") + 1).cast("string"), 3, "0")),
+        "result": F.concat(F.lit("customers by nation, region "), F.col("n_regionkey").cast("string")),
+        "statistic": (F.floor(F.col("hhi") * 1000) / 1000).cast("string"), "denominator": F.col("den").cast("string"),
+        "score": F.floor(F.col("hhi") * 100).cast("int"), "interest": F.lit("few nations may hold most customers"),
+        "robustness": F.lit("without the largest nation"), "mundane": F.lit("nations differ in size"),
+        "data_quality": F.lit("none known"), "falsification": F.lit("a region whose index moves by more than 0.05"),
+    }
+    source = ledger.Provenance("customer", "customers of a nation", "customers of its region", "none", "none", "kept", "entities", "none", "stats.concentration", "leave the largest out")
+    ledger.record_rows(found.select(*(v.alias(k) for k, v in text.items())), path, source)
+    largest = select.top_rows(counted, ["n_regionkey"], [F.col("num").desc(), F.col("n_name")]).select("n_regionkey", "n_name")
+    rest = stats.concentration(counted.join(largest, ["n_regionkey", "n_name"], "left_anti"), ["n_regionkey"], "n_name", "num")
+    robust = found.join(rest.select("n_regionkey", F.col("hhi").alias("without")), "n_regionkey")
+    robust = robust.select(text["finding_id"].alias("finding_id"), (F.abs(F.col("without") - F.col("hhi")) <= 0.05).alias("robust"))
+    judged = spark.read.parquet(path).select("finding_id", "statistic", "denominator", "score", "provenance.counting").join(robust, "finding_id")
+    return judged.withColumn("status", ledger.verdict(F.lit(True), F.col("robust"), F.lit(False), F.lit(False))).drop("robust")
 
 
 # Sources and sinks -------------------------------------------------------------------------------------------------
@@ -899,13 +912,14 @@ def panel_csv_scan(spark, sf_dir):
     return back.groupBy("target_id", "fiscal_year").agg(F.count(F.lit(1)).alias("n"), F.sum("total_assets").alias("total_assets"))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS day FROM orders")
 def stata_scan(spark, sf_dir):
-    """A Stata file, made of the nations (a fixed small table) in a shared folder that is mounted, and read back."""
-    path = new_path(spark, "stata").removeprefix("file:")
-    os.makedirs(path, exist_ok=True)
-    read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").toPandas().to_stata(f"{path}/nation.dta", write_index=False)
-    return sources.read_stata(spark, f"{path}/nation.dta")
+    """All orders as Stata files, written and read back by the executors."""
+    path = new_path(spark, "stata")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("day"))
+    sources.stata_files(rows).write.parquet(path)
+    back = sources.stata_rows(spark.read.parquet(path), rows.withColumn("o_orderkey", F.col("o_orderkey").cast("double")).schema)
+    return back.withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
 
 
 @query("SELECT n_nationkey::VARCHAR AS uin, n_name AS claimants FROM nation")

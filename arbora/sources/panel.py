@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from arbora.functions import blank_to_null, list_items
 from arbora.schema import PANEL, check_schema
 from arbora.sources.stata import read_stata
+from arbora.tables import materialize, remove
 
 
 def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -61,3 +62,34 @@ def write_result(df: DataFrame, path: str, inputs: tuple[str, ...] = (), mode: s
         if norm(path).startswith(norm(i)) or norm(i).startswith(norm(path)):
             raise ValueError(f"{path} would overwrite the input {i}")
     df.write.mode(mode).parquet(path)
+
+
+def table_digest(df: DataFrame) -> DataFrame:
+    """One row that tells whether two tables hold the same rows, in whatever order and files: ``columns, n_rows, one, two``.
+
+    Rows are hashed twice and the hashes added up, so repeated rows count, and tasks add their parts. Columns of maps
+    cannot be hashed.
+    """
+    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), *df.columns, *(F.col(c).isNull() for c in df.columns)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return df.agg(F.lit(df.schema.simpleString()).alias("columns"), F.count(F.lit(1)).alias("n_rows"), total(1).alias("one"), total(2).alias("two"))
+
+
+def write_if_changed(df: DataFrame, path: str, inputs: tuple[str, ...] = ()) -> bool:
+    """:func:`write_result`, but only if the rows differ from those last written there; tells whether it wrote.
+
+    The digest lies beside the table, ``<path>.digest``. It goes before the table is replaced and comes after, so a run
+    that was cut off leaves none, and the next one writes.
+    """
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.digest"
+    held, at = materialize(df, "result")
+    new = table_digest(held)
+    target = spark._jvm.org.apache.hadoop.fs.Path(beside)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        if new.exceptAll(spark.read.parquet(beside)).isEmpty():
+            remove(spark, at)
+            return False
+        remove(spark, beside)
+    write_result(held, path, inputs, mode="overwrite")
+    write_result(new, beside, inputs)
+    remove(spark, at)
+    return True

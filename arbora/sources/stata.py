@@ -1,12 +1,14 @@
-"""A Python data source for Stata files: schema from the file's metadata, rows in chunks.
+"""Stata files: schema from the file's metadata, rows in chunks. Missing numbers and empty strings become null.
 
-One file is one partition, since the format is read from its start; convert it to Parquet once and query that.
-Missing numbers and empty strings become null.
+A file is read from its start, so one file is one task. :func:`stata_rows` reads any number of files that Spark's own
+reader has opened, wherever they lie, or files that a table holds; the data source reads one file of a mounted folder.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import io
+import json
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,20 @@ def _type(dtype) -> T.DataType:
     return T.StringType()
 
 
-def _open(path: str):
+def cell(value, kind: T.DataType):
+    """A value of a chunk as Spark has it."""
+    if value is None or value is pd.NaT or (isinstance(value, float) and value != value) or value == "":
+        return None
+    if isinstance(kind, T.DateType):
+        return value.date() if isinstance(value, dt.datetime) else value
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return float(value)
+    if isinstance(kind, T.StringType):
+        return str(value)
+    return int(value)
+
+
+def _open(path):
     # convert_missing stays off; integers with missing values then arrive as floats, chunk by chunk
     return pd.read_stata(path, chunksize=CHUNK, convert_categoricals=False, convert_dates=True)
 
@@ -65,17 +80,6 @@ class _StataReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition):
-        def cell(value, kind):
-            if value is None or value is pd.NaT or (isinstance(value, float) and value != value) or value == "":
-                return None
-            if isinstance(kind, T.DateType):
-                return value.date() if isinstance(value, dt.datetime) else value
-            if isinstance(kind, (T.FloatType, T.DoubleType)):
-                return float(value)
-            if isinstance(kind, T.StringType):
-                return str(value)
-            return int(value)
-
         with _open(self.path) as reader:
             for chunk in reader:
                 columns = [chunk[n].tolist() for n, _ in self.fields]
@@ -87,3 +91,58 @@ def read_stata(spark: SparkSession, path: str, schema: T.StructType | None = Non
     spark.dataSource.register(StataDataSource)
     reader = spark.read.format("stata")
     return (reader.schema(schema) if schema else reader).load(path)
+
+
+def stata_rows(files: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of all files of a table with their bytes in ``content``, as ``spark.read.format("binaryFile")`` gives it.
+
+    Files are read by the executors, each in chunks; all must have the columns of the schema, which is that of one file
+    if it is not given. A table without files needs a schema.
+    """
+    if schema is None:
+
+        def look(frames):
+            for frame in frames:
+                for content in frame.content:
+                    with _open(io.BytesIO(content)) as reader:
+                        first = next(iter(reader))
+                    kinds = T.StructType([T.StructField(c, _type(first[c].dtype)) for c in first.columns])
+                    yield pd.DataFrame({"kinds": [kinds.json()]})
+
+        found = files.select("content").limit(1).mapInPandas(look, "kinds string").first()
+        if found is None:
+            raise ValueError("no file to take the schema from")
+        schema = T.StructType.fromJson(json.loads(found["kinds"]))
+    fields = [(f.name, f.dataType) for f in schema.fields]
+
+    def rows(frames):
+        for frame in frames:
+            for content in frame.content:
+                with _open(io.BytesIO(content)) as reader:
+                    for chunk in reader:
+                        yield pd.DataFrame({n: pd.Series([cell(v, kind) for v in chunk[n].tolist()], dtype=object) for n, kind in fields})
+
+    return files.select("content").mapInPandas(rows, schema)
+
+
+def stata_files(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """``n_rows, content``: the rows as Stata files of at most so many rows, made by the tasks that hold them.
+
+    Strings, dates and numbers only; nulls become the format's missing values, and integers with nulls doubles.
+    """
+    dates = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+
+    def write(frames):
+        for frame in frames:
+            for at in range(0, len(frame), most):
+                part = frame.iloc[at : at + most].copy()
+                for c in texts:
+                    part[c] = part[c].fillna("")
+                for c in dates:
+                    part[c] = pd.to_datetime(part[c])
+                out = io.BytesIO()
+                part.to_stata(out, write_index=False, convert_dates={c: "td" for c in dates}, version=118)
+                yield pd.DataFrame({"n_rows": [len(part)], "content": [out.getvalue()]})
+
+    return df.mapInPandas(write, "n_rows bigint, content binary")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.operators.keys import beside
 from arbora.tables import materialize
 
 
@@ -41,3 +44,100 @@ def global_ntile(df: DataFrame, order: list[str], n: int, name: str) -> DataFram
     edge = big * (low + 1)
     tile = F.when(at < edge, F.floor(at / (low + 1))).otherwise(big + F.floor((at - edge) / F.greatest(low, F.lit(1))))
     return ranked.withColumn(name, (tile + 1).cast("int")).drop("_p", "_i", "_before", "_total")
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds the rank of a row in its group, from 1, without any group being one task; null groups are a group.
+
+    Rows are dealt out by ranges of group and order, numbered inside their range, and shifted by what the group has in
+    the ranges before: one row for each group and range that it touches. Ties in ``order`` are cut arbitrarily.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt, _ = materialize(df.repartitionByRange(ranges, *by, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order)))
+    sizes = dealt.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # Only groups that go on from an earlier range need a shift: at most one for each range.
+    sizes = sizes.withColumn("_before", F.sum("_n").over(earlier)).filter("_before IS NOT NULL").drop("_n")
+    shifted = beside(local, sizes, ["_p", *by], few=True)
+    return shifted.select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.col("_i")).alias(name))
+
+
+def trailing(df: DataFrame, keys: list[str], at: str, value: str, back: int, name: str = "trailing") -> DataFrame:
+    """Adds the sum of ``value`` over the last ``back`` units of ``at`` and its own, and how many rows stood there.
+
+    The frame is a range of values, so years that are missing are not replaced by earlier ones; rows of one year share
+    their figures. A row whose ``at`` is null gets the figures of the rows without.
+    """
+    w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-back, 0)
+    return df.withColumns({name: F.sum(value).over(w), f"{name}_rows": F.count(F.lit(1)).over(w)})
+
+
+def as_of_join(
+    left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str], tie: str | None = None, within: Column | None = None
+) -> DataFrame:
+    """``left`` with ``columns`` and ``right_time`` of the last row of ``right`` of the same key at or before its own time.
+
+    Both sides are dealt out by ranges of key and time, and sorted once; the last known row is carried along inside a
+    range, and from one range into the next, so one key may hold any share of the rows, and no row is multiplied. Of
+    rows of one time the one with the largest ``tie`` is taken. Rows without key or time match nothing; with ``within``,
+    an interval such as ``F.expr("INTERVAL 7 DAYS")``, older rows do not match either.
+    """
+    ranges = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.struct(*(F.col(c) for c in left.columns))
+    found = F.struct(F.col(right_time), *(F.col(c) for c in columns if c != right_time))
+    known = right.filter(F.col(right_time).isNotNull() & F.col(key).isNotNull())
+    if tie:
+        known = known.withColumn("_tie", F.col(tie))
+    one = known.groupBy(key, right_time).agg((F.max_by(found, F.col("_tie")) if tie else F.max(found)).alias("_found"))
+    one = one.select(F.col(key).alias("_key"), F.col(right_time).cast(left.schema[left_time].dataType).alias("_at"), F.lit(0).alias("_side"), "_found")
+    both = left.select(F.col(key).alias("_key"), F.col(left_time).alias("_at"), F.lit(1).alias("_side"), own.alias("_own")).unionByName(one, allowMissingColumns=True)
+    dealt, _ = materialize(both.repartitionByRange(ranges, "_key", "_at", "_side").withColumn("_p", F.spark_partition_id()), "as-of")
+    here = Window.partitionBy("_p", "_key").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumn("_last", F.last("_found", ignorenulls=True).over(here)).filter("_side = 1")
+    last = dealt.groupBy("_p", "_key").agg(F.max_by("_found", F.when(F.col("_side") == 0, F.col("_at"))).alias("_end"))
+    earlier = Window.partitionBy("_key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # Only keys that go on from an earlier range carry something over: at most one for each range.
+    carried = last.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).filter("_carried IS NOT NULL").drop("_end")
+    joined = beside(local, carried, ["_p", "_key"], few=True).select("_own", "_at", F.coalesce("_last", "_carried").alias("_match"))
+    if within is not None:
+        joined = joined.withColumn("_match", F.when(F.col("_match")[right_time] + within >= F.col("_at"), F.col("_match")))
+    joined = joined.withColumn("_match", F.when(F.col("_at").isNotNull(), F.col("_match")))
+    return joined.select("_own.*", *(F.col("_match")[c].alias(c if c not in left.columns else f"right_{c}") for c in dict.fromkeys([right_time, *columns])))
+
+
+# Streams with late rows ----------------------------------------------------------------------------------------------
+
+
+def watermarked(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Rows may come so much later than the latest one; ``ts`` is cast, since watermarks need a time zone."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
+def tumbling_stream(stream: DataFrame, ts: str, width: str, delay: str, by: list[str], value: str) -> DataFrame:
+    """:func:`tumbling` in append mode: a window is given out once, when the watermark has passed its end.
+
+    Rows of windows that have ended by then are late and dropped, as a watermark means; rows without a time are too.
+    """
+    return tumbling(watermarked(stream, ts, delay), ts, width, by, value)
+
+
+def session_stream(stream: DataFrame, ts: str, gap: str, delay: str, key: str) -> DataFrame:
+    """:func:`sessions` in append mode: a session is given out once the watermark has passed its last row by the gap."""
+    return sessions(watermarked(stream, ts, delay), ts, gap, key)
+
+
+def run_once(stream: DataFrame, path: str, state: str, mode: str = "append") -> None:
+    """Process what has arrived, write it as Parquet, and keep offsets and state in ``state`` for the next time."""
+    stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def preferred_stream(stream: DataFrame, keys: list[str], order: list[Column], columns: list[str], update: Callable[[DataFrame, int], None], state: str) -> None:
+    """The preferred row of each key, kept up to date: ``update(rows, batch)`` gets every key whose row has changed in a batch.
+
+    The state is one row a key. Order columns must decide between all rows; late rows count as any other, as a preferred
+    row may be replaced at any time.
+    """
+    first = stream.groupBy(*keys).agg(F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.struct(*columns).alias("row"))).alias("one"))
+    rows = first.select(*keys, *(F.col(f"one.row.{c}").alias(c) for c in columns if c not in keys))
+    rows.writeStream.outputMode("update").foreachBatch(update).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

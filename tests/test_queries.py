@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from arbora.plans import catalog
+from arbora.plans import catalog, matching, models, networks  # noqa: F401  they register their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
