@@ -39,7 +39,7 @@ class Template:
     label: str
     text: str
     base: bool = False
-    #: Words of the text that a span must cover.
+    #: Words of the text that a span must cover, without others between them.
     must: str = ""
 
     @property
@@ -63,6 +63,35 @@ _BY = "as published by the Free Software Foundation, either version"
 _LATER = "of the License, or (at your option) any later version"
 _CLAIM = "in no event shall the authors or copyright holders be liable for any claim, damages or other liability"
 
+#: Identifiers of the SPDX list by label.
+SPDX = {
+    "agpl": "AGPL-3.0-only AGPL-3.0-or-later AGPL-3.0", "apache": "Apache-1.1 Apache-2.0", "artistic": "Artistic-1.0 Artistic-2.0",
+    "boost": "BSL-1.0", "bsd": "0BSD BSD-2-Clause BSD-3-Clause BSD-4-Clause", "cc0": "CC0-1.0", "cddl": "CDDL-1.0 CDDL-1.1",
+    "epl": "EPL-1.0 EPL-2.0", "eupl": "EUPL-1.1 EUPL-1.2", "gpl": "GPL-2.0-only GPL-2.0-or-later GPL-2.0 GPL-3.0-only GPL-3.0-or-later GPL-3.0",
+    "isc": "ISC", "lgpl": "LGPL-2.1-only LGPL-2.1-or-later LGPL-2.1 LGPL-3.0-only LGPL-3.0-or-later LGPL-3.0", "mit": "MIT MIT-0",
+    "mpl": "MPL-1.1 MPL-2.0", "unlicense": "Unlicense", "wtfpl": "WTFPL", "zlib": "Zlib",
+}
+#: The attribution licences of Creative Commons, and their versions with the names of their long form.
+CC_PARTS = {"by": "Attribution", "sa": "ShareAlike", "nc": "NonCommercial", "nd": "NoDerivatives"}
+CC_KINDS = "by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"
+CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+
+
+def made_templates() -> list[Template]:
+    """A template for each identifier, and for each Creative Commons licence in each version, short and long."""
+    out = [
+        Template(f"spdx_{i}", label, f"SPDX-License-Identifier: {i}", must=i) for label, ids in SPDX.items() for i in ids.split()
+    ]
+    for kind in CC_KINDS:
+        long = "-".join(CC_PARTS[part] for part in kind.split("-"))
+        for version, name in CC_VERSIONS.items():
+            out.append(Template(f"spdx_cc_{kind}_{version}", f"cc-{kind}", f"SPDX-License-Identifier: CC-{kind.upper()}-{version}", must=f"CC-{kind.upper()}-{version}"))
+            if version != "4.0":  # those stand above
+                out.append(Template(f"cc_{kind}_{version}", f"cc-{kind}", f"Licensed under CC {kind.upper()} {version}", must=f"{kind.upper()} {version}"))
+                out.append(Template(f"cc_{kind}_{version}_long", f"cc-{kind}", f"This work is licensed under a Creative Commons {long} {version} {name} License", must=f"{long} {version}"))
+    return out
+
+
 #: Phrases, then the public wording of license notices.
 TEMPLATES = (
     Template("mit_phrase", "mit", "MIT License", True),
@@ -165,6 +194,64 @@ TEMPLATES = (
     Template("boost_header", "boost", "Distributed under the Boost Software License, Version 1.0", must="Boost Software License"),
     Template("wtfpl", "wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed", must="as long as the name is changed"),
     Template("artistic", "artistic", "you can redistribute it and/or modify it under the terms of the Artistic License", must="Artistic License"),
+    # Parts of whole licence texts.
+    Template(
+        "apache_copyright_grant", "apache",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, "
+        "non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, "
+        "publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
+        must="copyright license to reproduce, prepare Derivative Works of",
+    ),
+    Template("apache_definitions", "apache", "License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document", must="Sections 1 through 9"),
+    Template(
+        "gpl_preamble", "gpl",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for "
+        "most software and other practical works are designed to take away your freedom to share and change the works. By "
+        "contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program",
+        must="GNU General Public License is a free",
+    ),
+    Template(
+        "gpl2_preamble", "gpl",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU "
+        "General Public License is intended to guarantee your freedom to share and change free software",
+        must="GNU General Public License is intended",
+    ),
+    Template(
+        "agpl_preamble", "agpl",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, "
+        "specifically designed to ensure cooperation with the community in the case of network server software",
+        must="GNU Affero General Public License",
+    ),
+    Template(
+        "lgpl_body", "lgpl",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU "
+        "General Public License, supplemented by the additional permissions listed below",
+        must="GNU Lesser General Public License",
+    ),
+    Template(
+        "mpl_grants", "mpl",
+        "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license under intellectual property "
+        "rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, "
+        "display, perform, distribute, and otherwise exploit its Contributions",
+        must="Licensable by such Contributor",
+    ),
+    Template("epl_header", "epl", "The accompanying program is provided under the terms of this Eclipse Public License", must="Eclipse Public License"),
+    Template(
+        "cc0_body", "cc0",
+        "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights "
+        "(defined below) upon the creator and subsequent owner(s) (each and all, an owner) of an original work of authorship",
+        must="automatically confer exclusive Copyright and Related Rights",
+    ),
+    *(
+        Template(
+            f"cc_{kind}_code", f"cc-{kind}",
+            "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of "
+            f"this Creative Commons {'-'.join(CC_PARTS[part] for part in kind.split('-'))} 4.0 International Public License",
+            must=f"{'-'.join(CC_PARTS[part] for part in kind.split('-'))} 4.0",
+        )
+        for kind in CC_KINDS
+    ),
+    *made_templates(),
 )
 
 GRAMS = "template string, label string, base boolean, length int, k int, at int, hash bigint"
@@ -272,7 +359,7 @@ def spans(votes: DataFrame, templates=TEMPLATES) -> DataFrame:
             out = []
             for row in batch.to_pylist():
                 t = by_name[row["template"]]
-                n, need = len(t.words), set(t.needed) if t.must else set()
+                n, need = len(t.words), t.needed if t.must else []
                 width, runs = 2 * n + GAP, []
                 for d, at in sorted((s["diagonal"], s["at"]) for s in row["spots"]):
                     if runs and runs[-1][0] - runs[-1][1] == d and runs[-1][1] + runs[-1][2] - t.k + 1 == at:
@@ -283,11 +370,13 @@ def spans(votes: DataFrame, templates=TEMPLATES) -> DataFrame:
                     chain = align(runs, GAP)
                     while chain and chain[-1][0] + chain[-1][2] - chain[0][0] > width:
                         chain.pop()
-                    words = {a + i for _, a, m in chain for i in range(m)}
+                    words = {a + i: p + i for p, a, m in chain for i in range(m)}
+                    # The words that tell a notice from others must stand together, or "Attribution 4.0" would be in all kinds.
+                    told = all(w in words for w in need) and all(words[b] - words[a] == 1 for a, b in zip(need, need[1:]))
                     first, last = chain[0][0], chain[-1][0] + chain[-1][2] - 1
                     share = len(words) / n
                     if row["bucket"] * width <= first < (row["bucket"] + 1) * width:
-                        out.append((row["row_id"], t.name, t.label, first, last, share, share >= SHARE and need <= words))
+                        out.append((row["row_id"], t.name, t.label, first, last, share, share >= SHARE and told))
                     if share < SHARE:
                         break
                     runs = [r for r in runs if r[0] > last or r[0] + r[2] <= first]

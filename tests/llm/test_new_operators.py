@@ -300,3 +300,33 @@ def test_viterbi_against_enumeration():
     for span in ("1d10t", "l.o.s", "aab", "ooo0", "a b c", "$$a", "x!!y", "a-", "zz1"):
         _, text = readings(span)
         assert decoder.viterbi(span).split() == text.split()
+
+
+# Licences ----------------------------------------------------------------------------------------------------------
+
+
+def test_identifiers_versions_and_whole_texts(spark):
+    from arbora.llm import license_scan
+
+    said = {
+        "// SPDX-License-Identifier: Apache-2.0": "apache", "# SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl",
+        "SPDX-License-Identifier: BSD-3-Clause": "bsd", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl", "SPDX-License-Identifier: CC-BY-SA-4.0": "cc-by-sa",
+        "SPDX-License-Identifier: Zlib": "zlib", "SPDX-License-Identifier: Proprietary": "", "SPDX License Identifier list": "",
+        "Licensed under CC BY-SA 3.0.": "cc-by-sa", "licensed under CC BY 2.5": "cc-by", "Licensed under CC BY-NC-ND 2.0": "cc-by-nc-nd", "Licensed under CC 3.0": "",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "cc-by-sa",
+        "1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.": "apache",
+        "Preamble. The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to "
+        "guarantee your freedom to share and change free software--to make sure the software is free for all its users.": "gpl",
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons "
+        "Attribution-NonCommercial 4.0 International Public License (\"Public License\").": "cc-by-nc",
+        "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and "
+        "subsequent owner(s) (each and all, an \"owner\") of an original work of authorship and/or a database": "cc0",
+        "Licences for most software are designed for users, and freedom to share and change is a matter of taste.": "",
+    }
+    r = random.Random(1)
+    noise = lambda: " ".join(f"w{r.randrange(500)}" for _ in range(40))
+    rows = [(i, f"{noise()}\n{text}\n{noise()}", "en", "s") for i, text in enumerate(said)]
+    got = {x.doc_id: x.labels for x in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+    ids = [t for t in license_scan.made_templates()]
+    assert len({t.name for t in ids}) == len(ids) and all(t.needed for t in ids)
