@@ -11,7 +11,8 @@ taken whole, so that ``<object-view>`` is no ``<object>``.
 Defined cases: a null or empty page, and one without text, gives an empty text; a page of plain text without markup is
 its own main text; unclosed tags, comments, scripts and styles end with the page, other unclosed elements that hold no
 text of the page are ignored; a quote that is never closed is a character like others; what ``hidden``, ``aria-hidden``
-or ``display: none`` hides is no main text; repeated rows give the same text; an empty table gives an empty result;
+or ``display: none`` hides is no main text, and a hidden inline element that is not closed ends
+with its block; repeated rows give the same text; an empty table gives an empty result;
 extra columns are not read.
 """
 
@@ -48,9 +49,14 @@ CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in APAR
 TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>]+)))?""")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+MAY_HIDE = re.compile(r"hidden|display|visibility", re.I)
 PARTS = re.compile(r"[a-z]+")
 
 
+#: The mark of a hidden part among the words of its element.
+HIDDEN = "hiddenpart"
+
+
 @dataclass(slots=True)
 class Node:
     """An open element: its features that no element around it has, and where it stands."""
@@ -98,7 +104,7 @@ def attribute_words(attributes: str) -> list[str]:
             words += PARTS.findall(value.lower())
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and UNSEEN.search(value)):
             unseen = True
-    return [*dict.fromkeys(words), *["hiddenpart"] * unseen]
+    return [*dict.fromkeys(words), *[HIDDEN] * unseen]
 
 
 class Reader:
@@ -113,8 +119,11 @@ class Reader:
         self.text: list[str] = []
         self.size = self.linked = 0
         self.in_link = False
+        self.unseen, self.depth = "", 0  # the hidden inline element that is open, and how many of its name
 
     def add(self, piece: str) -> None:
+        if self.unseen:
+            return
         self.text.append(piece)
         self.size += len(piece)
         if self.in_link:
@@ -197,11 +206,19 @@ class Reader:
 
     def element(self, tag: str, closes: bool, attributes: str) -> None:
         if tag in INLINE:
+            if self.unseen:
+                if tag == self.unseen:
+                    self.depth += -1 if closes else 1
+                    if not self.depth:
+                        self.unseen = ""
+            elif not closes and tag not in VOID and MAY_HIDE.search(attributes) and HIDDEN in attribute_words(attributes):
+                self.unseen, self.depth = tag, 1
             if tag == "a":
                 self.in_link = not closes
             elif tag == "br":
                 self.text.append(" ")
             return
+        self.unseen = ""  # a block ends what an inline element left open
         self.flush()
         if closes:
             self.close(tag)

@@ -330,3 +330,21 @@ def test_identifiers_versions_and_whole_texts(spark):
     assert [got[i] for i in range(len(said))] == list(said.values())
     ids = [t for t in license_scan.made_templates()]
     assert len({t.name for t in ids}) == len(ids) and all(t.needed for t in ids)
+
+
+# Pages -------------------------------------------------------------------------------------------------------------
+
+
+def test_hidden_inline_parts_are_no_text():
+    from arbora.llm import html_extract
+
+    pages = {
+        "<p>Visible <span style='display:none'>SECRET</span> more</p>": ["Visible more"],
+        "<p>a <span hidden>b <span>c</span> d</span> e</p>": ["a e"],
+        "<p>a <i aria-hidden=\"true\">icon</i>b <i aria-hidden=false>c</i></p>": ["a b c"],
+        "<p>a <b style='visibility: HIDDEN'>never closed<p>next</p>": ["a", "next"],
+        "<p>a <a hidden href=x>b<br>c</a> d <span class=hidden-phone>e</span></p>": ["a d e"],
+        "<p>display <em title='hidden'>stays</em></p>": ["display stays"],
+    }
+    for page, want in pages.items():
+        assert [b.text for b in html_extract.blocks_of(page)] == want, page
