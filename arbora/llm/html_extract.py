@@ -409,8 +409,8 @@ class Pages:
 
     def comments(self) -> str:
         r = self.r
-        one = lambda: self.box(self.pick("div comment", "li comment reply", "article comment", "div response"), f"<p>{self.words(r.randint(3, 40))}</p>")
-        return self.box(self.pick("section comments", "div comments discussion responses disqus", "ol commentlist comments", "div replies reader-comments"),
+        one = lambda: self.box(self.pick("div comment", "li comment reply", "article comment", "div response", "div reaction user-reaction", "li remark feedback", "div"), f"<p>{self.words(r.randint(3, 40))}</p>")
+        return self.box(self.pick("section comments", "div comments discussion responses disqus", "ol commentlist comments", "div replies reader-comments", "section reactions user-reactions talkback", "div feedback remarks user-comments"),
                         f"<h3>{self.words(2)}</h3>" + "".join(one() for _ in range(r.randint(1, 5))))
 
     def clutter(self) -> str:
@@ -440,10 +440,23 @@ class Pages:
         body = (f"<h1>{m}{self.words(r.randint(1, 6))}</h1>" if r.random() < 0.4 else "") + body
         return f"<html><body>{body}</body></html>" if r.random() < 0.6 else f"<html><head><title>{self.words(3)}</title></head><body><div>{body}</div></body></html>"
 
+    def table(self) -> str:
+        """A page laid out by a table, with few names or none: what stands beside the article is told by its text and place."""
+        r, m = self.r, self.MARK
+        cell = lambda names, inner: self.box("td " + names if r.random() < 0.3 else "td", inner)
+        body = (f"<h{self.pick(1, 2)}>{m}{self.words(r.randint(2, 8))}</h2>" if r.random() < 0.7 else "") + self.paragraphs(self.pick(2, 3, 5, 8), m)
+        left = cell("menu navigation", self.links(3, 8))
+        right = cell("ads sponsors sidebar", f"<b>{self.words(1)}</b><br>{self.links(2, 5)}" if r.random() < 0.6 else f"<p>{self.words(r.randint(2, 6))}</p>{self.links(1, 4)}")
+        row = self.pick(left, left, "") + cell("content article", body) + self.pick(right, "")
+        top = f"<tr>{cell('header banner', self.pick(self.words(2), self.links(2, 6)))}</tr>" if r.random() < 0.6 else ""
+        foot = f"<tr>{cell('footer copyright', self.pick('&copy; ', '&copy; ', '') + self.words(r.randint(2, 8)))}</tr>" if r.random() < 0.7 else ""
+        return f"<html><head><title>{self.words(3)}</title></head><body><table width=100%>{top}<tr>{row}</tr>{foot}</table></body></html>"
+
     def page(self) -> str:
         r, m = self.r, self.MARK
-        if r.random() < 0.08:
-            return self.bare()
+        kind = r.random()
+        if kind < 0.16:
+            return self.bare() if kind < 0.08 else self.table()
         title = self.words(r.randint(2, 12))
         head = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{title}</title><style>p{{margin:0}}</style><script>var t='<p>x</p>';</script></head><body>"
         top = [self.box(self.pick("nav", "nav menu navbar", "ul menu nav", "div nav navigation menu topnav"), self.links())]
@@ -475,7 +488,7 @@ class Pages:
             body = inner
         bottom = [self.comments()] if r.random() < 0.35 else []
         bottom += [self.clutter() for _ in range(r.randint(0, 2))]
-        foot = self.box(self.pick("footer", "footer footer site-footer", "div footer bottom copyright colophon"), self.pick("&copy; ", "", "") + self.words(r.randint(2, 14)) + (self.links() if r.random() < 0.4 else ""))
+        foot = self.box(self.pick("footer", "footer footer site-footer", "div footer bottom copyright colophon", "div site-info legal imprint siteinfo"), self.pick("&copy; ", "", "") + self.words(r.randint(2, 14)) + (self.links() if r.random() < 0.4 else ""))
         wrap = self.pick("", "", "page wrapper container site")
         middle = "".join(top) + body + "".join(bottom) + (foot if r.random() < 0.9 else "")
         return head + (self.box("div " + wrap, middle) if wrap else middle) + ("</body></html>" if r.random() < 0.8 else "")

@@ -348,3 +348,21 @@ def test_hidden_inline_parts_are_no_text():
     }
     for page, want in pages.items():
         assert [b.text for b in html_extract.blocks_of(page)] == want, page
+
+
+def test_pages_laid_out_by_tables_and_unknown_names():
+    from arbora.llm import html_extract
+
+    extract = html_extract.extractor(html_extract.trained())
+    one = "The farmers of the valley brought in a good harvest this year, after a long and dry summer that worried many."
+    two = "Prices fell as the markets filled, and the mills worked through the night to grind what came."
+    left = "<td><a href=/a>Home</a><br><a href=/b>News</a><br><a href=/c>Contact us</a></td>"
+    right = "<td><b>Sponsors</b><br><a href=/x>Tractor world</a> <a href=/y>Seeds now</a></td>"
+    foot = "<tr><td colspan=3>Copyright 2020 Valley Gazette</td></tr>"
+    article = f"<h2>The harvest of the year</h2><p>{one}</p><p>{two}</p>"
+    want = f"The harvest of the year {one} {two}"
+    assert extract(f"<html><body><table><tr>{left}<td>{article}</td>{right}</tr>{foot}</table></body></html>") == want
+    assert extract(f"<html><body><table><tr>{left}<td>{article}</td></tr>{foot}</table></body></html>") == want
+    tail = '<div class="user-reactions"><h3>Reactions</h3><div class="reaction"><p>Finally! I waited for this so long.</p></div></div><div class="site-info">About us - Imprint - Privacy</div>'
+    top = '<div class="topbar"><a href=/>Gazette</a> <a href=/s>Sport</a> <a href=/w>World</a></div>'
+    assert extract(f'<html><body>{top}<div class="story-wrap">{article}</div>{tail}</body></html>') == want
