@@ -255,7 +255,7 @@ def text_features(b: Block, first: bool, last: bool) -> list[str]:
     n = b.text.count(" ") + 1
     end = b.text[-1]
     out = [f"n:{min(6, n.bit_length())}", f"link:{int(b.linked * 4 + 0.5)}", "stop" if end in ".!?…\"”»" else "open"]
-    if "©" in b.text:
+    if "©" in b.text or b.text[:9].lower() == "copyright":
         out.append("copyright")
     if first:
         out.append("first")
@@ -449,7 +449,7 @@ class Pages:
         right = cell("ads sponsors sidebar", f"<b>{self.words(1)}</b><br>{self.links(2, 5)}" if r.random() < 0.6 else f"<p>{self.words(r.randint(2, 6))}</p>{self.links(1, 4)}")
         row = self.pick(left, left, "") + cell("content article", body) + self.pick(right, "")
         top = f"<tr>{cell('header banner', self.pick(self.words(2), self.links(2, 6)))}</tr>" if r.random() < 0.6 else ""
-        foot = f"<tr>{cell('footer copyright', self.pick('&copy; ', '&copy; ', '') + self.words(r.randint(2, 8)))}</tr>" if r.random() < 0.7 else ""
+        foot = f"<tr>{cell('footer copyright', self.pick('&copy; ', 'Copyright 2020 ', '') + self.words(r.randint(2, 8)))}</tr>" if r.random() < 0.7 else ""
         return f"<html><head><title>{self.words(3)}</title></head><body><table width=100%>{top}<tr>{row}</tr>{foot}</table></body></html>"
 
     def page(self) -> str:
