@@ -366,3 +366,58 @@ def test_pages_laid_out_by_tables_and_unknown_names():
     tail = '<div class="user-reactions"><h3>Reactions</h3><div class="reaction"><p>Finally! I waited for this so long.</p></div></div><div class="site-info">About us - Imprint - Privacy</div>'
     top = '<div class="topbar"><a href=/>Gazette</a> <a href=/s>Sport</a> <a href=/w>World</a></div>'
     assert extract(f'<html><body>{top}<div class="story-wrap">{article}</div>{tail}</body></html>') == want
+
+
+# Odd rows of earlier operators -----------------------------------------------------------------------------------------
+
+
+def test_long_texts_in_every_stage(spark, tmp_path):
+    """A text of some MB, and one whose single line is as long, go through all stages and come out whole."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    word = lambda: r.choice(["the", "of", "and", "to"]) if r.random() < 0.3 else f"w{r.randrange(90_000)}"
+    lines = "\n".join(" ".join(word() for _ in range(12)) for _ in range(15_000))
+    one = " ".join(word() for _ in range(150_000))
+    docs = spark.createDataFrame([(1, lines, "en", "s", 0), (2, one, "en", "s", 0), (3, lines + "\nan end of its own", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "none of these words stands in any of the texts")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    assert {x.doc_id for x in stage["quality_rules"](spark, docs, "").collect()} == {1, 2, 3}
+    lined = {x.doc_id: x.text for x in stage["line_dedup"](spark, docs, "").collect()}
+    assert lined == {1: lines, 2: one, 3: "an end of its own"}
+    assert {x.doc_id for x in stage["jaccard_join"](spark, docs, "").collect()} == {1, 2}
+    assert {x.doc_id for x in stage["benchmark_decontamination"](spark, docs, str(tmp_path)).collect()} == {1, 2, 3}
+    tokens = {x.doc_id: x.decoded for x in stage["sentencepiece"](spark, docs.filter("doc_id = 2"), "").collect()}
+    assert tokens == {2: one}
+
+
+def test_long_texts_are_classified_whole(spark):
+    from arbora.llm import quality_classifier
+
+    rows, labels = [], []
+    for i in range(200):
+        good = i % 2
+        rows.append((i, " ".join(["careful", "reasoned", "measured"] if good else ["buy", "cheap", "now"]) + f" word{i}", "en", "s"))
+        labels.append((i, good))
+    tail = "plain " * 5 + "careful reasoned measured " * 200_000
+    rows += [(1000, tail, "en", "s"), (1001, tail[: len("plain ") * 5] + "buy cheap now " * 200_000, "en", "s"), (1000, tail, "en", "s")]
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = [(x.doc_id, x.score) for x in quality_classifier.quality_classifier(frame(spark, rows), known).collect()]
+    assert len(got) == len(rows)
+    scores = dict(got)
+    assert scores[1000] > 0.7 > 0.3 > scores[1001] and sum(i == 1000 for i, _ in got) == 2
+
+
+def test_repeated_rows_of_leaks_and_spans(spark):
+    from arbora.llm import decontaminate, suffix_dedup
+
+    item = "a passage of words that only the benchmark and one of the texts have in common today"
+    rows = [(1, f"before {item} after", "en", "s")] * 3 + [(2, "nothing of the kind " * 20, "en", "s")] * 2 + [(None, f"x {item}", "en", "s")] * 2
+    bench = spark.createDataFrame([(7, item), (7, item), (8, item)], "item_id long, text string")
+    found = Counter((x.doc_id, x.item_id) for x in decontaminate.leaks(frame(spark, rows), bench).collect())
+    assert {k for k in found} == {(1, 7), (1, 8), (None, 7), (None, 8)}
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefgh") for _ in range(600))
+    rows = [(None, text, "en", "s")] * 150 + [(1, "".join(r.choice("ijkl") for _ in range(600)), "en", "s")]
+    got = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.suffix_dedup(frame(spark, rows)).collect())
+    assert got == {(None, 600, 600, 1): 150, (1, 600, 0, 0): 1}
