@@ -67,6 +67,25 @@ def outliers(df: DataFrame, value: str, mads: float, by: list[str] | None = None
     return spread.filter(F.col("_off") > mads * F.col("_mad")).drop("_off")
 
 
+def recorded_filters(df: DataFrame, filters: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that pass all filters, SQL conditions by name, and the record of what each left out.
+
+    The record has ``step, filter, condition, n_before, n_after`` in the order given, all counted in one pass. Rows on
+    which a condition is undefined do not pass it, and are counted in ``n_unknown``.
+    """
+    passed, counts = F.lit(True), [F.count(F.lit(1)).alias("_0")]
+    for i, condition in enumerate(filters.values(), 1):
+        counts.append(F.count_if(passed & F.expr(condition).isNull()).alias(f"_u{i}"))
+        passed = passed & F.coalesce(F.expr(condition), F.lit(False))
+        counts.append(F.count_if(passed).alias(f"_{i}"))
+    steps = [
+        F.struct(F.lit(i).alias("step"), F.lit(name).alias("filter"), F.lit(condition).alias("condition"), F.col(f"_{i - 1}").alias("n_before"),
+                 F.col(f"_{i}").alias("n_after"), F.col(f"_u{i}").alias("n_unknown"))
+        for i, (name, condition) in enumerate(filters.items(), 1)
+    ]
+    return df.filter(passed), df.agg(*counts).select(F.inline(F.array(*steps)))
+
+
 def union_sources(pdf: DataFrame, aoc: DataFrame) -> DataFrame:
     """The rows of both source groups, each with its source; columns must be the same."""
     return pdf.withColumn("source_type", F.lit(SOURCE_PDF)).unionByName(aoc.withColumn("source_type", F.lit(SOURCE_AOC)))

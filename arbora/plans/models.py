@@ -188,6 +188,27 @@ def loaded_claims(spark, sf_dir):
     return worded.filter(F.size("words") > 0).select("l_suppkey", "n", F.concat_ws(",", "words").alias("loaded"))
 
 
+FILTERS = {
+    "known balance": "balance > 0", "single claimant": "claimants = 1", "large order": "total > 200000",
+}
+
+
+@query(
+    """WITH c AS (SELECT o_totalprice AS total, CASE WHEN c_acctbal <> round(c_acctbal) THEN c_acctbal END AS balance, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 3 END AS claimants FROM orders JOIN customer ON c_custkey = o_custkey)
+    SELECT 1 AS step, 'known balance' AS filter, 'balance > 0' AS condition, count(*) AS n_before, count(*) FILTER (balance > 0) AS n_after, count(*) FILTER (balance IS NULL) AS n_unknown FROM c
+    UNION ALL SELECT 2, 'single claimant', 'claimants = 1', count(*) FILTER (balance > 0), count(*) FILTER (balance > 0 AND claimants = 1), count(*) FILTER (balance > 0 AND claimants IS NULL) FROM c
+    UNION ALL SELECT 3, 'large order', 'total > 200000', count(*) FILTER (balance > 0 AND claimants = 1), count(*) FILTER (balance > 0 AND claimants = 1 AND total > 200000), 0 FROM c"""
+)
+def recorded_filters(spark, sf_dir):
+    """what each filter of a result leaves out, and on how many rows it is undefined, for the record of the finding."""
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    rows = o.select(
+        F.col("o_totalprice").alias("total"), F.when(F.col("c_acctbal") != F.round("c_acctbal"), F.col("c_acctbal")).alias("balance"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 3).alias("claimants"),
+    )
+    return select.recorded_filters(rows, FILTERS)[1]
+
+
 @query(
     "WITH " + "v AS (" + " UNION ALL ".join(
         f"SELECT '{m}' AS variable, CASE WHEN (l_partkey + {i}) % 7 > 0 THEN round(l_extendedprice * 100)::BIGINT + {i} END AS value, CASE WHEN (l_orderkey + {i}) % 5 > 0 THEN 'line ' || l_linenumber END AS evidence FROM lineitem"

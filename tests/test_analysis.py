@@ -307,6 +307,14 @@ def test_quantiles_without_a_group(spark, buckets):
     assert stats.left_out_quantiles(one, "g", "v", [0.5]).count() == stats.left_out_quantiles(one.limit(0), "g", "v", [0.5]).count() == 0
 
 
+def test_filters_are_recorded(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "a"), (5, "b"), (7, "a")], "v int, g string")
+    kept, record = select.recorded_filters(df, {"big": "v > 1", "of a": "g = 'a'"})
+    assert rows(kept) == [(7, "a")]
+    assert rows(record) == [(1, "big", "v > 1", 5, 3, 1), (2, "of a", "g = 'a'", 3, 1, 1)]
+    assert rows(select.recorded_filters(df.limit(0), {"big": "v > 1"})[1]) == [(1, "big", "v > 1", 0, 0, 0)]
+
+
 def test_figures_beside_rows_whatever_the_names(spark):
     df = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3)], "g string, _by_g int")
     for few in (True, False, None):
