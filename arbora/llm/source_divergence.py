@@ -46,6 +46,8 @@ class Params:
     #: Sources of a block and terms of a tile.
     block: int = 128
     tile: int = 128
+    #: Rows of the histograms that a base tile holds, about, before they are dealt to the blocks.
+    cells: int = 2_048
     #: Entries that a task counts before it gives them on, and groups up to which their figures are broadcast.
     held: int = 300_000
     small: int = 100_000
@@ -136,9 +138,10 @@ def dense_tile(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def base_tile(rows: pd.DataFrame) -> pd.DataFrame:
-    """Two blocks of sources and all light terms, as if no term were in two sources.
+    """Two blocks of sources and light terms, as if no term were in two sources.
 
-    ``m`` of a source's mark is the number of light terms; its other rows are a histogram, ``m`` terms of share ``p``.
+    A source's other rows are a histogram, ``m`` terms of share ``p``. ``m`` of its mark is the number of all light terms,
+    in one of the base tiles of a language; in the others, which hold more of the histogram, it is 0.
     """
     marks, cells = rows[rows.p.isna()], rows[rows.p.notna()]
     base, terms = marks.p0.to_numpy(np.int64), marks.m.to_numpy(np.int64)
@@ -276,7 +279,7 @@ def source_divergence(docs: DataFrame, p: Params = Params()) -> DataFrame:
     by_value = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     terms = terms.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= p.ranks)
 
-    # Heavy terms: tiles of terms by blocks of sources. Light ones: a base tile (-1) by blocks, and postings.
+    # Heavy terms: tiles of terms by blocks of sources. Light ones: base tiles (below 0) by blocks, and postings.
     columns = "lang", "tile", "source", "block", "blocks", "p0", "term", "p", "m"
     none = lambda kind: F.lit(None).cast(kind)
     cells = shared.filter("k > light").select(
@@ -284,12 +287,13 @@ def source_divergence(docs: DataFrame, p: Params = Params()) -> DataFrame:
     )
     every = F.when(F.col("tiles") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))
     marks = groups.withColumn("tile", F.explode(every)).join(held, ["lang", "tile"]).withColumns({"term": none("string"), "p": none("bigint")})
-    base = groups.withColumns(
-        {"tile": F.lit(-1).cast("bigint"), "term": none("string"), "p": none("bigint"), "m": F.col("terms") - F.col("heavy")}
-    )
     rare = shared.filter("k <= light")
-    histogram = rare.groupBy("lang", "source", "block", "blocks", "p0", "p").agg(F.count(F.lit(1)).alias("m"))
-    histogram = histogram.withColumns({"tile": F.lit(-1).cast("bigint"), "term": none("string")})
+    histogram = scratch.table(rare.groupBy("lang", "source", "block", "blocks", "p0", "p").agg(F.count(F.lit(1)).alias("m")), "histogram")
+    parts = histogram.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / p.cells).alias("parts"))
+    base = groups.join(parts, "lang", "left").withColumn("tile", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("parts", F.lit(1)))))
+    all_light = F.when(F.col("tile") == 1, F.col("terms") - F.col("heavy")).otherwise(0)
+    base = base.withColumns({"tile": -F.col("tile"), "term": none("string"), "p": none("bigint"), "m": all_light})
+    histogram = near(histogram, parts).withColumns({"tile": -1 - F.pmod(F.xxhash64("source", "p"), F.col("parts")), "term": none("string")})
     rows = cells.select(*columns)
     for part in (marks, base, histogram):
         rows = rows.unionByName(part.select(*columns))
