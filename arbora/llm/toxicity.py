@@ -65,9 +65,11 @@ class Params:
     #: The bound of the training sample: so many labelled ids of each class, those of smallest hash, one row each. And of the model.
     per_class: int = 2000
     features: int = 20_000
-    epochs: int = 30
+    epochs: int = 40
     rate: float = 0.3
-    shrink: float = 1e-4
+    shrink: float = 3e-5
+    #: Up to this share of a toxic row's features is hidden in a step, at random, so that a single word is learned to be enough.
+    hide: float = 1.0
     seed: int = 7
     threshold: float = 0.5
     #: Entries of a worker's caches, and the longest token that is kept there.
@@ -250,6 +252,9 @@ def train(rows: list[tuple[int, np.ndarray]], names: list[str], weight: dict[int
             slope, slope_bias = p.shrink * w, 0.0
             for i in batch:
                 label, there = rows[i]
+                if label and p.hide and len(there) > 1:
+                    seen = rng.random(len(there)) >= p.hide * rng.random()
+                    there = there[seen] if seen.any() else there[[rng.integers(len(there))]]
                 z = bias + w[there].sum()
                 off = (1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, z)))) - label) * weight[label] / len(batch)
                 slope[there] += off

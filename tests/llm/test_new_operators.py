@@ -147,7 +147,7 @@ def sourced(seed, sources=23, n=500):
     return rows + [(1, None, None, None), (2, "", "de", "empty"), (2, "", "de", "other"), (3, "rare words only", "es", "s"), (4, "1 2 3", "en", "silent"), (5, "日本 語 ÀB" * 3000, "en", "s1")]
 
 
-@pytest.mark.parametrize("settings", [{}, {"light_least": 2, "light_most": 3, "block": 5, "tile": 7, "held": 50, "small": 0, "ranks": 4}, {"light_least": 500, "light_most": 500}])
+@pytest.mark.parametrize("settings", [{}, {"light_least": 2, "light_most": 3, "block": 5, "tile": 7, "held": 50, "small": 0, "ranks": 4, "cells": 9}, {"light_least": 500, "light_most": 500}])
 def test_divergence_against_plain_version(spark, settings):
     p, rows = sd.Params(**settings), sourced(1)
     got = [tuple(r) for r in sd.source_divergence(frame(spark, rows), p).select("lang", "source", "part", "item", "value", "rank").collect()]
@@ -226,6 +226,14 @@ def test_toxicity_held_out_and_behind_disguise(spark):
     assert not any(x.predicted for x in got if x.doc_id is None or x.doc_id > 20_000)
 
 
+def test_one_toxic_word_is_enough(spark):
+    rows, labels, _ = speech(2)
+    plain = " ".join(["the letter of the house was a report"] * 30)
+    one = [(10_000 + i, f"{plain} {w} {plain}", "en", "s") for i, w in enumerate(BAD)] + [(10_100, plain, "en", "s")]
+    got = {x.doc_id: x.predicted for x in scored(spark, rows + one, labels) if x.doc_id >= 10_000}
+    assert got == {**{10_000 + i: 1 for i in range(len(BAD))}, 10_100: 0}
+
+
 def test_toxicity_without_usable_labels(spark):
     rows = [(i, "some words here", "en", "s") for i in range(10)]
     assert {x.score for x in scored(spark, rows, [])} == {0.5}
@@ -240,7 +248,7 @@ def test_weights_follow_numeric_slopes():
     names = [f"f{i}" for i in range(6)]
     rows = [(int(r.random() < 0.5), np.array(sorted(r.choice(6, 3, replace=False)))) for _ in range(20)]
     weight = {0: 0.5, 1: 1.5}
-    p = toxicity.Params(epochs=1, rate=1e-6, shrink=0.0)
+    p = toxicity.Params(epochs=1, rate=1e-6, shrink=0.0, hide=0.0)
 
     def loss(w, b):
         out = 0.0
