@@ -70,6 +70,10 @@ def paths(edge: DataFrame, roots: DataFrame, max_depth: int = 30, label: str | N
     return reduce(DataFrame.unionByName, done)
 
 
+#: An earlier name.
+paths_by_joins = paths
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of ``edges(u, v)``: rows ``(node, comp)`` with the smallest node of each component.
 

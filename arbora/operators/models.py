@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.operators.keys import beside
+from arbora.operators.keys import FEW, beside
 from arbora.streaming.windows import ranked
 from arbora.tables import Scratch, materialize, remove
 
@@ -53,13 +53,13 @@ def mahalanobis(df: DataFrame, columns: list[str], by: list[str] | None = None,
 
     One pass finds means and covariances; executors invert one small matrix a group, and a second pass scores each row
     in the JVM. Rows without one of the columns have no distance, nor have rows of groups whose columns do not vary or
-    depend on one another, or that have fewer than two rows. A null group is a group.
+    depend on one another, or that have no more complete rows than columns. A null group is a group.
     """
     by, k = by or [], len(columns)
 
     def invert(frames):
         for frame in frames:
-            found = [_inverted(_square(c, k)) for c in frame["cov"]]
+            found = [_inverted(_square(c, k)) if n > k else None for c, n in zip(frame["cov"], frame["n"])]
             frame["inverse"] = [None if m is None else m.ravel().tolist() for m in found]
             yield frame.drop(columns=["cov", "n"])
 
@@ -75,7 +75,8 @@ def partial_correlations(df: DataFrame, columns: list[str], by: list[str] | None
     """``by, one, other, n, correlation, partial`` for each pair of columns, over the rows that have all of them.
 
     ``partial`` holds all other columns fixed; it comes from the inverse of the matrix of correlations. Groups whose
-    columns do not vary have neither; where a column is made of others there is no ``partial``.
+    columns do not vary have neither; where a column is made of others, or there are no more rows than columns, there is no
+    ``partial``.
     """
     by, k = by or [], len(columns)
 
@@ -87,7 +88,7 @@ def partial_correlations(df: DataFrame, columns: list[str], by: list[str] | None
                 with np.errstate(all="ignore"):
                     scale = np.sqrt(np.diag(m))
                     plain = m / np.outer(scale, scale)
-                inverse = _inverted(m)
+                inverse = _inverted(m) if row.n > k else None
                 for i in range(k):
                     for j in range(i + 1, k):
                         held = None if inverse is None else float(-inverse[i, j] / np.sqrt(inverse[i, i] * inverse[j, j]))
@@ -143,7 +144,7 @@ def absorbed_regression(
             mean = lambda i: (F.sum(F.col(f"s{i}") - F.col("n") * F.col(f"a{i}")) / F.sum("n")).alias(f"_m{i}")
             means = cells.groupBy(e).agg(*map(mean, range(k)))
             step, step_path = materialize(
-                beside(cells, means, [e]).withColumns({f"a{i}": F.col(f"a{i}") + F.col(f"_m{i}") for i in range(k)}), "cells"
+                beside(cells, means, [e], few=levels[e] <= FEW).withColumns({f"a{i}": F.col(f"a{i}") + F.col(f"_m{i}") for i in range(k)}), "cells"
             )
             moved.append(step.agg(*(F.max(F.abs(f"_m{i}")).alias(f"x{i}") for i in range(k))).first())
             cells = step.drop(*(f"_m{i}" for i in range(k)))

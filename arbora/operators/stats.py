@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from arbora.operators.keys import beside
 from arbora.streaming.windows import ranked
-from arbora.tables import Scratch, materialize
+from arbora.tables import Scratch, materialize, remove
 
 #: Rank error of the sketch that finds where a quantile lies, as one over this; and groups that may be left out in turn.
 ACCURACY, MOST_GROUPS = 10_000, 10_000
@@ -159,7 +159,8 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[st
         F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v"))).alias("_b"),
     )
     share = place - F.floor(place)
-    return made.select(*by, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("quantile"))
+    # Written, as what joins these few rows may count them first.
+    return materialize(made.select(*by, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("quantile")), "quantiles")[0]
 
 
 def left_out_quantiles(df: DataFrame, group: str, value: str, probabilities: list[float], buckets: int = 1000) -> DataFrame:
@@ -419,8 +420,10 @@ def nearest_centres(df: DataFrame, features: list[str], starts: list[tuple[float
     """Adds ``cluster``, the place of the nearest of k centres after Lloyd's rounds from the given starts.
 
     Features are used as they are. Ties go to the first centre; a centre without rows stays where it was; rows without a
-    feature have no cluster. A round is one aggregation, of which k rows reach the driver; it ends when nothing moves.
+    feature have no cluster. A round is one aggregation over a written table of the features, of which k rows reach the
+    driver; it ends when nothing moves.
     """
+    held, path = materialize(df.select(*dict.fromkeys(features)), "features")
     x, centres = [F.col(c).cast("double") for c in features], [tuple(map(float, s)) for s in starts]
 
     def nearest(at):
@@ -431,13 +434,14 @@ def nearest_centres(df: DataFrame, features: list[str], starts: list[tuple[float
         return F.when(whole, F.array_min(F.array(*far))["i"])
 
     for _ in range(rounds):
-        found = df.groupBy(nearest(centres).alias("cluster")).agg(*(F.avg(v).alias(f"m{i}") for i, v in enumerate(x))).filter("cluster IS NOT NULL").collect()
+        found = held.groupBy(nearest(centres).alias("cluster")).agg(*(F.avg(v).alias(f"m{i}") for i, v in enumerate(x))).filter("cluster IS NOT NULL").collect()
         moved = list(centres)
         for row in found:
             moved[row["cluster"]] = tuple(row[f"m{i}"] for i in range(len(x)))
         if moved == centres:
             break
         centres = moved
+    remove(df.sparkSession, path)
     return df.withColumn("cluster", nearest(centres))
 
 
