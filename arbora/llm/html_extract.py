@@ -511,7 +511,7 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 800, seed: int = 11) -> Chain:
+def trained(pages: int = 1200, seed: int = 11) -> Chain:
     """The chain fitted to ``pages`` generated pages; takes some seconds on the driver."""
     return train([(block_features(b), y) for b, y in labelled(pages, seed)])
 
