@@ -49,7 +49,7 @@ ORDERS_SQL = """d AS (SELECT c_custkey, c_nationkey, c_acctbal AS x, n_orders AS
 
 @query(
     f"""WITH {ORDERS_SQL}, m AS (SELECT c_nationkey, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c, count(*) > 2 AS enough FROM d WHERE y IS NOT NULL GROUP BY 1)
-    SELECT c_custkey, c_nationkey, CASE WHEN enough THEN sqrt(greatest((vy * (x - mx) * (x - mx) - 2 * c * (x - mx) * (y - my) + vx * (y - my) * (y - my)) / (vx * vy - c * c), 0)) END AS distance FROM d JOIN m USING (c_nationkey)"""
+    SELECT c_custkey, c_nationkey, CASE WHEN enough AND y IS NOT NULL THEN sqrt(greatest((vy * (x - mx) * (x - mx) - 2 * c * (x - mx) * (y - my) + vx * (y - my) * (y - my)) / (vx * vy - c * c), 0)) END AS distance FROM d JOIN m USING (c_nationkey)"""
 )
 def joint_outliers(spark, sf_dir):
     """How unusual a customer's balance and number of orders are together, within the nation; none without orders."""
