@@ -400,6 +400,52 @@ def test_stream_sessions_close(spark, tmp_path):
     assert run() == [(0, 2), (20, 1), (36, 2)]
 
 
+def kept_sessions(spark, tmp_path, arrivals, schema="k string, ts timestamp"):
+    """The sessions that have ended after each arrival: gaps of 5 minutes, a watermark of 10."""
+    landing, kept, state, told = *(str(tmp_path / x) for x in ("landing", "kept", "state")), []
+    for part in arrivals:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
+        windows.keep_sessions(spark.readStream.schema(schema).parquet(landing), "ts", "5 minutes", "10 minutes", "k", kept, state)
+        told.append(rows(windows.ended_sessions(spark, kept)))
+    return told
+
+
+def test_kept_sessions_join_after_their_end(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    first, second, third = kept_sessions(spark, tmp_path, [
+        [("a", at(0)), ("a", at(22)), ("b", at(26)), (None, at(1)), ("c", None), ("z", at(40))],
+        [("a", at(26)), ("a", at(24)), ("b", at(31)), ("z", at(41))],
+        [("a", at(27)), ("z", at(60))],
+    ])
+    assert first == [("a", at(0), 1), ("a", at(22), 1), (None, at(1), 1)]  # up to 30
+    assert second == [("a", at(0), 1), ("a", at(22), 2), ("b", at(26), 1), (None, at(1), 1)]  # up to 31: 24 is late, 26 joins 22
+    assert third == [("a", at(0), 1), ("a", at(22), 3), ("b", at(26), 1), ("b", at(31), 1), ("z", at(40), 2), (None, at(1), 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_kept_sessions_against_a_plain_loop(spark, tmp_path, seed):
+    r, base, minute = random.Random(seed), dt.datetime(2024, 1, 1), dt.timedelta(minutes=1)
+    arrivals = [[(r.choice(["a", "b", None]), base + r.randrange(max(0, 25 * i - 40), 25 * i + 30) * minute) for _ in range(25)] for i in range(4)]
+    arrivals.insert(2, [])
+    want, held, passed = [], [], None
+    for part in arrivals:
+        held += [(k, t) for k, t in part if passed is None or t + 5 * minute > passed]
+        passed = max([t - 10 * minute for _, t in part] + [passed or base - 10 * minute])
+        made = []
+        for k in ("a", "b", None):
+            for t in sorted(t for x, t in held if x == k):
+                if made and made[-1][0] == k and t - made[-1][1][-1] < 5 * minute:
+                    made[-1][1].append(t)
+                else:
+                    made.append((k, [t]))
+        want.append(sorted(((k, ts[0], len(ts)) for k, ts in made if ts[-1] + 5 * minute <= passed), key=repr))
+    assert kept_sessions(spark, tmp_path, arrivals, "k string, ts timestamp_ntz") == want
+
+
+def test_kept_sessions_of_no_rows(spark, tmp_path):
+    assert kept_sessions(spark, tmp_path, [[], [("a", None)]]) == [[], []]
+
+
 # Names -------------------------------------------------------------------------------------------------------------
 
 
